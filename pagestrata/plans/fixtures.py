@@ -119,6 +119,16 @@ DIALECT: dict[str, tuple[tuple[str, ...], str, str]] = {
         from (select doc_id, posexplode(split(text, '\\n')) as (pos, line) from {documents})""", """
         select doc_id, cast(generate_subscripts(a, 1) - 1 as bigint) line_no, unnest(a) line
         from (select doc_id, string_split(text, chr(10)) a from {documents}) q"""),
+    "fx_source": (("fx_pair",), """
+        select project_id, page_no, cast(pos as bigint) line_no, line text
+        from (select project_id, page_no, posexplode(split(source_text, '[.] ')) as (pos, line) from fx_pair)""", """
+        select project_id, page_no, cast(generate_subscripts(a, 1) - 1 as bigint) line_no, unnest(a) text
+        from (select project_id, page_no, string_split(source_text, '. ') a from fx_pair) q"""),
+    "fx_target": (("fx_pair",), """
+        select project_id, page_no, cast(pos as bigint) line_no, line text
+        from (select project_id, page_no, posexplode(split(translated_text, '[.] ')) as (pos, line) from fx_pair)""", """
+        select project_id, page_no, cast(generate_subscripts(a, 1) - 1 as bigint) line_no, unnest(a) text
+        from (select project_id, page_no, string_split(translated_text, '. ') a from fx_pair) q"""),
 }
 
 

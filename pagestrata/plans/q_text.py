@@ -158,8 +158,8 @@ def _(v):
     )
 
 
-@query("ocr_keys", f"""with k as (select project_id, page_no, regexp_replace(upper(source_text),'{NW}+','','g') a, regexp_replace(upper(translated_text),'{NW}+','','g') b,
-    regexp_replace(upper(concat(source_text,'!?')),'{NW}+','','g') c from fx_pair)
+@query("ocr_keys", f"""with k as (select project_id, page_no, regexp_replace(upper(replace(source_text,'ß','ss')),'{NW}+','','g') a, regexp_replace(upper(replace(translated_text,'ß','ss')),'{NW}+','','g') b,
+    regexp_replace(upper(replace(concat(source_text,'!?'),'ß','ss')),'{NW}+','','g') c from fx_pair)
   select project_id, page_no, a as source_key, a<>'' and b<>'' and (a=b or (least(length(a),length(b))>=6 and (contains(a,b) or contains(b,a)) and least(length(a),length(b))*1.0/greatest(length(a),length(b))>=0.75)) alike,
     a<>'' and a=c like_self from k""", "fx_pair")
 def _(v):
