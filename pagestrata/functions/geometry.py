@@ -110,7 +110,11 @@ def with_normalized_box(
 ) -> DataFrame:
     """Numbers or numeric strings to an ordered box, NULL under 4 px a side; cut to the
     page when its size is given."""
-    df = stage(df, "__n", Box(*(half_even(parse_number(v)) for v in values)))
+    kinds = [kind for _, kind in df.select(*(v.alias(e) for e, v in zip(EDGES, values))).dtypes]
+    df = stage(df, "__n", Box(*(
+        half_even(parse_number(v)) if kind == "string" else v.cast("long") if kind in ("int", "bigint") else half_even(v)
+        for v, kind in zip(values, kinds)
+    )))
     n = box("__n")
     df = stage(df, "__o", _swap(n).keep_if(_all_present(n)))
     ordered = box("__o")

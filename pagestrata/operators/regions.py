@@ -16,6 +16,7 @@ from pagestrata.functions import geometry as g
 from pagestrata.functions.geometry import EDGES, box, stage
 from pagestrata.operators.ranking import first_per_key, reading_key, with_page_position, with_position
 from pagestrata.operators.spatial import connected_components, greedy_keep, touching_pairs
+from pagestrata.session import cut_lineage
 
 # Fixed values
 TEXT_LABEL_PARTS = ("text", "title", "caption", "content", "letter")
@@ -380,9 +381,10 @@ def resolve_overlaps(items: DataFrame) -> DataFrame:
     takes_part = (
         F.col("__kx1").isNotNull() & ~F.coalesce("manual", F.lit(False)) & F.col("kind").isin("bubble", "layout_text")
     )
-    candidates = boxed.where(takes_part).select(
+    # read by the joins of every round below
+    candidates = cut_lineage(boxed.where(takes_part).select(
         "page_id", "kind", "idx", *box("__k").named(), F.array_sort(F.array_distinct("region_ids")).alias("region_ids")
-    )
+    ))
     shape = ["page_id", "kind", *EDGES, "region_ids"]
     stand_ins = candidates.groupBy(*shape).agg(F.min("idx").alias("idx"), F.count("*").alias("copies"))
     parts = connected_components(
