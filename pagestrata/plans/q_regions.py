@@ -123,11 +123,11 @@ def _with_page_boxes(v):
     return layout(v).withColumns({
         "x1": F.when(whole, 0).otherwise(F.col("x1")), "y1": F.when(whole, 0).otherwise(F.col("y1")),
         "x2": F.when(whole, 1000).otherwise(F.col("x2")), "y2": F.when(whole, 1390).otherwise(F.col("y2")),
-    }).where(F.col("supp_key") % 3 == F.col("page_id") % 3)
+    })
 
 
 @query("normalize_layout", f"""with raw as (select page_id, region_id, w, h, score, label, reading_order, case when part_key%37=0 then 0 else x1 end x1, case when part_key%37=0 then 0 else y1 end y1,
-    case when part_key%37=0 then 1000 else x2 end x2, case when part_key%37=0 then 1390 else y2 end y2 from fx_region where det_kind='layout' and supp_key%3=page_id%3),
+    case when part_key%37=0 then 1000 else x2 end x2, case when part_key%37=0 then 1390 else y2 end y2 from fx_region where det_kind='layout'),
   c as (select page_id, region_id, w, h, score, label, reading_order, {CUT} from raw where score>=0.25),
   k as (select *, {area()}/(w*h)<=0.92 small from c where x2>x1 and y2>y1 and {area()}>=64),
   f as (select *, max(cast(small as int)) over (partition by page_id) any_small from k),
