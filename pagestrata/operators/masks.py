@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagestrata.functions import geometry as g
 from pagestrata.functions.geometry import EDGES, box, stage
+from pagestrata.operators.grouped import fold
 from pagestrata.operators.ranking import with_position
 from pagestrata.operators.status import clean_status
 
@@ -14,7 +17,7 @@ from pagestrata.operators.status import clean_status
 MIN_MASK_AREA = 16
 BLOCK_PAD, SMALL_PAD = 14, 8
 MAX_SHARE, EMERGENCY_SHARE = 0.35, 0.50
-WORD_BITS = 60  # bits of one word; a whole word still fits a signed long
+TILE_PX = 512
 LUMA = (0.114, 0.587, 0.299)
 WHITE, BLACK, MIN_GUTTER = 245.0, 15.0, 10
 TILE, OVERLAP, MIN_TILE, MIN_CUT, TALL_RATIO = 1500, 200, 50, 800, 3.0
@@ -56,45 +59,59 @@ def item_inpaint_boxes(items: DataFrame) -> DataFrame:
     huge. Huge ones count only for fallback items without any other box.
 
     Items bring ``item_id``, ``explicit`` (box structs), boxes ``r*, o*``, no prefix, and
-    ``f*``; page in ``w, h``; flag ``fallback``.
+    ``f*``; page in ``w, h``; flag ``fallback``. All boxes of an item are in its row, so
+    nothing is shuffled.
     """
     w, h = F.col("w"), F.col("h")
-    padded = F.array(*(
-        F.struct(*box(p).named(), F.lit(pad).alias("pad"), F.lit(100 + i).alias("slot"))
-        for i, (p, pad) in enumerate((("r", BLOCK_PAD), ("o", SMALL_PAD), ("", SMALL_PAD), ("f", max(SMALL_PAD, BLOCK_PAD // 2))))
-    ))
-    plain = F.transform("explicit", lambda b, i: F.struct(*(b[e].cast("long").alias(e) for e in EDGES), F.lit(0).alias("pad"), i.alias("slot")))
-    rows = items.select("page_id", "item_id", "fallback", "w", "h", F.explode(F.concat(plain, padded)).alias("b")).select(
-        "page_id", "item_id", "fallback", "w", "h", "b.*").where(F.col("x1").isNotNull())
-    rows = stage(rows, "__c", g.clamp_swap(box(), w, h))
-    rows = stage(rows, "__p", g.clamp_swap(g.grow(box("__c"), F.col("pad")), w, h))
-    p = box("__p")
-    rows = rows.where((p.width > 0) & (p.height > 0)).select("page_id", "item_id", "fallback", "w", "h", *p.named(), "slot")
-    once = rows.groupBy("page_id", "item_id", "fallback", "w", "h", *EDGES).agg(F.min("slot").alias("slot"))
-    huge = g.is_huge(box(), w, h, MAX_SHARE)
-    fine = once.where(~huge)
-    spare = once.where(huge & F.col("fallback") & ~g.is_huge(box(), w, h, EMERGENCY_SHARE)).join(
-        fine.select("page_id", "item_id").distinct(), ["page_id", "item_id"], "left_anti")
-    return fine.unionByName(spare).select("page_id", "item_id", *EDGES, F.col("slot").cast("long").alias("slot"))
+
+    def cut(b: Column, pad: int = 0) -> Column:
+        return g.clamp_swap(g.grow(g.struct_box(b), pad), w, h).struct()
+
+    pads = (("r", BLOCK_PAD), ("o", SMALL_PAD), ("", SMALL_PAD), ("f", max(SMALL_PAD, BLOCK_PAD // 2)))
+    df = items
+    for p, _ in pads:
+        df = stage(df, f"__{p}", g.clamp_swap(box(p), w, h))
+    padded = F.array(*(F.when(box(p).x1.isNotNull(), cut(box(f"__{p}").struct(), pad)) for p, pad in pads))
+    listed = F.concat(F.transform("explicit", lambda b: cut(b)), padded)
+    solid = F.filter(listed, lambda b: b.isNotNull() & (b["x2"] > b["x1"]) & (b["y2"] > b["y1"]))
+    df = df.select("page_id", "item_id", "fallback", "w", "h", F.array_distinct(solid).alias("__all"))
+    huge = lambda share: lambda b: g.is_huge(g.struct_box(b), w, h, share)
+    df = df.withColumn("__fine", F.filter("__all", lambda b: ~huge(MAX_SHARE)(b)))
+    spare = F.filter("__all", lambda b: ~huge(EMERGENCY_SHARE)(b))
+    chosen = F.when((F.size("__fine") == 0) & F.col("fallback"), spare).otherwise(F.col("__fine"))
+    return df.select("page_id", "item_id", F.posexplode(chosen).alias("slot", "b")).select(
+        "page_id", "item_id", "b.*", F.col("slot").cast("long").alias("slot"))
+
+
+class _TilePaint:
+    """Counts the painted pixels of one tile."""
+
+    def __init__(self):
+        self.key, self.bits = None, np.zeros((TILE_PX, TILE_PX), dtype=bool)
+
+    def add(self, row):
+        self.key = row["page_id"]
+        self.bits[row["y1"]:row["y2"], row["x1"]:row["x2"]] = True
+
+    def result(self):
+        return [{"page_id": self.key, "pixels": int(self.bits.sum())}]
 
 
 def masked_pixels(boxes: DataFrame) -> DataFrame:
     """Pixels covered by the union of each page's boxes, overlaps once.
 
-    Each box sets bits in 60-pixel words of the rows it crosses; words are combined with
-    ``bit_or`` before the shuffle, so cost is linear in the boxes and no page is a group.
+    Boxes are cut at tiles and each tile is painted by itself: cost is linear in the boxes,
+    the state is one tile, and a page with most of the boxes spreads over its tiles.
     """
     once = boxes.select("page_id", *EDGES).where((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))).distinct()
-    words = once.select("page_id", *EDGES, F.explode(F.sequence(F.floor(F.col("x1") / WORD_BITS), F.floor((F.col("x2") - 1) / WORD_BITS))).alias("word"))
-    low = F.greatest(F.col("x1") - F.col("word") * WORD_BITS, F.lit(0)).cast("int")
-    size = (F.least(F.col("x2") - F.col("word") * WORD_BITS, F.lit(WORD_BITS)) - low).cast("int")
-    spans = words.withColumns({"low": low, "size_": size}).withColumn("run", F.expr("shiftleft(1L, size_) - 1"))
-    bits = spans.select("page_id", "word", "y1", "y2", F.expr("shiftleft(run, low)").alias("bits"))
-    # boxes with equal words and rows meet first, rows are spread afterwards
-    bits = bits.groupBy("page_id", "word", "y1", "y2").agg(F.bit_or("bits").alias("bits"))
-    lines = bits.select("page_id", "word", F.explode(F.sequence(F.col("y1"), F.col("y2") - 1)).alias("y"), "bits")
-    joined = lines.groupBy("page_id", "word", "y").agg(F.bit_or("bits").alias("bits"))
-    return joined.groupBy("page_id").agg(F.sum(F.bit_count("bits")).cast("long").alias("masked_pixel_count"))
+    tiled = once.withColumn("tx", F.explode(F.sequence(F.floor(F.col("x1") / TILE_PX), F.floor((F.col("x2") - 1) / TILE_PX)))).withColumn(
+        "ty", F.explode(F.sequence(F.floor(F.col("y1") / TILE_PX), F.floor((F.col("y2") - 1) / TILE_PX))))
+    at = {"x1": "tx", "x2": "tx", "y1": "ty", "y2": "ty"}
+    local = tiled.select("page_id", "tx", "ty", *(
+        F.greatest(F.lit(0), F.least(F.lit(TILE_PX), F.col(e) - F.col(t) * TILE_PX)).cast("int").alias(e) for e, t in at.items()))
+    schema = T.StructType([once.schema["page_id"], T.StructField("pixels", T.LongType())])
+    painted = fold(local, ["page_id", "tx", "ty"], [], _TilePaint, schema)
+    return painted.groupBy("page_id").agg(F.sum("pixels").alias("masked_pixel_count"))
 
 
 def mask_signature(boxes: DataFrame) -> DataFrame:

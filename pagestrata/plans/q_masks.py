@@ -47,7 +47,7 @@ def _(v):
   p as (select page_id, item_id, fb, w, h, slot, greatest(0,least(a-pad,w)) x1, greatest(0,least(b-pad,h)) y1, greatest(0,least(c+pad,w)) x2, greatest(0,least(d+pad,h)) y2 from e),
   o as (select page_id, item_id, fb, w, h, x1, y1, x2, y2, min(slot) slot, (x2-x1)*(y2-y1) a from p where x2>x1 and y2>y1 group by all),
   f as (select * from o where a<=w*h*0.35e0)
-  select page_id, item_id, x1, y1, x2, y2, slot::bigint slot from f union all select page_id, item_id, x1, y1, x2, y2, slot from o where a>w*h*0.35e0 and a<=w*h*0.5e0 and fb and not exists (select 1 from f where f.page_id=o.page_id and f.item_id=o.item_id)""", "fx_canon")
+  select page_id, item_id, x1, y1, x2, y2, row_number() over (partition by page_id, item_id order by slot)-1 slot from f union all select page_id, item_id, x1, y1, x2, y2, 0 from o where a>w*h*0.35e0 and a<=w*h*0.5e0 and fb and not exists (select 1 from f where f.page_id=o.page_id and f.item_id=o.item_id)""", "fx_canon")
 def _(v):
     big = F.col("part_key") % 43 == 0
     none = F.array().cast("array<struct<x1:bigint,y1:bigint,x2:bigint,y2:bigint>>")

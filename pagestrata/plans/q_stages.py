@@ -11,7 +11,7 @@ from pagestrata.operators import canon as cn
 from pagestrata.operators import stages as sg
 from pagestrata.operators import status as st
 from pagestrata.operators import translation as tr
-from pagestrata.plans.q_text import FILTER_TAIL, FLAGS
+from pagestrata.plans.q_text import FILTER_CTES, FLAGS
 from pagestrata.plans.registry import query
 from pagestrata.session import shared_folder
 from pagestrata.sources import documents as docs
@@ -62,9 +62,9 @@ class SizeStamp:
         return {"image": bytes([len(row["page_boxes"]) % 256])}
 
 
-@query("recognise_items", f"""with src as (select doc_id, text raw, provider from fx_doc), {FLAGS}, fin as (select * from ({FILTER_TAIL.replace("select doc_id, case when reason<>''", "select doc_id, t as cleaned, case when reason<>''").split('vd as')[0]}
-    vd as {FILTER_TAIL.split('vd as')[1].replace("select doc_id, case when reason<>'' then ''", "select doc_id, case when reason<>'' then ''")}) q)
-  select doc_id, case when doc_id%17=0 then 'error' when rejected then 'skipped' else 'done' end status, case when doc_id%17=0 then '' else reason end skip_reason, case when doc_id%17=0 then '' else clean_text end as text from fin""".replace("(select * from (", "(with ").replace(") q)", ")"), "fx_doc")
+@query("recognise_items", f"""with src as (select doc_id, text raw, provider from fx_doc), {FLAGS}, {FILTER_CTES}
+  select doc_id, case when doc_id%17=0 then 'error' when reason<>'' then 'skipped' else 'done' end status, case when doc_id%17=0 then '' else reason end skip_reason,
+    case when doc_id%17=0 or reason<>'' then '' when some_bad then kept else t end as text from vd""", "fx_doc")
 def _(v):
     items = v.doc.select("doc_id", "provider", F.col("text").alias("truth"), F.col("doc_id").alias("seed"), F.lit("").alias("text"), F.lit("prepared").alias("status"), F.lit(False).alias("excluded"), F.lit(False).alias("needs_ocr"), F.lit("").alias("error"))
     return sg.recognise_items(items, EchoOcr).select("doc_id", "status", "skip_reason", "text")
@@ -147,7 +147,7 @@ def _(v):
     return import_names(files, "name", "path").select("c_custkey", "import_name")
 
 
-@query("png_sizes", "select p_partkey, case when p_partkey%5=0 then 0 else p_partkey+100000 end width, case when p_partkey%5=0 then 0 else p_size end height from part")
+@query("png_sizes", "select p_partkey, case when p_partkey%5=0 then 0 else p_partkey+100000 end width, case when p_partkey%5=0 then 0 else p_size::bigint end height from part")
 def _(v):
     head = F.lit("89504E470D0A1A0A0000000D49484452")
     whole = F.concat(head, F.lpad(F.hex(F.col("p_partkey") + 100000), 8, "0"), F.lpad(F.hex("p_size"), 8, "0"))

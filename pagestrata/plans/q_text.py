@@ -80,7 +80,7 @@ def _(v):
 
 
 # lines are judged as rows of their own, then collected again per document
-FILTER_TAIL = f"""ex as (select doc_id, generate_subscripts(ln,1) i, unnest(ln) z from f3),
+FILTER_CTES = f"""ex as (select doc_id, generate_subscripts(ln,1) i, unnest(ln) z from f3),
   jd as (select doc_id, i, z, length({scompact('z')}) n, {scompact('z')} d, list_transform(regexp_extract_all(z,'[A-Za-z0-9]+|[{KH}]+'), lambda q: {FOLD('q')}) tk, string_split({scompact('z')},'') ch from ex),
   rs as (select doc_id, i, z, case when coalesce(n>=12 and {top_share('ch','0.85')},false) then 'repeated_character_hallucination'
     when coalesce(len(tk)>=6 and {top_share('tk','0.70')},false) then 'repeated_token_hallucination' when coalesce({PATTERN},false) then 'repeated_pattern_hallucination' end why from jd),
@@ -88,7 +88,8 @@ FILTER_TAIL = f"""ex as (select doc_id, generate_subscripts(ln,1) i, unnest(ln)
   vd as (select f3.doc_id, t, case when t='' then 'empty_ocr_output' when provider<>'deepseek_ocr_llama' then '' when markup then 'structured_markup_non_text'
     when coordinates then 'coordinate_geometry_non_text' when noise then 'structured_hallucination_non_text' when table_like then 'table_like_non_text'
     when repeated_line then 'repeated_line_hallucination' when bad>0 and kept is null then first_why else '' end reason,
-    provider='deepseek_ocr_llama' and bad>0 some_bad, kept from f3 left join ag using (doc_id))
+    provider='deepseek_ocr_llama' and bad>0 some_bad, kept from f3 left join ag using (doc_id))"""
+FILTER_TAIL = FILTER_CTES + """
   select doc_id, case when reason<>'' then '' when some_bad then kept else t end clean_text, reason<>'' rejected, reason from vd"""
 
 
