@@ -63,11 +63,16 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is named.
+
+    Inside array lambdas Spark repeats a named expression at each mention.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def has_markup(text: Column) -> Column:
-    lowered, found = F.lower(text), F.lit(False)
-    for marker in MARKUP_MARKERS:
-        found = found | F.contains(lowered, F.lit(marker))
-    return found
+    return text.rlike("(?i)" + "|".join(MARKUP_MARKERS))
 
 
 def is_coordinates(text: Column) -> Column:
@@ -105,21 +110,23 @@ def is_repeated_line(text: Column) -> Column:
     plain = F.filter(
         F.transform(text_lines(text), lambda x: strip(F.regexp_replace(fold_case(x), edges, ""))), lambda x: x != ""
     )
-    return (F.size(plain) >= 5) & _top_share(plain, 0.70)
+    return let(plain, lambda v: (F.size(v) >= 5) & _top_share(v, 0.70))
 
 
 def is_repeated_char(dense: Column) -> Column:
     """``dense`` is text without white space."""
-    rest = F.replace(dense, F.substring(dense, 1, 1), F.lit(""))
-    other = F.length(F.replace(rest, F.substring(rest, 1, 1), F.lit("")))
-    size = F.length(dense)
-    first = size - F.length(rest)
-    return (size >= 12) & ((rest == "") | (other == 0)) & (F.greatest(first, size - first) / size >= 0.85)
+    def judge(rest: Column) -> Column:
+        other = F.length(F.replace(rest, F.substring(rest, 1, 1), F.lit("")))
+        size = F.length(dense)
+        first = size - F.length(rest)
+        return ((rest == "") | (other == 0)) & (F.greatest(first, size - first) / size >= 0.85)
+
+    return (F.length(dense) >= 12) & let(F.replace(dense, F.substring(dense, 1, 1), F.lit("")), judge)
 
 
 def is_repeated_token(text: Column) -> Column:
     tokens = F.transform(F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0)), fold_case)
-    return (F.size(tokens) >= 6) & _top_share(tokens, 0.70)
+    return let(tokens, lambda v: (F.size(v) >= 6) & _top_share(v, 0.70))
 
 
 def is_repeated_pattern(dense: Column) -> Column:
@@ -135,12 +142,11 @@ def is_repeated_pattern(dense: Column) -> Column:
 
 
 def repetition_reason(line: Column) -> Column:
-    dense = compact(line)
-    return (
+    return let(compact(line), lambda dense: (
         F.when(is_repeated_char(dense), "repeated_character_hallucination")
         .when(is_repeated_token(line), "repeated_token_hallucination")
         .when(is_repeated_pattern(dense), "repeated_pattern_hallucination")
-    )
+    ))
 
 
 def judged_lines(text: Column) -> Column:
@@ -341,7 +347,4 @@ def writing_mode(text: Column, width: Column, height: Column, direction: Column,
 
 
 def is_quota_error(message: Column) -> Column:
-    lowered, found = F.lower(message), F.lit(False)
-    for marker in QUOTA_MARKERS:
-        found = found | F.contains(lowered, F.lit(marker))
-    return found
+    return message.rlike("(?i)" + "|".join(QUOTA_MARKERS))
