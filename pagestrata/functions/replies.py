@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagestrata.functions.text import strip
+from pagestrata.functions.text import strip, whole_json
 
 # Fixed values
 ITEM = "struct<index:bigint,translation:string>"
@@ -41,7 +41,7 @@ def extract_json(df: DataFrame, text: Column, name: str = "json_text") -> DataFr
     braced = F.regexp_extract(c, r"(?s)^[^{\[]*(\{.*\})", 1)
     listed = F.regexp_extract(c, r"(?s)^[^{\[]*(\[.*\])", 1)
     inner = F.coalesce(F.when(braced != "", braced), F.when(listed != "", listed))
-    valid = lambda x: F.when(F.try_parse_json(x).isNotNull(), x)
+    valid = lambda x: F.when(whole_json(x).isNotNull(), x)
     return df.withColumn(name, F.coalesce(F.when(c != "", valid(c)), valid(inner))).drop("__c")
 
 
@@ -71,7 +71,7 @@ def parse_pages(replies: DataFrame, json_text: Column, sent: DataFrame) -> DataF
 
 def chat_text(df: DataFrame, response: Column) -> DataFrame:
     """Adds ``content`` and ``malformed``: first choice's message, list parts joined."""
-    df = df.withColumn("__m", F.try_variant_get(F.try_parse_json(response), F.lit("$.choices[0].message.content"), "variant"))
+    df = df.withColumn("__m", F.try_variant_get(whole_json(response), F.lit("$.choices[0].message.content"), "variant"))
     kind = F.schema_of_variant("__m")
     parts = F.try_variant_get("__m", F.lit("$"), "array<struct<text:string>>")
     filled = F.filter(F.transform(parts, lambda p: p["text"]), lambda x: x != "")

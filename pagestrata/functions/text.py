@@ -154,11 +154,22 @@ def judged_lines(text: Column) -> Column:
     return F.transform(text_lines(text), lambda x: F.struct(x.alias("line"), repetition_reason(x).alias("reason")))
 
 
+def whole_json(text: Column) -> Column:
+    """Variant of a text that is JSON from end to end, else NULL.
+
+    The parser stops after the first value, so the text is parsed as the first of two
+    list members: anything behind the value breaks the list or adds a member.
+    """
+    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(",7]")))
+    alone = (F.try_variant_get(pair, F.lit("$[1]"), "int") == 7) & F.try_variant_get(pair, F.lit("$[2]"), "variant").isNull()
+    return F.when(alone, F.try_variant_get(pair, F.lit("$[0]"), "variant"))
+
+
 def _json_step(df: DataFrame) -> DataFrame:
     """One level of JSON unwrapping of ``__t`` for rows still without a verdict."""
     opened = F.col("__open")
     begins = F.col("__t").rlike(r'^[{\["\-0-9tfnNI]')
-    df = df.withColumn("__v", F.when(opened & begins, F.try_parse_json("__t")))
+    df = df.withColumn("__v", F.when(opened & begins, whole_json(F.col("__t"))))
     df = df.withColumn("__kind", F.schema_of_variant("__v"))
     inner = None
     for key in JSON_TEXT_KEYS:
@@ -239,7 +250,7 @@ def strip_list_markers(text: Column) -> Column:
 
 
 def _json_text(df: DataFrame, column: str) -> DataFrame:
-    df = df.withColumn("__v", F.when(F.col(column).rlike(r"^[{\[]"), F.try_parse_json(column)))
+    df = df.withColumn("__v", F.when(F.col(column).rlike(r"^[{\[]"), whole_json(F.col(column))))
     picked = None
     for key in JSON_TEXT_KEYS:
         part = F.try_variant_get("__v", F.lit(f"$.{key}"), "variant")

@@ -419,7 +419,8 @@ def suppress_non_max(boxes: DataFrame, threshold: float = NMS_IOU) -> DataFrame:
     """
     solid = boxes.where((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
     flat = boxes.where((F.col("x2") <= F.col("x1")) | (F.col("y2") <= F.col("y1")))
-    best = first_per_key(solid, PAGE_BOX, [-F.col("score"), F.col("region_id")])
+    # both sides of the pair join and the result read it
+    best = cut_lineage(first_per_key(solid, PAGE_BOX, [-F.col("score"), F.col("region_id")]))
     slim = best.select(*PAGE_BOX, "region_id", "score")
     pairs = touching_pairs(slim, slim, ["page_id"])
     stronger = (F.col("l_score") > F.col("r_score")) | (
