@@ -20,8 +20,6 @@ def _(v):
     return tr.page_chunks(_pages(v), 3).select(*tr.PAGE, "chunk")
 
 
-# strips of many pages: each project holds the pages of one customer segment
-BIG_PAGES = "select c_nationkey project_id, c_custkey page_no from customer"
 
 
 @query("page_chunks_balanced", """with r as (select c_nationkey::bigint project_id, c_custkey page_no, row_number() over (partition by c_nationkey order by c_custkey)-1 p, count(*) over (partition by c_nationkey) n from customer),
