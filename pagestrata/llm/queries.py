@@ -37,7 +37,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("row_id")
 
 
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
