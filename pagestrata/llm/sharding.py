@@ -19,6 +19,8 @@ from pagestrata.llm import base
 
 BUCKET_BYTES = 16 << 20
 SEED = 20_240_917
+#: Offsets are sent to every task only up to this many buckets (16 MB).
+SENT_BUCKETS = 1_000_000
 
 
 def scattered(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, seed: int = SEED) -> DataFrame:
@@ -47,9 +49,12 @@ def shards(docs: DataFrame, count: int = 16, bucket_bytes: int = BUCKET_BYTES, s
     empty table gives no rows. The same rows in the same files give the same shards for a seed.
     """
     written = base.stage(scattered(docs, bucket_bytes, seed), "buckets")
+    buckets = (written.agg(F.max("bucket")).first()[0] or 0) + 1
     sizes = written.groupBy("bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select("bucket", F.coalesce(before, F.lit(0)).alias("before"))  # a row per bucket of 16 MB
+    sizes = sizes.select("bucket", F.coalesce(before, F.lit(0)).alias("before"))
+    if buckets <= SENT_BUCKETS:  # else both sides meet in an exchange
+        sizes = F.broadcast(sizes)
     number = F.col("before") + F.col("place")
     return written.join(sizes, "bucket").select(
         "record", "bucket", "place", F.pmod(number, F.lit(count)).cast("int").alias("shard"),
