@@ -6,8 +6,14 @@ German sharp s, which is what the rules need of full case folding.
 
 from __future__ import annotations
 
+import html
+import unicodedata
+from functools import cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values
 FILTERED_PROVIDER = "deepseek_ocr_llama"
@@ -16,25 +22,19 @@ MARKUP_MARKERS = (
 )
 COORDINATE_PATTERN = r"\(?\s*-?\d+(?:\.\d+)?\s*,\s*-?\d+(?:\.\d+)?\s*\)?"
 TABLE_WORD_PATTERN = r"(?i)(category|value|blue|red|total|name|score)"
-STRUCTURAL_CHARS = r"[{}\[\]()<>/:;|,=\-_]"
+STRUCTURAL_CHARS = "{}[]()<>/:;|,=-_"
 KANA_HAN = r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}"
 TOKEN_PATTERN = rf"[A-Za-z0-9]+|[{KANA_HAN}]+"
 NOT_WORD = r"[^\p{L}\p{N}]"
 JSON_TEXT_KEYS = ("text", "ocr", "content", "result")
-CJK_CLASS = (
-    r"[\x{1100}-\x{11FF}\x{2E80}-\x{2EFF}\x{302E}-\x{302F}\x{3041}-\x{30FF}\x{3131}-\x{318E}\x{31C0}-\x{321E}"
-    r"\x{3260}-\x{327E}\x{32D0}-\x{32FE}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{A960}-\x{A97C}\x{AC00}-\x{D7FB}"
-    r"\x{F900}-\x{FAD9}\x{FF66}-\x{FFDC}\x{1B000}-\x{1B167}\x{20000}-\x{323AF}]"
-)
+CJK_NAMES = ("CJK", "HIRAGANA", "KATAKANA", "HANGUL")
 VERTICAL_TOKEN = "[!?！？‼⁉]{2}|[^\n]"
-LIST_MARKS = "-–—*•・"
 CIRCLED_NUMBERS = "①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳"
 LINE_MARKER = rf"^\s*(?:\(\d{{1,2}}\)|\d{{1,2}}(?:[.):]|\s+)|[{CIRCLED_NUMBERS}]|[\-–—*•・])\s*"
 INLINE_NUMBER = rf"(?<=^|\s)(?:\(\d{{1,2}}\)|\d{{1,2}}[.):]|[{CIRCLED_NUMBERS}])(?=\s*\S)"
 INLINE_BULLET = r"(?<=^|\s)[\-–—*•・](?=\s*\S)"
 OUTPUT_PREFIXES = ("OCR:", "Text:", "Recognized text:", "Output:")
 FORMAT_TAGS = "b|strong|i|em|u|s|strike|del|ins|sub|sup|small|big|mark|span|font|ruby|rt|rp|br|p|div"
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 QUOTA_MARKERS = ("429", "quota", "rate limit", "resource_exhausted", "too many requests")
 
 
@@ -72,25 +72,26 @@ def let(value: Column, use) -> Column:
 
 
 def has_markup(text: Column) -> Column:
-    return text.rlike("(?i)" + "|".join(MARKUP_MARKERS))
+    return F.contains(text, F.lit("<")) & text.rlike("(?i)" + "|".join(MARKUP_MARKERS))
 
 
 def is_coordinates(text: Column) -> Column:
     pairs = _count(text, COORDINATE_PATTERN)
-    return (pairs >= 6) | ((pairs >= 3) & F.contains(text, F.lit("--")))
+    return text.rlike(r"\d\s*,\s*-?\d") & ((pairs >= 6) | ((pairs >= 3) & F.contains(text, F.lit("--"))))
 
 
 def is_structured_noise(text: Column) -> Column:
     dense = compact(text)
     size = F.length(dense)
-    structural = size - F.length(F.regexp_replace(dense, STRUCTURAL_CHARS, ""))
+    structural = size - F.length(F.translate(dense, STRUCTURAL_CHARS, ""))
     letters = size - F.length(F.regexp_replace(dense, rf"[\p{{L}}{KANA_HAN}]", ""))
-    return (size > 120) & (structural / size > 0.45) & (letters < structural)
+    return (F.length(text) > 120) & (size > 120) & (structural / size > 0.45) & (letters < structural)
 
 
 def is_table_like(text: Column) -> Column:
     words = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TABLE_WORD_PATTERN), F.lit(1)), F.lower))
-    return (F.length(text) > 20) & text.rlike(r"\p{Nd}") & (_count(text, r"(?U)\s+") <= 1) & (F.size(words) >= 2)
+    two_gaps = text.rlike(r"(?U)\s\S+\s")
+    return (F.length(text) > 20) & ~two_gaps & text.rlike(r"\p{Nd}") & (F.size(words) >= 2)
 
 
 def _top_share(values: Column, least: float) -> Column:
@@ -110,7 +111,8 @@ def is_repeated_line(text: Column) -> Column:
     plain = F.filter(
         F.transform(text_lines(text), lambda x: strip(F.regexp_replace(fold_case(x), edges, ""))), lambda x: x != ""
     )
-    return let(plain, lambda v: (F.size(v) >= 5) & _top_share(v, 0.70))
+    breaks = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    return (breaks >= 4) & let(plain, lambda v: (F.size(v) >= 5) & _top_share(v, 0.70))
 
 
 def is_repeated_char(dense: Column) -> Column:
@@ -126,7 +128,10 @@ def is_repeated_char(dense: Column) -> Column:
 
 def is_repeated_token(text: Column) -> Column:
     tokens = F.transform(F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0)), fold_case)
-    return let(tokens, lambda v: (F.size(v) >= 6) & _top_share(v, 0.70))
+    # of two values at most, three tokens hold one twice; most texts end here
+    head = r"^" + rf"[^A-Za-z0-9{KANA_HAN}]*+([A-Za-z0-9]++|[{KANA_HAN}]++)" * 3
+    a, b, c = (fold_case(F.regexp_extract(text, head, k)) for k in (1, 2, 3))
+    return ((a == b) | (b == c) | (a == c)) & let(tokens, lambda v: (F.size(v) >= 6) & _top_share(v, 0.70))
 
 
 def is_repeated_pattern(dense: Column) -> Column:
@@ -138,7 +143,7 @@ def is_repeated_pattern(dense: Column) -> Column:
         return (times * unit <= size) & (dense.substr(F.lit(1), times * unit) == F.repeat(dense.substr(F.lit(1), unit), times))
 
     units = F.filter(F.array(*(F.lit(n) for n in range(2, 9))), lambda u: u * 4 <= size)
-    return (size >= 16) & F.exists(units, fits)
+    return (size >= 16) & dense.rlike(r"(?s)^(.{2,8})\1\1\1") & F.exists(units, fits)
 
 
 def repetition_reason(line: Column) -> Column:
@@ -280,10 +285,10 @@ def clean_model_output(df: DataFrame, text: Column, name: str = "clean_text") ->
     return df.withColumn(name, F.array_join(tidy, "\n"))
 
 
-def unescape_entities(text: Column) -> Column:
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+@F.pandas_udf(StringType())
+def unescape_entities(text: pd.Series) -> pd.Series:
+    """Named and numeric character references of HTML; Spark has no function for their table."""
+    return text.map(html.unescape, na_action="ignore")
 
 
 def strip_markup(text: Column) -> Column:
@@ -333,8 +338,17 @@ def ocr_similar(key_a: Column, key_b: Column) -> Column:
     return (key_a != "") & (key_b != "") & ((key_a == key_b) | part)
 
 
+@cache
+def cjk_class() -> str:
+    """Pattern of the characters whose Unicode name holds one of ``CJK_NAMES``; all lie below U+34000."""
+    hits = [c for c in range(0x34000) if any(n in unicodedata.name(chr(c), "") for n in CJK_NAMES)]
+    starts = [c for c, before in zip(hits, [-1, *hits]) if c != before + 1]
+    ends = [c for c, after in zip(hits, [*hits[1:], -1]) if c != after - 1]
+    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in zip(starts, ends)) + "]"
+
+
 def contains_cjk(text: Column) -> Column:
-    return text.rlike(CJK_CLASS)
+    return text.rlike(cjk_class())
 
 
 def vertical_tokens(text: Column) -> Column:

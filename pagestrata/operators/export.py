@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagestrata.functions import geometry as g
 from pagestrata.functions.geometry import box, stage
+from pagestrata.functions.paths import stem, suffix
 from pagestrata.functions.styles import export_name
 from pagestrata.functions.text import strip
-from pagestrata.operators.ranking import number_band, with_position
+from pagestrata.operators.ranking import distinct_names, number_band, with_position
 from pagestrata.operators.status import MIN_RENDER_AREA
 
 # Fixed values
@@ -24,15 +25,6 @@ MISSING_SOURCE = {
 }
 
 
-def stem(path: Column) -> Column:
-    name = F.substring_index(path, "/", -1)
-    return F.when(name.rlike(r".\.[^.]+$"), F.regexp_replace(name, r"\.[^.]*$", "")).otherwise(name)
-
-
-def suffix(path: Column) -> Column:
-    return F.regexp_extract(F.substring_index(path, "/", -1), r".(\.[^.]+)$", 1)
-
-
 def cache_paths(pages: DataFrame) -> DataFrame:
     """The ten derived artefacts of each page, from its file stem."""
     parts = F.array(*(F.struct(F.lit(d).alias("kind"), F.lit(s).alias("suffix")) for d, s in CACHE_ARTEFACTS))
@@ -73,10 +65,8 @@ def carry_overrides(new: DataFrame, old: DataFrame) -> DataFrame:
 
 
 def unique_names(df: DataFrame, name: str, order: str) -> DataFrame:
-    """Second and later equal names get _001, _002 and so on before the suffix."""
-    placed = with_position(df, [name], [F.col(order)], number_band(F.col(order)), "__n")
-    numbered = F.concat(stem(F.col(name)), F.format_string("_%03d", F.col("__n")), suffix(F.col(name)))
-    return placed.withColumn("unique_name", F.when(F.col("__n") == 0, F.col(name)).otherwise(numbered)).drop("__n")
+    """Second and later equal names get _001, _002 and so on before the suffix, past names that others hold."""
+    return distinct_names(df, name, order, digits=3)
 
 
 def page_numbering(scope: DataFrame, pages: DataFrame) -> DataFrame:

@@ -23,11 +23,11 @@ def _loose(body):
         p == 2, body).otherwise(F.concat(F.lit("```\n"), F.substring(body, 1, 12), F.lit("```")))
 
 
-@query("extract_json", "select project_id, page_no, project_id%4<>3 found from (select distinct project_id, page_no from fx_source) q", "fx_source")
+@query("extract_json", """select project_id, page_no, case when project_id%4<>3 then '{"items":['||string_agg('{"index":'||cast(line_no as varchar)||',"translation":'||to_json(text)::varchar||'}',',' order by line_no)||']}' end json_text
+  from fx_source group by 1,2""", "fx_source")
 def _(v):
     df = _page_items(v).withColumn("reply", _loose(F.to_json(F.struct("items"))))
-    out = rp.extract_json(df, F.col("reply"))
-    return out.select(*tr.PAGE, (F.col("json_text") == F.to_json(F.struct("items"))).alias("found")).na.fill(False)
+    return rp.extract_json(df, F.col("reply")).select(*tr.PAGE, "json_text")
 
 
 @query("parse_items", """with n as (select project_id, page_no, count(*) n from fx_source group by 1,2)
@@ -40,16 +40,18 @@ def _(v):
     return out.select(*tr.PAGE, F.posexplode("translations").alias("line_no", "text")).withColumn("line_no", F.col("line_no").cast("long"))
 
 
-@query("parse_pages", """with n as (select project_id, page_no, count(*) n from fx_source group by 1,2)
-  select project_id chunk_id, 'p'||cast(page_no as varchar) page_key, n line_count, page_no%3<>1 valid from n""", "fx_source")
+@query("parse_pages", """with n as (select project_id, page_no, count(*) n, string_agg(text, chr(10) order by line_no) j from fx_source group by 1,2)
+  select cast(project_id as varchar)||':'||cast((row_number() over (partition by project_id order by page_no)-1)//3 as varchar) chunk_id, 'p'||cast(page_no as varchar) page_key, n line_count,
+    case when page_no%3<>1 then j end as lines from n""", "fx_source")
 def _(v):
-    pages = _page_items(v)
+    pages = _page_items(v).join(tr.page_chunks(v.source.select(*tr.PAGE).distinct(), 3), tr.PAGE)
+    chunk = F.concat_ws(":", "project_id", "chunk").alias("chunk_id")
     key = F.concat(F.lit("p"), F.col("page_no").cast("string"))
     items = F.when(F.col("page_no") % 3 == 1, F.slice("items", F.lit(2), F.size("items"))).otherwise(F.col("items"))
-    named = pages.select(F.col("project_id").alias("chunk_id"), key.alias("page_key"), items.alias("items"))
+    named = pages.select(chunk, key.alias("page_key"), items.alias("items"))
     reply = named.groupBy("chunk_id").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("page_key", "items"))).alias("pages"))).alias("j"))
-    sent = pages.select(F.col("project_id").alias("chunk_id"), key.alias("page_key"), F.col("n").alias("line_count"))
-    return rp.parse_pages(reply, F.col("j"), sent).select("chunk_id", "page_key", "line_count", F.col("translations").isNotNull().alias("valid"))
+    sent = pages.select(chunk, key.alias("page_key"), F.col("n").alias("line_count"))
+    return rp.parse_pages(reply, F.col("j"), sent).select("chunk_id", "page_key", "line_count", F.array_join("translations", "\n").alias("lines"))
 
 
 @query("chat_text", """select project_id, page_no, case project_id%3 when 0 then trim(source_text) when 1 then trim(source_text||chr(10)||translated_text) end content, project_id%3=2 malformed from fx_pair""", "fx_pair")

@@ -85,11 +85,11 @@ def _(v):
     return outcome.select("page_id", "status", "raw_detections")
 
 
-@query("inpaint_pages", """with b as (select page_id, count(*) n from fx_canon where enabled and kind='bubble' and part_key%5=0 group by 1)
+@query("inpaint_pages", """with b as (select page_id, count(*) n from fx_canon where enabled and kind='bubble' group by 1)
   select page_id, case when n is null then 'no_text' else 'done' end status, cast(coalesce(n,7) as bigint) stamp from fx_page left join b using (page_id) where not render_stale""", "fx_page fx_canon")
 def _(v):
     pages = v.page.select("page_id", F.unhex(F.lit("07")).alias("content"))
-    boxes = v.canon.where("enabled and kind = 'bubble' and part_key % 5 = 0").select("page_id", *EDGES)
+    boxes = v.canon.where("enabled and kind = 'bubble'").select("page_id", *EDGES)
     out = sg.image_job(pages, boxes, SizeStamp, v.page.where("render_stale").select("page_id"))
     return out.select("page_id", "status", F.conv(F.hex("image"), 16, 10).cast("long").alias("stamp"))
 
@@ -205,11 +205,11 @@ def _(v):
     return jobs.merged_terms(_run(v, stream, jobs.term_counts)).select("project_id", "term", "cnt")
 
 
-@query("stream_edits", """select page_id, canon_id, max(x1 + part_key%9) filter (where true) x1, count(*)::bigint n from fx_canon where part_key%4=0 group by 1,2""", "fx_canon")
+@query("stream_edits", """select page_id, canon_id, max(x1 + part_key%9) filter (where true) x1, count(*)::bigint n from fx_canon group by 1,2""", "fx_canon")
 def _(v):
     path = scratch(v, "edits")
     p = F.col("part_key")
-    log = v.canon.where(p % 4 == 0).select("page_id", "canon_id", F.lit("bbox").alias("field"), F.explode(F.array(F.lit(0), F.lit(1))).alias("seq"), (F.col("x1") + p % 9).alias("e_x1"), F.col("y1").alias("e_y1"), (F.col("x2") + p % 9).alias("e_x2"), F.col("y2").alias("e_y2"))
+    log = v.canon.select("page_id", "canon_id", F.lit("bbox").alias("field"), F.explode(F.array(F.lit(0), F.lit(1))).alias("seq"), (F.col("x1") + p % 9).alias("e_x1"), F.col("y1").alias("e_y1"), (F.col("x2") + p % 9).alias("e_x2"), F.col("y2").alias("e_y2"))
     log = log.withColumn("e_x1", F.when(F.col("seq") == 0, F.col("e_x1") - 30).otherwise(F.col("e_x1")))
     log.repartition(4).write.parquet(path)
     stream = v.spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path)

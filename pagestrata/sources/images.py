@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagestrata.operators.export import stem, suffix
-from pagestrata.operators.ranking import with_position
+from pagestrata.operators.ranking import distinct_names
 
 # Fixed values
 IMAGE_SUFFIX = r"(?i)\.(jpg|jpeg|png|webp)$"
@@ -21,10 +20,8 @@ def scan_page_images(spark: SparkSession, root: str, content: bool = True) -> Da
 
 
 def import_names(files: DataFrame, name: str, order: str) -> DataFrame:
-    """Equal file names get _1, _2 and so on before the suffix."""
-    placed = with_position(files, [name], [F.col(order)], [F.substring(F.col(order).cast("string"), 1, 8)], "__n")
-    numbered = F.concat(stem(F.col(name)), F.lit("_"), F.col("__n").cast("string"), suffix(F.col(name)))
-    return placed.withColumn("import_name", F.when(F.col("__n") == 0, F.col(name)).otherwise(numbered)).drop("__n")
+    """Equal file names get _1, _2 and so on before the suffix, past names that other files hold."""
+    return distinct_names(files, name, order, into="import_name")
 
 
 def png_size(content: Column) -> tuple[Column, Column]:

@@ -93,3 +93,28 @@ def test_colors_and_names(spark):
     f = {"index": F.lit(7), "page_number": F.lit(12), "stem": F.lit("a<b"), "source_stem": F.lit("s"), "project": F.lit("p"), "stage": F.lit("render")}
     names = [spark.range(1).select(export_name(p, f)).first()[0] for p in ("{page_number:03d}-{stem}", "{index}", "{oops}", "...", "")]
     assert names == ["012-a_b", "7", "0007_s", "0007_s", "0007_a_b"]
+
+
+def test_references_of_html(spark):
+    given = ["a&#8217;b", "caf&eacute;&hellip;", "&amp;lt;", "&#x41;&#66;", None, ""]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i int, x string")
+    got = df.select("i", t.unescape_entities(F.col("x")).alias("y")).orderBy("i").collect()
+    assert [r["y"] for r in got] == ["a’b", "café…", "&lt;", "AB", None, ""]
+
+
+def test_cjk_follows_character_names(spark):
+    import unicodedata
+
+    rows = spark.range(0x110000).where("id not between 55296 and 57343").select(
+        "id", t.contains_cjk(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")).alias("hit")).where("hit").collect()
+    want = {c for c in range(0x110000) if any(n in unicodedata.name(chr(c), "") for n in t.CJK_NAMES)}
+    assert {r["id"] for r in rows} == want
+
+
+def test_names_never_clash(spark):
+    from pagestrata.operators.ranking import distinct_names
+
+    given = ["a.png", "a.png", "a_1.png", "a_1.png", "a_3.png", "a.png", "a.png", "a_01.png", None, None, "b", "b"]
+    df = spark.createDataFrame(list(enumerate(given)), "o int, n string")
+    got = [r["unique_name"] for r in distinct_names(df, "n", "o").orderBy("o").collect()]
+    assert got == ["a.png", "a_2.png", "a_1.png", "a_1_1.png", "a_3.png", "a_4.png", "a_5.png", "a_01.png", None, None, "b", "b_1"]
