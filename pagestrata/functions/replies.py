@@ -84,7 +84,7 @@ def build_requests(lines: DataFrame, chunks: DataFrame, source: str, target: str
     """Chat request per chunk of pages: system text, labelled JSON of the lines, shape.
 
     ``lines`` hold ``project_id, page_no, line_no, text``; ``chunks`` assign ``chunk``;
-    ``context`` may hold ``project_id, prompt``. A chunk is a few pages by construction.
+    ``context`` may hold ``project_id, prompt``, or ``project_id, chunk, prompt`` with what is known before a chunk. A chunk is a few pages by construction.
     """
     items = F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x, i: F.struct(i.cast("long").alias("index"), F.coalesce(x["text"], F.lit("")).alias("text")))
     pages = lines.join(chunks.select("project_id", "page_no", "chunk"), ["project_id", "page_no"]).groupBy("project_id", "chunk", "page_no").agg(items.alias("items"))
@@ -93,7 +93,8 @@ def build_requests(lines: DataFrame, chunks: DataFrame, source: str, target: str
     df = pages.groupBy("project_id", "chunk").agg(F.to_json(F.struct(payload.alias("pages"))).alias("payload"), F.sum(F.size("items")).cast("long").alias("line_count"))
     system = F.lit(DEFAULT_SYSTEM % (source, target))
     if context is not None:
-        df = df.join(context.select("project_id", "prompt"), "project_id", "left")
+        keys = [c for c in ("project_id", "chunk") if c in context.columns]
+        df = df.join(context.select(*keys, "prompt"), keys, "left")
         known = strip(F.coalesce("prompt", F.lit("")))
         system = F.when(known != "", F.concat(F.lit(CONTEXT_TITLE + "\n"), known)).otherwise(system)
     user = F.concat_ws("\n\n", F.lit(PAGES_LABEL), "payload", F.lit(PAGES_SHAPE), F.lit(NO_EXTRAS))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagestrata.functions.text import strip
 from pagestrata.operators.translation import LINE, PAGE, page_chunks, page_positions, page_shapes
+from pagestrata.session import cut_lineage
 
 # Fixed values
 JAPANESE_TITLES = "さん|君|くん|ちゃん|様|さま|先生|先輩|後輩|殿"
@@ -22,6 +25,9 @@ NAME_PATTERNS = (
     rf"({WORD}+)[-\s]?(?:{JAPANESE_TITLES})", rf"({WORD}+)[-\s]?(?:{KOREAN_TITLES})", rf"({WORD}+)[-\s]?(?:{CHINESE_TITLES})",
     rf"(?<!{WORD})([A-Z][a-z]{{2,}})(?!{WORD})",
 )
+PROMPT_START, PROMPT_END = "---\nCONTEXT MEMORY:\n", "---\n"
+NAMES_TITLE, TERMS_TITLE = "CHARACTER NAMES (use consistently):", "KEY TERMS (translate consistently):"
+STORY_TITLE = "STORY SO FAR:\n  "
 MANUAL_TERM_WEIGHT = 5
 PRIORITY_TERMS, PROMPT_TERMS, MAX_NAMES, RECENT_PAGES = 20, 15, 15, 5
 SUMMARY_PAGES, SUMMARY_LINES, MIN_SUMMARY_CHARS = 3, 3, 10
@@ -77,6 +83,50 @@ def running_term_usage(rows: DataFrame) -> DataFrame:
     return per_page.withColumn("known_before", F.coalesce(F.sum("cnt").over(before), F.lit(0).cast("long")))
 
 
+#: Blocks of chunks per block of the next level.
+FAN = 16
+
+
+def terms_before(rows: DataFrame, chunks: DataFrame, n: int = PRIORITY_TERMS) -> DataFrame:
+    """Top terms of all earlier chunks, for each chunk: ``project_id, chunk, term, cnt, first_seen, rank``.
+
+    Works down from blocks of many chunks to single ones. A term that is among the first n before a block's part was
+    so before the block, or occurs in the block: only such terms are carried, so a long project costs a constant
+    number of rows per term and level, and no window holds more than one block or one set of candidates.
+    """
+    used = rows.join(chunks.select(*PAGE, "chunk"), PAGE).groupBy("project_id", "chunk", "term").agg(
+        F.count("*").alias("cnt"), F.min(F.struct("page_no", "line_no", "slot")).alias("first_seen"))
+    used = cut_lineage(used)
+    last = used.agg(F.max("chunk")).first()[0] or 0
+    levels = 1
+    while FAN**levels <= last:
+        levels += 1
+    base = used.groupBy("project_id", "term").agg(F.min("first_seen").alias("first_seen")).select(
+        "project_id", F.lit(0).cast("long").alias("parent"), "term", F.lit(0).cast("long").alias("before"), "first_seen")
+    top, key = None, ["project_id", "parent", "term"]
+    for level in reversed(range(levels)):
+        block = F.floor(F.col("chunk") / FAN**level)
+        counts = used.groupBy("project_id", F.floor(block / FAN).alias("parent"), block.alias("block"), "term").agg(F.sum("cnt").alias("cnt"))
+        inside = Window.partitionBy(*key).orderBy("block")
+        seen = cut_lineage(counts.join(base, key).withColumns({
+            "before": F.col("before") + F.coalesce(F.sum("cnt").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")),
+            "until": F.coalesce(F.lead("block").over(inside), (F.col("parent") + 1) * FAN - 1),
+        }))
+        cols = ["project_id", "block", "term", "cnt", "first_seen"]
+        held = seen.where(F.col("until") > F.col("block")).select(
+            "project_id", "term", "first_seen", (F.col("before") + F.col("cnt")).alias("cnt"),
+            F.explode(F.sequence(F.col("block") + 1, "until")).alias("block")).select(cols)
+        if top is not None:
+            first = F.col("block") * FAN
+            held = held.unionByName(top.withColumn("block", F.explode(F.sequence(first, first + (FAN - 1)))).select(cols))
+        merged = held.groupBy("project_id", "block", "term").agg(F.max("cnt").alias("cnt"), F.min("first_seen").alias("first_seen"))
+        best = Window.partitionBy("project_id", "block").orderBy(F.col("cnt").desc(), "first_seen")
+        top = cut_lineage(merged.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n))
+        base = seen.select("project_id", F.col("block").alias("parent"), "term", "before", "first_seen")
+    present = chunks.select("project_id", "chunk").distinct()
+    return top.withColumnRenamed("block", "chunk").join(present, ["project_id", "chunk"], "left_semi")
+
+
 def story_summary(target: DataFrame) -> DataFrame:
     """Summary after every page: long lines of the last three pages, first three of them.
 
@@ -136,25 +186,49 @@ def term_pairs(replies: DataFrame) -> DataFrame:
     )
 
 
-def _section(rows: DataFrame, title: str, line: Column, order: Column, name: str) -> DataFrame:
+def _section(rows: DataFrame, title: str, line: Column, order: Column, name: str, keys: Sequence[str] = ("project_id",)) -> DataFrame:
     listed = F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), line.alias("l")))), lambda s: s["l"])
-    return rows.groupBy("project_id").agg(F.concat(F.lit(title + "\n"), F.array_join(listed, "")).alias(name))
+    return rows.groupBy(*keys).agg(F.concat(F.lit(title + "\n"), F.array_join(listed, "")).alias(name))
+
+
+def _name_lines(names: DataFrame) -> DataFrame:
+    pair = F.format_string("  %s → %s\n", "term", "translation")
+    return _section(names.where(F.col("rank") <= MAX_NAMES), NAMES_TITLE, pair, F.col("rank"), "a")
+
+
+def _term_lines(frequent: DataFrame, terms: DataFrame, keys: Sequence[str]) -> DataFrame:
+    keyed = frequent.join(terms.select("project_id", "term", "translation"), ["project_id", "term"], "left")
+    line = F.when(F.col("translation").isNotNull(), F.format_string("  %s → %s\n", "term", "translation")).otherwise(
+        F.format_string("  %s (×%d)\n", "term", "cnt"))
+    return _section(keyed, TERMS_TITLE, line, F.col("rank"), "b", keys)
+
+
+def _prompt(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, prompt`` from the names ``a``, the terms ``b`` and the story ``s``."""
+    story = F.when(F.col("s") != "", F.concat(F.lit(STORY_TITLE), "s", F.lit("\n")))
+    body = F.concat_ws("", "a", "b", story)
+    return df.select(*keys, F.when(body != "", F.concat(F.lit(PROMPT_START), body, F.lit(PROMPT_END))).otherwise("").alias("prompt"))
 
 
 def context_prompt(usage: DataFrame, names: DataFrame, terms: DataFrame, summaries: DataFrame) -> DataFrame:
-    """Context text per project: names, key terms, story. Empty parts are left out.
+    """Context text per project after its last page: names, key terms, story. Empty parts are left out.
 
     ``names`` and ``terms`` hold ``project_id, term, translation``; names also ``rank``.
     """
-    named = names.where(F.col("rank") <= MAX_NAMES)
-    part_1 = _section(named, "CHARACTER NAMES (use consistently):", F.format_string("  %s → %s\n", "term", "translation"), F.col("rank"), "a")
-    keyed = frequent_terms(usage).join(terms.select("project_id", "term", "translation"), ["project_id", "term"], "left")
-    line = F.when(F.col("translation").isNotNull(), F.format_string("  %s → %s\n", "term", "translation")).otherwise(
-        F.format_string("  %s (×%d)\n", "term", "cnt"))
-    part_2 = _section(keyed, "KEY TERMS (translate consistently):", line, F.col("rank"), "b")
-    story = summaries.groupBy("project_id").agg(F.max_by("summary", "page_no").alias("s"))
-    part_3 = story.select("project_id", F.when(F.col("s") != "", F.concat(F.lit("STORY SO FAR:\n  "), "s", F.lit("\n"))).alias("c"))
-    body = F.concat_ws("", "a", "b", "c")
-    return part_3.join(part_1, "project_id", "left").join(part_2, "project_id", "left").select(
-        "project_id", F.when(body != "", F.concat(F.lit("---\nCONTEXT MEMORY:\n"), body, F.lit("---\n"))).otherwise("").alias("prompt")
-    )
+    keys = ["project_id"]
+    story = summaries.groupBy(*keys).agg(F.max_by("summary", "page_no").alias("s"))
+    terms_of = _term_lines(frequent_terms(usage), terms, keys)
+    return _prompt(story.join(_name_lines(names), keys, "left").join(terms_of, keys, "left"), keys)
+
+
+def chunk_context(rows: DataFrame, chunks: DataFrame, target: DataFrame, names: DataFrame, terms: DataFrame) -> DataFrame:
+    """Context text per chunk: names and translations given for the project, key terms and story of the chunks before.
+
+    ``rows`` are those of ``term_rows``; ``chunks`` assign ``chunk`` to the pages, without gaps from 0.
+    """
+    keys = ["project_id", "chunk"]
+    frequent = terms_before(rows, chunks).where((F.col("cnt") >= 2) & (F.col("rank") <= PROMPT_TERMS))
+    after = story_summary(target).join(chunks.select(*PAGE, "chunk"), PAGE).groupBy(*keys).agg(F.max_by("summary", "page_no").alias("s"))
+    story = after.withColumn("chunk", F.col("chunk") + 1)
+    df = chunks.select(*keys).distinct().join(story, keys, "left").join(_term_lines(frequent, terms, keys), keys, "left")
+    return _prompt(df.join(_name_lines(names), "project_id", "left"), keys)

@@ -8,6 +8,7 @@ from pagestrata.functions import replies as rp
 from pagestrata.operators import recognition as rc
 from pagestrata.operators import terms as tm
 from pagestrata.operators import translation as tr
+from pagestrata.plans.q_translation import SUMMARY, TERM_ROWS
 from pagestrata.plans.registry import query
 
 
@@ -79,12 +80,25 @@ def _(v):
     return out.select("project_id", "chunk", "line_count", F.split("user", "\n\n")[1].alias("payload"))
 
 
-@query("build_requests_in_context")
+IN_CONTEXT = f"""with {TERM_ROWS}, {SUMMARY}, ck as (select project_id, page_no, (row_number() over (partition by project_id order by page_no)-1)//2 ch from (select distinct project_id, page_no from fx_source) q),
+  cl as (select project_id, ch, max(page_no) last_page from ck group by 1,2), tc as (select tr.*, ch from tr join ck using (project_id, page_no)),
+  kb as (select cl.project_id, cl.ch, term, count(*) cnt, min((page_no, line_no, slot)) fs from cl join tc on tc.project_id=cl.project_id and tc.ch<cl.ch group by 1,2,3),
+  kr as (select *, row_number() over (partition by project_id, ch order by cnt desc, fs) rnk from kb),
+  b as (select project_id, ch, 'KEY TERMS (translate consistently):'||chr(10)||string_agg('  '||term||' (×'||cast(cnt as varchar)||')'||chr(10),'' order by rnk) b from kr where rnk<=15 and cnt>=2 group by 1,2),
+  c as (select sm.project_id, ch+1 ch, 'STORY SO FAR:'||chr(10)||'  '||arg_max(summary, sm.page_no)||chr(10) c from sm join ck on ck.project_id=sm.project_id and ck.page_no=sm.page_no group by 1,2 having arg_max(summary, sm.page_no)<>''),
+  n as (select project_id, ch, count(*) line_count from fx_source join ck using (project_id, page_no) group by 1,2)
+  select n.project_id, n.ch as chunk, line_count, case when b is null and c is null then '{rp.DEFAULT_SYSTEM % ("Japanese", "English")}' else
+    '{rp.CONTEXT_TITLE}'||chr(10)||'---'||chr(10)||'CONTEXT MEMORY:'||chr(10)||coalesce(b,'')||coalesce(c,'')||'---' end as system
+  from n left join b using (project_id, ch) left join c using (project_id, ch)"""
+
+
+@query("build_requests_in_context", IN_CONTEXT, "fx_source fx_target")
 def _(v):
-    usage = tm.term_usage(tm.term_rows(v.source, v.target))
-    none = usage.select("project_id", "term", F.lit("").alias("translation"), F.lit(1).alias("rank")).where(F.lit(False))
-    context = tm.context_prompt(usage, none, none, tm.story_summary(v.target))
-    return rp.build_requests(v.source, tr.page_chunks(v.source.select(*tr.PAGE).distinct()), "Japanese", "English", context)
+    chunks = tr.page_chunks(v.source.select(*tr.PAGE).distinct(), 2)
+    none = v.source.select("project_id", F.lit("").alias("term"), F.lit("").alias("translation"), F.lit(1).alias("rank")).where(F.lit(False))
+    context = tm.chunk_context(tm.term_rows(v.source, v.target), chunks, v.target, none, none)
+    out = rp.build_requests(v.source, chunks, "Japanese", "English", context)
+    return out.select("project_id", "chunk", "line_count", "system")
 
 
 # ------------------------------------------------------------- pieces
