@@ -13,16 +13,14 @@ from pagestrata.functions.text import strip
 from pagestrata.operators.ranking import distinct_names, number_band, with_position
 from pagestrata.operators.status import MIN_RENDER_AREA
 
+MISSING_SOURCE = {
+    "source": "no source image", "inpaint": "not inpainted yet", "render": "not drawn yet",
+}
 # Fixed values
 CACHE_ARTEFACTS = (
     ("detection", ".json"), ("ocr", ".json"), ("translation", ".json"), ("inpaint", ".json"), ("inpaint", ".png"),
     ("render", ".json"), ("render", ".png"), ("masks", ""), ("ocr_crops", ""), ("render_sprites", ""),
 )
-MISSING_SOURCE = {
-    "source": "Source image missing. Choose a different export source or re-import the page.",
-    "inpaint": "Inpaint result missing. Run Inpaint first or choose a different export source.",
-    "render": "Render result missing. Run Render first or choose a different export source.",
-}
 
 
 def cache_paths(pages: DataFrame) -> DataFrame:
@@ -46,7 +44,7 @@ def build_render_items(translation: DataFrame, ocr: DataFrame, canon: DataFrame)
         "page_id", "ocr_item_id", "canon_id", F.coalesce(F.when(F.col("kind") != "", F.col("kind")), F.col("__kind"), F.lit("")).alias("kind"),
         text.alias("translated_text"), *box("__b").named(), *box("__r").named("r"),
         F.when((text == "") | small, "skipped").otherwise("pending").alias("status"),
-        F.when((text != "") & small, "Render box is invalid or too small.").otherwise("").alias("error"),
+        F.when((text != "") & small, "box unusable").otherwise("").alias("error"),
     )
 
 

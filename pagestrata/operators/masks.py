@@ -117,9 +117,10 @@ def masked_pixels(boxes: DataFrame) -> DataFrame:
 def mask_signature(boxes: DataFrame) -> DataFrame:
     """Hash per page that changes with its set of boxes or its size; order does not count."""
     once = boxes.select("page_id", "w", "h", *EDGES).distinct()
-    keyed = once.withColumn("k", F.xxhash64(*EDGES)).withColumn("k2", F.xxhash64(*reversed(EDGES), F.lit(1)))
+    digest = F.md5(F.concat_ws(",", *EDGES))
+    keyed = once.withColumns({k: F.conv(F.substring(digest, at, 15), 16, 10).cast("long") for k, at in (("k", 1), ("k2", 16))})
     rolled = keyed.groupBy("page_id", "w", "h").agg(F.bit_xor("k").alias("a"), F.bit_xor("k2").alias("b"), F.count("*").alias("n"))
-    return rolled.select("page_id", F.sha2(F.to_json(F.struct("w", "h", "n", "a", "b")), 256).alias("signature"))
+    return rolled.select("page_id", F.sha2(F.concat_ws(",", "w", "h", "n", "a", "b"), 256).alias("signature"))
 
 
 # ---------------------------------------------------------------- pixels

@@ -115,7 +115,7 @@ def render_work_list(items: DataFrame) -> DataFrame:
     blank = strip(F.coalesce("text", F.lit(""))) == ""
     return df.withColumns({
         "wanted": live & ~small & ~blank,
-        "error": F.when(live & small, "Render box is invalid or too small.").when(live & blank, "").otherwise(F.col("error")),
+        "error": F.when(live & small, "box unusable").when(live & blank, "").otherwise(F.col("error")),
         "status": F.when(live & (small | blank), "skipped").otherwise(F.col("status")),
     }).drop("__bx1", "__by1", "__bx2", "__by2")
 

@@ -76,14 +76,15 @@ SHARED: dict[str, tuple[tuple[str, ...], str]] = {
           case c.part_key % 3 when 0 then 'deepseek_ocr_llama' when 1 then 'paddleocr_vl_llama' else 'chrome_lens' end provider
         from fx_canon c join {part} p on p.p_partkey = c.part_key"""),
     "fx_translation": (("fx_ocr",), """
-        select page_id, ocr_item_id, canon_id, part_key,
+        select page_id, case when gone then ocr_item_id + 1000000 else ocr_item_id end ocr_item_id,
+          case when gone then concat('gone_', canon_id) else canon_id end canon_id, part_key,
           case when ocr_item_id % 4 = 0 then concat(text, ' changed') else text end source_text,
           case when ocr_item_id % 6 = 0 then '' else concat('tr:', text) end translated_text,
           case (page_id + ocr_item_id) % 4 when 0 then 'manually_edited' when 1 then 'done'
             when 2 then 'error' else 'running' end status,
           case when (page_id + ocr_item_id) % 4 = 2 then 'timeout' else '' end error,
           case when part_key % 2 = 0 then 'gemini' else '' end translator
-        from fx_ocr where (page_id + ocr_item_id) % 3 = 0"""),
+        from (select *, (page_id + ocr_item_id) % 3 = 0 gone from fx_ocr) q"""),
     "fx_pair": ((), """
         select u.conv_id project_id, u.turn page_no, u.text source_text, a.text translated_text
         from {conversations} u join {conversations} a on a.conv_id = u.conv_id and a.turn = u.turn + 1

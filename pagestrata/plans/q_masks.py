@@ -67,7 +67,9 @@ def _(v):
     return mk.masked_pixels(v.canon.where("enabled").select("page_id", *box("o").named()))
 
 
-@query("mask_signature")
+@query("mask_signature", """with o as (select distinct page_id, w, h, x1, y1, x2, y2 from fx_canon where enabled), d as (select *, md5(concat_ws(',',x1,y1,x2,y2)) m from o),
+  r as (select page_id, w, h, count(*) n, bit_xor(('0x'||substr(m,1,15))::bigint) a, bit_xor(('0x'||substr(m,16,15))::bigint) b from d group by 1,2,3)
+  select page_id, sha256(concat_ws(',',w,h,n,a,b)) signature from r""", "fx_canon")
 def _(v):
     return mk.mask_signature(v.canon.where("enabled").select("page_id", "w", "h", *EDGES))
 

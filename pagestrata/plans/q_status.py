@@ -84,7 +84,7 @@ def _(v):
 
 @query("render_work_list", """with s as (select page_id, ocr_item_id, excluded, status, text, (greatest(0,least(case when part_key%7=0 then x1+3 else x2 end,w))-x1)*(y2-y1) a from fx_ocr)
   select page_id, ocr_item_id, not excluded and status<>'skipped' and a>=64 and text<>'' wanted, case when not excluded and status<>'skipped' and (a<64 or text='') then 'skipped' else status end status,
-    case when not excluded and status<>'skipped' then case when a<64 then 'Render box is invalid or too small.' when text='' then '' else 'old' end else 'old' end error from s""", "fx_ocr")
+    case when not excluded and status<>'skipped' then case when a<64 then 'box unusable' when text='' then '' else 'old' end else 'old' end error from s""", "fx_ocr")
 def _(v):
     items = v.ocr.withColumns({"x2": F.when(F.col("part_key") % 7 == 0, F.col("x1") + 3).otherwise(F.col("x2")), "error": F.lit("old")})
     return st.render_work_list(items).select("page_id", "ocr_item_id", "wanted", "status", "error")
@@ -167,7 +167,7 @@ def _(v):
 
 @query("build_render_items", """with t as (select t.page_id, t.ocr_item_id, t.canon_id, o.kind okind, case when t.part_key%2=0 then o.kind else '' end kind, trim(translated_text) tt, c.* exclude (page_id, canon_id, kind) from fx_translation t join fx_canon c on c.page_id=t.page_id and c.canon_id=t.canon_id and c.enabled
     left join fx_ocr o on o.page_id=t.page_id and o.ocr_item_id=t.ocr_item_id), a as (select *, case when part_key%9=0 then 36 else (x2-x1)*(y2-y1) end a from t)
-  select page_id, ocr_item_id, canon_id, case when kind<>'' then kind else okind end kind, tt translated_text, case when tt='' or a<64 then 'skipped' else 'pending' end status, case when tt<>'' and a<64 then 'Render box is invalid or too small.' else '' end error from a""", "fx_translation fx_ocr fx_canon")
+  select page_id, ocr_item_id, canon_id, case when kind<>'' then kind else okind end kind, tt translated_text, case when tt='' or a<64 then 'skipped' else 'pending' end status, case when tt<>'' and a<64 then 'box unusable' else '' end error from a""", "fx_translation fx_ocr fx_canon")
 def _(v):
     small = F.col("part_key") % 9 == 0
     canon = v.canon.withColumns({
@@ -210,7 +210,7 @@ def _(v):
 
 
 MANIFEST = f"""{NUMBERS}, mf as (select project_id, page_id, export_index, page_number, case when page_id%3=0 then 'cache/render/p'||page_id||'.png' else '' end source_file,
-    case when page_id%3<>0 then 'skipped' when page_id%7=0 then 'error' else 'exported' end status, case when page_id%3<>0 then 'Render result missing. Run Render first or choose a different export source.' when page_id%7=0 then 'cannot read image' else '' end error,
+    case when page_id%3<>0 then 'skipped' when page_id%7=0 then 'error' else 'exported' end status, case when page_id%3<>0 then 'not drawn yet' when page_id%7=0 then 'cannot read image' else '' end error,
     case when page_id%3=0 and page_id%7<>0 then 'project_'||project_id||'-'||lpad(cast(page_number as varchar),3,'0')||'_p'||page_id||'_render.webp' else '' end output_name,
     case when page_id%3=0 and page_id%7<>0 then 1000 else 0 end width, case when page_id%3=0 and page_id%7<>0 then 1400 else 0 end height from nb)"""
 

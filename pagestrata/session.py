@@ -16,6 +16,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
@@ -43,7 +44,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df):
-    """Reliable checkpoint in the shared folder; survives executor loss."""
+    """Reliable checkpoint in the shared folder; survives executor loss.
+
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` its files go when no frame refers to them any more.
+    """
     spark = df.sparkSession
     folder = shared_folder(spark)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():

@@ -119,9 +119,10 @@ def scan_events(spark: SparkSession, path: str, stream: bool = False) -> DataFra
 def write_stage(df: DataFrame, stage: str, path: str) -> None:
     """Replace the partitions of the projects in the frame; other partitions stay.
 
-    The commit protocol publishes a partition only when all of it is written.
+    The commit protocol publishes a partition only when all of it is written. Rows are rebalanced by project first: small
+    projects are one file each, a large one is split over tasks.
     """
-    df.withColumn("stage", F.lit(stage)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stage", "project_id").parquet(path)
+    df.hint("rebalance", "project_id").withColumn("stage", F.lit(stage)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stage", "project_id").parquet(path)
 
 
 def read_stage(spark: SparkSession, stage: str, path: str) -> DataFrame:
