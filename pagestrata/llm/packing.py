@@ -16,7 +16,6 @@ come from counts per (length, bucket), so no length is numbered in one task.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections import deque
 
@@ -27,77 +26,48 @@ from pyspark.sql import functions as F
 from pagestrata.llm import base
 
 CAPACITY, GROUPS, SMALL = 1024, 256, 256
-#: Distinct chunks, and words, that a worker remembers the ids of.
-CHUNKS, WORDS = 400_000, 800_000
 ROWS_PER_BUCKET, MOST_BUCKETS = 256, 65_536
 
 
+def byte_ranks(tokenizer) -> dict[bytes, int]:
+    """Bytes and id of every ordinary token of a byte-level vocabulary.
+
+    Such a vocabulary writes printable Latin-1 bytes as themselves and the others, in order, as the characters from 256 on.
+    """
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    value = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
+    special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+    return {bytes(value[c] for c in piece): i for piece, i in tokenizer.get_vocab().items() if piece not in special}
+
+
 class Encoder:
-    """Ids of whole texts as the tokenizer gives them, with each distinct chunk and word encoded once.
+    """Ids of whole texts as a byte-level tokenizer gives them.
 
-    The tokenizer splits a text by the pattern first and merges only inside a part. A space that has no white space
-    beside it starts a part, so a text falls into chunks there; chunks split by the pattern give words. Texts with other
-    white space beside a space are split by the pattern as a whole; texts with a special string are left to the tokenizer.
+    Its merges are ranked by id, so the same vocabulary as ranks, split by the same pattern, gives the same ids at a part of
+    the cost. Texts with a special string, and texts that the pattern gives up on (millions of spaces in a row), are left to
+    the tokenizer itself.
     """
 
     def __init__(self, tokenizer_path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.split = regex.compile(pattern).findall
-        # a space, Latin letters and common marks: parted as the pattern does it, at a fraction of the cost
-        self.plain = re.compile(r"( [A-Za-zÀ-ÖØ-öø-ÿ]+)([,.;:!?|]*)").fullmatch
-        self.odd = re.compile(r" \s|\s |^ | $").search
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that start with the byte of a space
-        self.begins[[i for piece, i in self.tokenizer.get_vocab().items() if piece[0] == "Ġ"]] = True
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=byte_ranks(self.tokenizer), special_tokens={})
+
+    def ids(self, text: str) -> bytes:
+        if not any(s in text for s in self.special):
+            try:
+                return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+            except ValueError:  # the pattern ran out of its stack
+                pass
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        parts: list[list[str] | None] = []
-        for text in texts:
-            if any(s in text for s in self.special):
-                parts.append(None)
-            elif self.odd(text):
-                parts.append(self.split(text))
-            else:
-                first, *rest = text.split(" ")
-                parts.append(self.split(first) + [" " + w for w in rest])
-        if len(self.chunks) > CHUNKS:
-            self.chunks.clear()
-        self._learn(list(set().union(*(p for p in parts if p)).difference(self.chunks)))
-        get = self.chunks.__getitem__
-        return [
-            np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if p is None else b"".join(map(get, p))
-            for t, p in zip(texts, parts)
-        ]
-
-    def _learn(self, chunks: list[str]) -> None:
-        split = []
-        for chunk in chunks:
-            got = self.plain(chunk)
-            split.append(self.split(chunk) if got is None else (got[1],) if not got[2] else got.groups())
-        if len(self.words) > WORDS:
-            self.words.clear()
-        new = list(set().union(*split).difference(self.words))
-        # words of a space and letters stay apart when they are joined, and long inputs cost less a word
-        plain = [w for w in new if w[0] == " " and self.plain(w) and w[-1].isalpha()]
-        parts = [plain[a : a + 128] for a in range(0, len(plain), 128)]
-        for part, got in zip(parts, self.tokenizer.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False)):
-            numbers = np.array(got.ids, "<u4")
-            starts, ids = np.append(np.flatnonzero(self.begins[numbers]), len(numbers)) * 4, numbers.tobytes()
-            starts = starts.tolist()
-            self.words.update(zip(part, [ids[i:j] for i, j in zip(starts, starts[1:])]))
-        other = [w for w in new if w not in self.words]
-        for w, got in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False)):
-            self.words[w] = np.array(got.ids, "<u4").tobytes()
-        get = self.words.__getitem__
-        for chunk, ws in zip(chunks, split):
-            self.chunks[chunk] = get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws))
+        return [self.ids(t) for t in texts]
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}

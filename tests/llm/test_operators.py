@@ -72,6 +72,18 @@ def test_pretokens_and_chunks_of_random_texts():
         assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_every_character_and_of_extreme_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole, encoder = Tokenizer.from_file(path), packing.Encoder(path, public_tokenizers.PATTERN)
+    points = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    made = ["".join(f"a{c}a1{c}1!{c}!  {c}{c} \n{c} " for c in points[a : a + 64]) for a in range(0, len(points), 64)]
+    made += ["x" * 300_000, "a" + " " * 300_000 + "b", "a" + " " * 1_500_000 + "b", "\n" * 1_500_000, "字" * 100_000]
+    for ids, got in zip(encoder.encode(made), whole.encode_batch(made, add_special_tokens=False)):
+        assert np.frombuffer(ids, "<u4").tolist() == got.ids
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
