@@ -116,15 +116,104 @@ def _(v):
     return docs.read_stage(v.spark, "ocr", path).select("page_id", "ocr_item_id", "text", "status", F.col("project_id").cast("long").alias("project_id"))
 
 
-@query("scan_ocr_documents", "select page_id, ocr_item_id id, canon_id, text, case when part_key%2=0 then 'prepared' else status end status, needs_ocr, false excluded from fx_ocr", "fx_ocr")
-def _(v):
-    path = scratch(v, "ocr")
-    item = F.struct(F.col("ocr_item_id").alias("id"), "canon_id", "text", F.when(F.col("part_key") % 2 == 1, F.col("status")).alias("status"), "needs_ocr")
-    made = v.ocr.groupBy("page_id").agg(F.to_json(F.struct(F.lit("ocr").alias("stage"), F.col("page_id").cast("string").alias("source_image"), F.collect_list(item).alias("items"))).alias("value"))
-    made.select("value").write.text(path)
-    # one document per line here; files of one document each read the same way
-    lines = v.spark.read.schema(docs.SCHEMAS["ocr"]).json(path).where("stage = 'ocr'").withColumn("page_key", F.col("source_image"))
-    return docs.items_of(lines, F.col("items"), "ocr").select(F.col("page_key").cast("long").alias("page_id"), F.col("id").cast("long").alias("id"), "canon_id", "text", "status", "needs_ocr", "excluded")
+def written(v, stage: str, made):
+    """Documents (``page_id`` and their fields) as JSON lines. One page in ten has another stage's name, one is broken."""
+    path, page = scratch(v, stage), F.col("page_id") % 10
+    fields = [c for c in made.columns if c != "page_id"]
+    value = F.to_json(F.struct(
+        F.when(page == 3, "other").otherwise(F.lit(stage)).alias("stage"), F.concat(F.lit("source/p"), F.col("page_id").cast("string"), F.lit(".png")).alias("source_image"), *fields))
+    made.select(F.when(page == 7, F.concat(F.lit("{"), value)).otherwise(value).alias("value")).write.text(path)
+    return path
+
+
+def listed(rows, key: str, *fields):
+    """Item list of each page in the order of ``key``; ``k`` is a field no reader knows."""
+    return rows.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), *fields))).alias("items"))
+
+
+def page_of_key():
+    return F.substring("page_key", 2, 20).cast("long").alias("page_id")
+
+
+READABLE = "page_id%10 not in (3,7)"
+
+
+@query("scan_ocr_documents", f"""select page_id, case when part_key%5=0 then row_number() over (partition by page_id order by ocr_item_id)-1 else ocr_item_id end id, canon_id, text,
+  case when part_key%2=0 then 'prepared' else status end status, needs_ocr, false excluded from fx_ocr where {READABLE}""", "fx_ocr")
+def _(v):
+    p = F.col("part_key")
+    made = listed(v.ocr, "ocr_item_id", F.when(p % 5 != 0, F.col("ocr_item_id")).alias("id"), "canon_id", "text", F.when(p % 2 == 1, F.col("status")).alias("status"), "needs_ocr")
+    items = docs.scan_items(v.spark, written(v, "ocr", made), "ocr", lines=True)["items"]
+    return items.select(page_of_key(), F.col("id").cast("long").alias("id"), "canon_id", "text", "status", "needs_ocr", "excluded")
+
+
+@query("scan_rejected_documents", "select page_id%10=7 broken, count(*) n from (select distinct page_id from fx_ocr) q where page_id%10 in (3,7) group by 1", "fx_ocr")
+def _(v):
+    rejected = docs.scan_items(v.spark, written(v, "ocr", listed(v.ocr, "ocr_item_id", "canon_id")), "ocr", lines=True)["rejected"]
+    return rejected.groupBy(F.col("_corrupt_record").isNotNull().alias("broken")).agg(F.count("*").alias("n"))
+
+
+@query("scan_detection_documents", f"""with r as (select *, det_kind part, row_number() over (partition by page_id, det_kind order by region_id)-1 p from fx_region where {READABLE})
+  select page_id, part, case when part_key%5=0 then p else region_id end id, x1, y1, x2, y2, score confidence, case when part='layout' then label end label, excluded, false manual from r
+  union all select page_id, 'canon', region_id, x1, y1, x2, y2, null, 'layout_text', false, part_key%2=0 from r where det_kind='layout'""", "fx_region")
+def _(v):
+    p, edges = F.col("part_key"), F.array(*EDGES).alias("bbox")
+    id_, likely = F.when(p % 5 != 0, F.col("region_id")).alias("id"), F.col("score").alias("confidence")
+    found, laid = v.region.where("det_kind = 'bubble'"), v.region.where("det_kind = 'layout'")
+    bubbles = listed(found, "region_id", id_, edges, likely, "excluded").withColumnRenamed("items", "bubbles")
+    layout = listed(laid, "region_id", id_, edges, likely, "label", "excluded").withColumnRenamed("items", "layout_regions")
+    canon = listed(laid, "region_id", F.col("region_id").cast("string").alias("canon_id"), edges, (p % 2 == 0).alias("manual"))
+    canon = canon.select("page_id", F.struct(F.lit(2).alias("schema_version"), "items").alias("canon_state"))
+    got = docs.scan_detection(v.spark, written(v, "detection", bubbles.join(layout, "page_id", "full").join(canon, "page_id", "full")), lines=True)
+
+    def part(rows, name, id_, confidence, label):
+        box_ = (F.col("bbox")[i].cast("long").alias(e) for i, e in enumerate(EDGES))
+        return rows.select(page_of_key(), F.lit(name).alias("part"), F.col(id_).cast("long").alias("id"), *box_, confidence.alias("confidence"), label.alias("label"), "excluded", "manual")
+
+    none = F.lit(None)
+    return part(got["bubbles"], "bubble", "id", F.col("confidence"), none.cast("string")).unionByName(
+        part(got["layout_regions"], "layout", "id", F.col("confidence"), F.col("label"))).unionByName(
+        part(got["canon_items"], "canon", "canon_id", none.cast("double"), F.col("kind")))
+
+
+@query("scan_translation_documents", f"""select page_id, case when part_key%5=0 then row_number() over (partition by page_id order by ocr_item_id)-1 else ocr_item_id end id, canon_id, source_text, translated_text,
+  case when part_key%2=0 then 'pending' else status end status, translator, status='manually_edited' manually_edited from fx_translation where {READABLE}""", "fx_translation")
+def _(v):
+    p = F.col("part_key")
+    made = listed(
+        v.translation, "ocr_item_id", F.when(p % 5 != 0, F.col("ocr_item_id")).alias("id"), "canon_id", "source_text", "translated_text",
+        F.when(p % 2 == 1, F.col("status")).alias("status"), F.when(F.col("translator") != "", F.col("translator")).alias("translator"), (F.col("status") == "manually_edited").alias("manually_edited"))
+    items = docs.scan_items(v.spark, written(v, "translation", made), "translation", lines=True)["items"]
+    return items.select(page_of_key(), F.col("id").cast("long").alias("id"), "canon_id", "source_text", "translated_text", "status", "translator", "manually_edited")
+
+
+@query("scan_render_documents", f"""select page_id, ocr_item_id id, text translated_text, case when part_key%2=0 then 'horizontal' else 'vertical' end writing_mode,
+  case when part_key%3=0 then 'font '||canon_id end font_name, status, excluded from fx_ocr where {READABLE}""", "fx_ocr")
+def _(v):
+    p = F.col("part_key")
+    style = F.when(p % 3 == 0, F.struct(F.concat(F.lit("font "), "canon_id").alias("font_name"))).alias("style_overrides")
+    made = listed(v.ocr, "ocr_item_id", F.col("ocr_item_id").alias("id"), F.col("text").alias("translated_text"), F.when(p % 2 == 1, "vertical").alias("writing_mode"), style, "status", "excluded")
+    items = docs.scan_items(v.spark, written(v, "render", made), "render", lines=True)["items"]
+    return items.select(page_of_key(), F.col("id").cast("long").alias("id"), "translated_text", "writing_mode", F.col("style_overrides.font_name").alias("font_name"), "status", "excluded")
+
+
+@query("scan_inpaint_documents", f"""select page_id, case when page_id%2=0 then 'done' else '' end status, count(*) item_count, count(*) filter (where enabled) active_item_count,
+  'h'||cast(sum(x1) as varchar) text_mask_hash, cast(min(part_key) as varchar) radius from fx_canon where {READABLE} group by 1""", "fx_canon")
+def _(v):
+    made = v.canon.groupBy("page_id").agg(
+        F.count("*").alias("item_count"), F.count_if("enabled").alias("active_item_count"), F.concat(F.lit("h"), F.sum("x1").cast("string")).alias("text_mask_hash"),
+        F.create_map(F.lit("radius"), F.min("part_key").cast("string")).alias("settings")).withColumn("status", F.when(F.col("page_id") % 2 == 0, "done"))
+    read = docs.scan_inpaint(v.spark, written(v, "inpaint", made), lines=True)["documents"]
+    return read.select(
+        page_of_key(), "status", F.col("item_count").cast("long").alias("item_count"), F.col("active_item_count").cast("long").alias("active_item_count"),
+        "text_mask_hash", F.col("settings")["radius"].alias("radius"))
+
+
+@query("scan_events", "select command_id, stage, event, page_id page_index, cast(event_id as varchar) message from fx_event", "fx_event")
+def _(v):
+    path = scratch(v, "events")
+    v.event.select(F.to_json(F.struct("command_id", "stage", "event", F.col("page_id").alias("page_index"), F.col("event_id").cast("string").alias("message"), "value")).alias("value")).write.text(path)
+    return docs.scan_events(v.spark, path).select("command_id", "stage", "event", F.col("page_index").cast("long").alias("page_index"), "message")
 
 
 @query("scan_project_pages", "select project_id, source_path, min(page_no) slot, max(ocr_status) ocr_status from (select project_id, 'source/p'||cast(page_no//2 as varchar)||'.png' source_path, page_no, case when page_no%2=0 then ocr_status end ocr_status from fx_page) q group by 1,2", "fx_page")

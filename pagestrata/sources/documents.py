@@ -48,16 +48,21 @@ ITEM_DEFAULTS = {
 }
 
 
-def read_documents(spark: SparkSession, path: str, stage: str) -> tuple[DataFrame, DataFrame]:
-    """Documents of a stage, and the rejected ones: broken JSON or another stage's."""
-    raw = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").option(
+def read_documents(spark: SparkSession, path: str, stage: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Documents of a stage, and the rejected ones: broken JSON or another stage's.
+
+    A file is one document, named after its page. With ``lines`` a file holds a document per line, so that many pages
+    are few files that can be split, and a document belongs to the page of its ``source_image``.
+    """
+    raw = spark.read.option("multiLine", not lines).option("mode", "PERMISSIVE").option(
         "columnNameOfCorruptRecord", "_corrupt_record").schema(SCHEMAS[stage] + ", _corrupt_record string").json(path)
     raw = raw.withColumn("file", F.input_file_name())
     good = F.col("_corrupt_record").isNull() & F.coalesce(F.col("stage") == stage, F.lit(False))
     docs = raw.where(good).drop("_corrupt_record")
     text = [f.name for f in docs.schema.fields if f.dataType.simpleString() == "string"]
     docs = docs.na.fill("", text).withColumn("schema_version", F.coalesce("schema_version", F.lit(2 if stage == "detection" else 1)))
-    return docs.withColumn("page_key", F.regexp_replace(F.substring_index("file", "/", -1), r"\.[^.]*$", "")), raw.where(~good).select("file", "stage", "_corrupt_record")
+    name = F.substring_index("source_image" if lines else "file", "/", -1)
+    return docs.withColumn("page_key", F.regexp_replace(name, r"\.[^.]*$", "")), raw.where(~good).select("file", "stage", "_corrupt_record")
 
 
 def items_of(docs: DataFrame, array: Column, kind: str) -> DataFrame:
@@ -69,22 +74,22 @@ def items_of(docs: DataFrame, array: Column, kind: str) -> DataFrame:
     return rows.withColumns({**filled, **flags, **ids})
 
 
-def scan_detection(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    docs, rejected = read_documents(spark, path, "detection")
+def scan_detection(spark: SparkSession, path: str, lines: bool = False) -> dict[str, DataFrame]:
+    docs, rejected = read_documents(spark, path, "detection", lines)
     return {
         "documents": docs.drop("bubbles", "layout_regions", "canon_state"), "bubbles": items_of(docs, F.col("bubbles"), "bubble"),
         "layout_regions": items_of(docs, F.col("layout_regions"), "layout"), "canon_items": items_of(docs, F.col("canon_state.items"), "canon"), "rejected": rejected,
     }
 
 
-def scan_items(spark: SparkSession, path: str, stage: str) -> dict[str, DataFrame]:
+def scan_items(spark: SparkSession, path: str, stage: str, lines: bool = False) -> dict[str, DataFrame]:
     """Documents, items and rejects of the ``ocr``, ``translation`` or ``render`` stage."""
-    docs, rejected = read_documents(spark, path, stage)
+    docs, rejected = read_documents(spark, path, stage, lines)
     return {"documents": docs.drop("items"), "items": items_of(docs, F.col("items"), stage), "rejected": rejected}
 
 
-def scan_inpaint(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    docs, rejected = read_documents(spark, path, "inpaint")
+def scan_inpaint(spark: SparkSession, path: str, lines: bool = False) -> dict[str, DataFrame]:
+    docs, rejected = read_documents(spark, path, "inpaint", lines)
     return {"documents": docs, "rejected": rejected}
 
 
