@@ -16,14 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from pagestrata.functions.text import filter_ocr_text
+from pagestrata.functions.text import QUOTA_MARKERS, filter_ocr_text, is_quota_error
 from pagestrata.operators import translation as tr
 from pagestrata.operators.status import ocr_work_list, work_pages
 from pagestrata.session import cut_lineage
 
-# Fixed values
-QUOTA_WORDS = ("429", "quota", "rate limit", "resource_exhausted", "too many requests")
-
 
 class GaveUp(Exception):
     """No attempt succeeded."""
@@ -36,29 +33,40 @@ class Retrying:
         self.provider, self.attempts, self.base_delay, self.sleep = provider, attempts, base_delay, sleep
         self.log: list[tuple[int, str]] = []
 
+    def validate(self):
+        getattr(self.provider, "validate", lambda: None)()
+
+    def close(self):
+        getattr(self.provider, "close", lambda: None)()
+
     def call(self, row):
+        self.log = []
         for attempt in range(self.attempts):
             try:
                 return self.provider.call(row)
             except Exception as exc:
-                self.log.append((attempt + 1, str(exc)))
-                if any(word in str(exc).lower() for word in QUOTA_WORDS):
+                self.log.append((attempt + 1, "request timed out" if isinstance(exc, TimeoutError) else str(exc) or type(exc).__name__))
+                if any(word in str(exc).lower() for word in QUOTA_MARKERS):
                     break
                 if attempt + 1 < self.attempts:
                     self.sleep(self.base_delay * 2**attempt)
         raise GaveUp(self.log[-1][1])
 
 
-def run_provider(df: DataFrame, make: Callable[[], object], result: T.StructType) -> DataFrame:
-    """Each row with the provider's result fields, ``ok`` and ``error``."""
-    schema = T.StructType([*df.schema.fields, *result.fields, T.StructField("ok", T.BooleanType()), T.StructField("error", T.StringType())])
+TRIES = T.ArrayType(T.StructType().add("attempt", T.IntegerType()).add("error", T.StringType()))
+
+
+def run_provider(df: DataFrame, make: Callable[[], object], result: T.StructType, attempts: int = 1, base_delay: float = 1.0) -> DataFrame:
+    """Each row with the provider's result fields, ``ok``, ``error`` and ``tries``, the attempts that failed."""
+    outcome = T.StructType().add("ok", T.BooleanType()).add("error", T.StringType()).add("tries", TRIES)
+    schema = T.StructType([*df.schema.fields, *result.fields, *outcome.fields])
     arrow, names = to_arrow_schema(schema), result.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         provider, broken = None, None
         try:
-            provider = make()
-            getattr(provider, "validate", lambda: None)()
+            provider = Retrying(make(), attempts, base_delay)
+            provider.validate()
         except Exception as exc:
             broken = f"provider unavailable: {exc}"
         try:
@@ -69,15 +77,14 @@ def run_provider(df: DataFrame, make: Callable[[], object], result: T.StructType
                     if error is None:
                         try:
                             answer = provider.call(row)
-                        except TimeoutError:
-                            error = "request timed out"
-                        except Exception as exc:
-                            error = str(exc) or type(exc).__name__
-                    out.append({**row, **{n: answer.get(n) for n in names}, "ok": error is None, "error": error or ""})
+                        except GaveUp as exc:
+                            error = str(exc)
+                    tries = [] if broken else [{"attempt": n, "error": text} for n, text in provider.log]
+                    out.append({**row, **{n: answer.get(n) for n in names}, "ok": error is None, "error": error or "", "tries": tries})
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
         finally:
             if provider is not None:
-                getattr(provider, "close", lambda: None)()
+                provider.close()
 
     return df.mapInArrow(run, schema)
 
@@ -128,7 +135,7 @@ def recognise_items(items: DataFrame, make: Callable[[], object], force: bool =
         "status": F.when(~ok, "error").when(F.col("rejected"), "skipped").otherwise("done"),
         "text": F.when(ok, F.col("clean_text")).otherwise(F.col("text")), "skip_reason": F.when(ok, F.col("reason")).otherwise(""),
         "raw_ocr_text": F.when(ok & (F.col("clean_text") != F.col("raw_text")), F.col("raw_text")).otherwise(""), "needs_ocr": ~ok,
-    }).drop("ok", "raw_text", "clean_text", "rejected", "reason")
+    }).drop("ok", "tries", "raw_text", "clean_text", "rejected", "reason")
 
 
 # ---------------------------------------------------------------- translation
@@ -157,17 +164,30 @@ def _split(lines: DataFrame, answers: DataFrame, how: str) -> tuple[DataFrame, D
     return good, lines.join(fine, tr.PAGE, "left_anti")
 
 
-def translate_pages(lines: DataFrame, make_pages: Callable[[], object], make_lines: Callable[[], object], size: int | None = None) -> DataFrame:
+def _spent(done: DataFrame) -> DataFrame:
+    """Requests that ended because the quota is used up."""
+    return done.where(~F.col("ok") & is_quota_error(F.col("error")))
+
+
+def translate_pages(
+    lines: DataFrame, make_pages: Callable[[], object], make_lines: Callable[[], object], size: int | None = None, attempts: int = 1, base_delay: float = 1.0,
+) -> DataFrame:
     """Every line translated: strict page batches, failed pages alone, then line batches,
     and last the originals in place of what is missing. ``recovered_by`` tells the step.
+
+    Each request is tried up to ``attempts`` times. Pages that meet a used-up quota keep their originals at once.
     """
     lines = cut_lineage(lines.select(*tr.LINE, "text"))
     chunks = tr.page_chunks(lines.select(*tr.PAGE).distinct(), size).select(*tr.PAGE, "chunk")
-    batched = run_provider(_packed(lines.join(chunks, tr.PAGE), ["project_id", "chunk"]), make_pages, PAGES_RESULT)
-    good, open_ = _split(lines, cut_lineage(_answers(batched)), "batch")
-    alone = run_provider(_packed(open_, tr.PAGE), make_pages, PAGES_RESULT)
-    good_2, open_2 = _split(open_, cut_lineage(_answers(alone)), "page")
-    single = run_provider(_packed(open_2, tr.PAGE).select(*tr.PAGE, F.col("pages")[0]["lines"].alias("source_lines")), make_lines, LINES_RESULT)
+    ask = lambda rows, make, result: run_provider(rows, make, result, attempts, base_delay)
+    batched = cut_lineage(ask(_packed(lines.join(chunks, tr.PAGE), ["project_id", "chunk"]), make_pages, PAGES_RESULT).select("project_id", "chunk", "answers", "ok", "error"))
+    good, open_ = _split(lines, _answers(batched), "batch")
+    spent = chunks.join(_spent(batched).select("project_id", "chunk"), ["project_id", "chunk"]).select(*tr.PAGE)
+    alone = cut_lineage(ask(_packed(open_.join(spent, tr.PAGE, "left_anti"), tr.PAGE), make_pages, PAGES_RESULT).select(*tr.PAGE, "answers", "ok", "error"))
+    good_2, open_2 = _split(open_, _answers(alone), "page")
+    spent = spent.unionByName(_spent(alone).select(*tr.PAGE))
+    asked = _packed(open_2.join(spent, tr.PAGE, "left_anti"), tr.PAGE).select(*tr.PAGE, F.col("pages")[0]["lines"].alias("source_lines"))
+    single = ask(asked, make_lines, LINES_RESULT)
     told = cut_lineage(single.where("ok").select(*tr.PAGE, F.posexplode("lines").alias("line_no", "text")).withColumn("line_no", F.col("line_no").cast("long")))
     fine = tr.page_shapes(open_2, told).select(*tr.PAGE, F.when(F.col("valid"), "lines").otherwise("original").alias("recovered_by"))
     rest = tr.repair_lines(open_2, told).join(fine, tr.PAGE)

@@ -114,7 +114,17 @@ def _(v):
     return t.clean_model_output(v.table("documents"), fenced, "tidy_text").select("doc_id", "tidy_text")
 
 
-@query("strip_list_markers")
+# one line is never a list, so only marks inside it go; RE2 has no look-around, so a mark at the very end is fenced off first
+MARKS = rf"\(\d{{1,2}}\)|\d{{1,2}}[.):]|[{t.CIRCLED_NUMBERS}]", r"[-–—*•・]"
+
+
+def unmarked(x, marks):
+    fenced = rf"regexp_replace({x}, '(^|\s)({marks})$', '\1'||chr(1)||'\2')"
+    return rf"replace(regexp_replace({fenced}, '(^|\s)(?:{marks})', '\1', 'g'), chr(1), '')"
+
+
+@query("strip_list_markers", rf"""with l as (select doc_id, line_no, regexp_replace(line, '^\s+|\s+$', '', 'g') x from fx_line), n as (select *, {unmarked('x', MARKS[0])} y from l), b as (select *, {unmarked('y', MARKS[1])} z from n)
+  select doc_id, line_no, case when z=x then x else trim(regexp_replace(regexp_replace(trim(z), '\s+', ' ', 'g'), '\s+([,.;:!?])', '\1', 'g')) end bare from b""", "fx_line")
 def _(v):
     return v.line.select("doc_id", "line_no", t.strip_list_markers(F.col("line")).alias("bare"))
 

@@ -10,7 +10,7 @@ NO_SQL = {
     "best_attempt", "canon_from_detection", "clean_model_output", "consolidate_items",
     "crop_windows", "dedupe_blocks", "dedupe_text_and_geometry", "dedupe_text_regions", "layout_rois",
     "merge_bubbles", "outside_text_blocks", "reading_order", "reading_order_rtl",
-    "roi_detections", "strip_list_markers", "trim_repeated_suffix", "upgrade_canon",
+    "roi_detections", "trim_repeated_suffix", "upgrade_canon",
 }
 SF = "/root/testdata/sf0.001"
 

@@ -90,6 +90,36 @@ def test_retries():
         stages.Retrying(Flaky(["a", "b", "c"]), 3, 0.1, waits.append).call({})
 
 
+class Busy:
+    """Projects 1 to 3: fails twice, has no quota, answers."""
+
+    def __init__(self):
+        self.seen = 0
+
+    def call(self, row):
+        self.seen += 1
+        if row["project_id"] == 1 and self.seen < 3:
+            raise RuntimeError("bad json")
+        if row["project_id"] == 2:
+            raise RuntimeError("HTTP 429")
+        return {"answers": [{"page_no": p["page_no"], "lines": [x.upper() for x in p["lines"]]} for p in row["pages"]]}
+
+
+class Never:
+    def call(self, row):
+        return {"lines": ["asked"]}
+
+
+def test_attempts_are_rows_and_a_used_up_quota_keeps_originals(spark):
+    lines = spark.createDataFrame([(p, 0, 0, f"t{p}") for p in (1, 2, 3)], "project_id long, page_no long, line_no long, text string")
+    got = {r.project_id: (r.translated, r.recovered_by) for r in stages.translate_pages(lines, Busy, Never, 2, attempts=3, base_delay=0.01).collect()}
+    assert got == {1: ("T1", "batch"), 2: ("t2", "original"), 3: ("T3", "batch")}
+    one = lines.where("project_id < 3").withColumn("pages", F.array(F.struct("page_no", F.array("text").alias("lines")))).repartition(2, "project_id")
+    done = stages.run_provider(one, Busy, stages.PAGES_RESULT, 3, 0.01).collect()
+    tries = {r.project_id: [(t.attempt, t.error) for t in r.tries] for r in done}
+    assert tries[2] == [(1, "HTTP 429")] and all(e == "bad json" for _, e in tries[1])
+
+
 class Down:
     def validate(self):
         raise RuntimeError("no server")
