@@ -1,7 +1,8 @@
-"""Secrets in texts: long mixed tokens, judged by a random forest that removes false positives.
+"""Secrets in texts: long mixed tokens and values of secret names, judged by a random forest that removes false positives.
 
 Everything runs as DataFrame and SQL expressions and Spark's own forest; no Python runs on the executors. Candidates are
-runs of ``LEAST`` or more token characters that hold a digit or change from lower to upper case. The forest sees their
+runs of ``LEAST`` or more token characters that hold a digit or change from lower to upper case, tokens in a published key
+format, and whatever is assigned to a secret name, of any length and any characters but white space. The forest sees their
 length, character mix and transitions, how much of them the corpus's own words cover, the path (column ``source``) and
 the words around them.
 
@@ -34,6 +35,14 @@ KEY_FORMATS = (
 SECRET_NAMES = r"(?i)(passw|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|auth)"
 HARMLESS_NAMES = r"(?i)(commit|revision|checksum|sha-?\d*|md5|uuid|guid|example|sample|dummy|phone|tel|card|isbn|etag|digest)\W*$"
 PLAIN_PATHS = r"(?i)(test|example|sample|fixture|mock|doc)"
+PLACEHOLDER = r"(?i)^([*x._\-#]+|null|none|nil|true|false|undefined|\$?\{.*|<.*|%.*%|\$[A-Z_]+)$"
+
+_FORMAT = "(?<![A-Za-z0-9])(?:" + "|".join(p.removeprefix("^").removesuffix("$") for p in KEY_FORMATS) + ")(?![A-Za-z0-9])"
+# The names of SECRET_NAMES, but not secretary, tokenizer and author.
+_NAME = r"(?:passw|pwd|secret(?!ar)|token(?!i[sz])|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|auth(?!or(?!i[sz])))"
+_TO = rf"{_NAME}[\w.\-]*[\"'`\])\\]*\s*(?::=|=>|==|=|:)\s*(?:[\"'`]?(?:bearer|basic|token)\s+)?"
+#: Every value that reaches to the end of the text; a name inside a value may have one of its own.
+_ASSIGNED = rf"(?i)(?={_TO}(\S+)$)"
 
 FEATURES = (
     "length", "digits", "uppers", "lowers", "marks", "distinct", "hex", "transitions", "letter_digit", "digit_letter", "vowels",
@@ -42,21 +51,36 @@ FEATURES = (
 )
 
 
+def _value(rest: Column) -> Column:
+    """An assigned value without its quotes, or without the punctuation that ends its sentence or list."""
+    quoted = F.regexp_extract(rest, r"^\\?([\"'`])(.*?)(?:\\?\1|$)", 2)
+    closed = F.regexp_replace(rest, r"[\"'`.,;]+$", "")
+    bare = F.when(closed.rlike(r"[(\[{<]"), closed).otherwise(F.regexp_replace(rest, r"[\"'`.,;)\]}>]+$", ""))
+    return F.when(rest.rlike(r"^\\?[\"'`]"), quoted).otherwise(bare)
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """(row_id, doc_id, path, word_no, part_no, candidate, lead, before, after) of every candidate token.
+    """(row_id, doc_id, path, word_no, part_no, candidate, by_name, lead, before, after) of every candidate token.
 
-    ``lead`` is what stands before it in its own word, ``before`` and ``after`` are the neighbouring words.
+    ``by_name`` tells that it is assigned to a secret name. ``lead`` is what stands before it in its own word, ``before`` and
+    ``after`` are the neighbouring words.
     """
     words = F.split("text", r"\s+")
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.col("source").alias("path"), "text")
-    rows = rows.filter(F.col("text").rlike(_TOKEN.removesuffix("={0,2}").replace(",}", "}"))).select("row_id", "doc_id", "path", words.alias("words"))
+    rows = rows.withColumn("named", F.col("text").rlike(rf"(?i){_TO}\S"))
+    rows = rows.filter(F.col("named") | F.col("text").rlike(_TOKEN.removesuffix("={0,2}").replace(",}", "}")) | F.col("text").rlike(_FORMAT)).select("row_id", "doc_id", "path", "named", words.alias("words"))
     at = lambda i: F.coalesce(F.get("words", i), F.lit(""))
-    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).rlike(_TOKEN))
-    found = F.transform(places, lambda i: F.struct(i.alias("word_no"), F.get("words", i).alias("word"), F.concat(at(i - 2), F.lit(" "), at(i - 1)).alias("before"), at(i + 1).alias("after")))
+    near = lambda i: F.concat_ws(" ", at(i - 3), at(i - 2), at(i - 1), at(i))
+    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).rlike(_TOKEN) | F.get("words", i).rlike(_FORMAT) | (F.col("named") & near(i).rlike(_ASSIGNED)))
+    found = F.transform(places, lambda i: F.struct(i.alias("word_no"), F.get("words", i).alias("word"), near(i).alias("near"), F.concat(at(i - 2), F.lit(" "), at(i - 1)).alias("before"), at(i + 1).alias("after")))
     rows = rows.select("row_id", "doc_id", "path", F.explode(found).alias("f")).select("row_id", "doc_id", "path", "f.*")
-    rows = rows.select("*", F.posexplode(F.regexp_extract_all("word", F.lit(_TOKEN), F.lit(0))).alias("part_no", "candidate"))
-    rows = rows.withColumn("lead", F.expr("substring(word, 1, instr(word, candidate) - 1)"))
-    return rows.filter(F.col("candidate").rlike(r"[0-9]|[a-z][A-Z]")).drop("word")
+    values = F.filter(F.transform(F.regexp_extract_all("near", F.lit(_ASSIGNED), F.lit(1)), _value), lambda v: v.rlike(r"[^=:<>\"'`,;.()\[\]{}\\]") & ~v.rlike("(?i)^(bearer|basic)$"))
+    rows = rows.withColumns({"tokens": F.regexp_extract_all("word", F.lit(_TOKEN), F.lit(0)), "formats": F.regexp_extract_all("word", F.lit(_FORMAT), F.lit(0)), "values": values})
+    others = F.array_except(F.array_union("formats", "values"), "tokens")
+    rows = rows.select("*", F.posexplode(F.concat("tokens", others)).alias("part_no", "candidate"))
+    rows = rows.withColumns({"by_name": F.array_contains("values", F.col("candidate")), "lead": F.expr("substring(word, 1, instr(word, candidate) - 1)")})
+    mixed = F.col("candidate").rlike(r"[0-9]|[a-z][A-Z]")
+    return rows.filter(mixed | F.col("by_name") | F.array_contains("formats", F.col("candidate"))).drop("word", "near", "tokens", "formats", "values")
 
 
 def dictionary(docs: DataFrame) -> DataFrame:
@@ -95,12 +119,15 @@ def rule_label() -> Column:
     format_ = F.lit(False)
     for pattern in KEY_FORMATS:
         format_ = format_ | c.rlike(pattern)
+    by_name, password = F.col("by_name"), F.concat_ws(" ", "before", "lead").rlike("(?i)passw|pwd")
+    strong = by_name & ((F.col("quoted") == 1) | F.concat("before", "lead").rlike(r"=\W*$"))
     harmless = (
-        (F.col("digits") == 1) | (F.col("coverage") >= 0.6) | (F.col("distinct") * F.col("length") <= 4) | (F.col("harmless_before") == 1)
-        | c.rlike(r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")
+        ((F.col("digits") == 1) & ~(by_name & password)) | ((F.col("coverage") >= 0.6) & ~strong) | (F.col("distinct") * F.col("length") <= F.when(by_name, 1).otherwise(4))
+        | (F.col("harmless_before") == 1) | c.rlike(r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$") | (by_name & c.rlike(PLACEHOLDER))
     )
-    named = (F.col("assigned") == 1) & ((F.col("secret_name") == 1) | (F.col("secret_before") == 1))
-    return F.when(format_, 1.0).when(harmless, 0.0).when(named, 1.0)
+    open_ = by_name & ((F.col("coverage") >= 0.6) | (c.rlike(r"^\p{L}+$") & ~strong))  # a word of a sentence, or of code
+    named = by_name | ((F.col("assigned") == 1) & ((F.col("secret_name") == 1) | (F.col("secret_before") == 1)))
+    return F.when(format_, 1.0).when(harmless, 0.0).when(open_, F.lit(None)).when(named, 1.0)
 
 
 def train(labelled: DataFrame):
@@ -140,8 +167,15 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
 
 
 def redacted(docs: DataFrame, findings: DataFrame) -> DataFrame:
-    """``docs`` with every secret of ``scan(docs)`` replaced wherever it stands in its text, columns as they are."""
+    """``docs`` with every secret of ``scan(docs)`` replaced wherever it stands in its text, columns as they are.
+
+    Secrets shorter than ``LEAST`` are replaced where no letter or digit touches them, so that words stay whole.
+    """
     secrets = findings.filter("is_secret").groupBy("row_id").agg(F.array_sort(F.collect_set(F.struct((-F.length("candidate")).alias("n"), "candidate"))).alias("secrets"))
+    def without(text, s):
+        exact = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.replace(s["candidate"], F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![\p{L}\p{N}])"))
+        return F.when(F.length(s["candidate"]) < LEAST, F.regexp_replace(text, exact, F.lit(REDACTED))).otherwise(F.replace(text, s["candidate"], F.lit(REDACTED)))
+
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct(*docs.columns).alias("row")).join(secrets, "row_id", "left")
-    clean = F.when(F.col("secrets").isNull(), F.col("row.text")).otherwise(F.aggregate("secrets", F.col("row.text"), lambda t, s: F.replace(t, s["candidate"], F.lit(REDACTED))))
+    clean = F.when(F.col("secrets").isNull(), F.col("row.text")).otherwise(F.aggregate("secrets", F.col("row.text"), without))
     return rows.select(*(clean.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

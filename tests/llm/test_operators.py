@@ -163,6 +163,27 @@ def test_secrets(docs, empty, spark):
     assert whole.filter("candidate rlike '^AKIA' and not is_secret").count() == 0 and whole.filter("candidate rlike '^[0-9]+$' and is_secret").count() == 0
 
 
+def secret_rows(spark, tmp_path, texts):
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(i, t, "en", "src") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_short_secrets(spark, tmp_path):
+    values = {
+        "password=Tr0ub4dor3 here": "Tr0ub4dor3", "the password: hunter2, he said": "hunter2", 'db_pwd = "p@ss!w0#d$x.y:z"': "p@ss!w0#d$x.y:z",
+        "{'api_key':'QWERTYUIOP'}": "QWERTYUIOP", "Authorization: Bearer zxcvbnmqw": "zxcvbnmqw", '{"secret": "zyxwvutsr"}': "zyxwvutsr", "slack xoxb-1234567890 there": "xoxb-1234567890",
+    }
+    plain = ["my secretary: Jane", "author: Smith", "card 4041894974608795 there", "long 1234567890123456", "hunter2x is hunter"]
+    docs = secret_rows(spark, tmp_path, [*values, *plain])
+    found = stage(secrets.scan(docs), "findings")
+    got = {(r.doc_id, r.candidate): r.is_secret for r in found.collect()}
+    assert all(got.get((i, v)) for i, v in enumerate(values.values()))
+    assert not any(got.get((i, "Jane")) or got.get((i, "Smith")) for i in range(len(values) + len(plain)))
+    clean = [r.text for r in secrets.redacted(docs, found).orderBy("doc_id").collect()]
+    assert not any(v in t for v, t in zip(values.values(), clean)) and clean[len(values) :] == plain
+
+
 def brute_repeats(rows, window):
     split = [(t or "").encode().split() for _, t in rows]
     seen = Counter(tuple(w[i : i + window]) for w in split for i in range(len(w) - window + 1))
