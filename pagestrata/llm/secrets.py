@@ -13,6 +13,8 @@ dictionary words, placeholders and tokens next to words such as "checksum" are n
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -22,8 +24,10 @@ from pyspark.sql import functions as F
 from pagestrata.llm import base
 
 LEAST = 16
-#: Occurrences that make a word part of the dictionary; labelled findings learnt from at most; trees and their depth.
-WORD_COUNT, TRAIN_ROWS, TREES, DEPTH, SEED = 5, 20_000, 40, 8, 17
+#: Share of distinct texts, two at least, that makes a word part of the dictionary.
+WORD_SHARE, WORD_TEXTS = 0.001, 2
+#: Labelled findings learnt from at most; trees and their depth.
+TRAIN_ROWS, TREES, DEPTH, SEED = 20_000, 40, 8, 17
 REDACTED = "[SECRET]"
 _TOKEN = rf"[A-Za-z0-9+/_\-]{{{LEAST},}}={{0,2}}"
 
@@ -43,6 +47,8 @@ _NAME = r"(?:passw|pwd|secret(?!ar)|token(?!i[sz])|api[_-]?key|access[_-]?key|pr
 _TO = rf"{_NAME}[\w.\-]*[\"'`\])\\]*\s*(?::=|=>|==|=|:)\s*(?:[\"'`]?(?:bearer|basic|token)\s+)?"
 #: Every value that reaches to the end of the text; a name inside a value may have one of its own.
 _ASSIGNED = rf"(?i)(?={_TO}(\S+)$)"
+# What candidates() takes, in a whole text.
+_MIXED = rf"(?=[A-Za-z0-9+/_\-]*(?:[0-9]|[a-z][A-Z])){_TOKEN}"
 
 FEATURES = (
     "length", "digits", "uppers", "lowers", "marks", "distinct", "hex", "transitions", "letter_digit", "digit_letter", "vowels",
@@ -84,9 +90,15 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def dictionary(docs: DataFrame) -> DataFrame:
-    """Lower-case ASCII words of three letters or more that the documents use ``WORD_COUNT`` times or more."""
-    words = docs.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).filter(F.length("word") >= 3)
-    return words.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= WORD_COUNT).select("word")
+    """Lower-case ASCII words of three letters or more that ``WORD_SHARE`` of the distinct texts use outside candidates."""
+    texts = docs.filter(F.col("text").isNotNull())
+    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", rf"(?i)({_TO})\S+", "$1 "), _FORMAT, " "), _MIXED, " ")
+    words = F.array_distinct(F.filter(F.split(F.lower(rest), "[^a-z]+"), lambda w: F.length(w) >= 3))
+    texts = texts.select(F.sha2("text", 256).alias("key"), words.alias("words")).groupBy("key").agg(F.first("words").alias("words"))
+    counts = base.stage(texts.select(F.explode(F.array_append("words", F.lit(""))).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "words")
+    total = counts.filter("word = ''").first()  # the empty word is in every text
+    least = max(WORD_TEXTS, math.ceil(WORD_SHARE * total["n"])) if total else WORD_TEXTS
+    return counts.filter((F.col("word") != "") & (F.col("n") >= least)).select("word")
 
 
 def featured(found: DataFrame, words: DataFrame) -> DataFrame:

@@ -184,6 +184,15 @@ def test_short_secrets(spark, tmp_path):
     assert not any(v in t for v, t in zip(values.values(), clean)) and clean[len(values) :] == plain
 
 
+def test_secrets_of_copies_are_no_words(spark, tmp_path):
+    key, part = "tokQwertyZuiopAsdfghJklyx", "kolibri"
+    texts = [f'some words here and token = "{key}" end'] * 6 + [f'copy {i} api_key = "{key}" of words here' for i in range(6)] + [f"a copied {part} text"] * 9 + ["password=b7db7aa4a5fcc78305", "1234567890123456"]
+    docs = secret_rows(spark, tmp_path, texts)
+    words = {r.word for r in secrets.dictionary(docs).collect()}
+    assert {"words", "here"} <= words and not words & {part, "tok", "tokqwertyzuiopasdfghjklyx", "qwerty"}
+    assert all(r.is_secret for r in secrets.scan(docs).filter(F.col("candidate") == key).collect())
+
+
 def brute_repeats(rows, window):
     split = [(t or "").encode().split() for _, t in rows]
     seen = Counter(tuple(w[i : i + window]) for w in split for i in range(len(w) - window + 1))
