@@ -145,19 +145,22 @@ def rule_label() -> Column:
 def train(labelled: DataFrame):
     """Forest from ``FEATURES`` and ``label`` (1 secret, 0 false positive); None unless both labels occur.
 
-    At most about ``TRAIN_ROWS`` findings are learnt from, those with the smallest hashes; equal findings count once each.
+    About ``TRAIN_ROWS / 2`` findings of each label are learnt from at most, those with the smallest hashes and one in any case;
+    both labels weigh the same.
     """
-    labelled = labelled.filter(F.col("label").isin(0.0, 1.0))
-    sizes = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    place = F.pmod(F.xxhash64("candidate", "row_id", "word_no", "part_no", F.monotonically_increasing_id()), F.lit(1 << 30)) / float(1 << 30)
+    labelled = labelled.select("label", *FEATURES, place.alias("place")).filter(F.col("label").isin(0.0, 1.0))
+    sizes = {r["label"]: r for r in labelled.groupBy("label").agg(F.count("*").alias("n"), F.min("place").alias("least")).collect()}
     if len(sizes) < 2:
         return None
-    share = min(1.0, TRAIN_ROWS / sum(sizes.values()))
-    place = F.pmod(F.xxhash64("candidate", "row_id", "word_no", "part_no"), F.lit(1 << 30)) / float(1 << 30)
-    rows = labelled.filter(place <= share).select("label", *FEATURES)
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select("label", "features")
-    if vectors.select("label").distinct().count() < 2:
-        return None
-    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt", subsamplingRate=0.8).fit(base.stage(vectors, "findings"))
+    share = {label: max(r["least"], min(1.0, TRAIN_ROWS / 2 / r["n"])) for label, r in sizes.items()}
+    of = lambda v: F.when(F.col("label") == 1.0, v[1.0]).otherwise(v[0.0])
+    rows = labelled.filter(F.col("place") <= of(share))
+    vectors = base.stage(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select("label", "features"), "findings")
+    taken = {r["label"]: r["n"] for r in vectors.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    weights = {label: sum(taken.values()) / 2 / n for label, n in taken.items()}
+    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt", subsamplingRate=0.8, weightCol="weight")
+    return forest.fit(vectors.withColumn("weight", of(weights)))
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:

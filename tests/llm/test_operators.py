@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -193,6 +194,16 @@ def test_secrets_of_copies_are_no_words(spark, tmp_path):
     assert all(r.is_secret for r in secrets.scan(docs).filter(F.col("candidate") == key).collect())
 
 
+def test_rare_secrets_are_learnt(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(secrets, "TRAIN_ROWS", 20)
+    path = str(tmp_path / "findings")
+    rows = spark.range(20_000).select(F.col("id").alias("row_id"), F.lit(0).alias("word_no"), F.lit(0).alias("part_no"), F.lit("same").alias("candidate"), F.when(F.col("id") < 2, 1.0).otherwise(0.0).alias("label"))
+    rows.select("*", *(F.when(F.col("label") == 1, 0.9).otherwise(0.1).alias(c) for c in secrets.FEATURES)).write.parquet(path)
+    forest = secrets.train(spark.read.parquet(path))
+    assert forest is not None and forest.predict(Vectors.dense([0.9] * len(secrets.FEATURES))) == 1 and forest.predict(Vectors.dense([0.1] * len(secrets.FEATURES))) == 0
+    assert secrets.train(spark.read.parquet(path).filter("label = 0")) is None
+
+
 def brute_repeats(rows, window):
     split = [(t or "").encode().split() for _, t in rows]
     seen = Counter(tuple(w[i : i + window]) for w in split for i in range(len(w) - window + 1))
