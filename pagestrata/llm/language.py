@@ -4,14 +4,17 @@ Texts are lower-cased, everything but letters becomes a space, and the n-grams o
 ``DIMENSION`` features. Document frequencies come from all documents that may be learnt from. The weights are trained by
 follow-the-regularised-leader with an L1 and an L2 penalty on a sample of at most ``TRAIN_ROWS`` labelled rows per
 language, whole texts; a fifth of it is held back, and one temperature is fitted there so that scores are probabilities.
+Every language that has a row is learnt. Vectors and weights in training lie in files of the task, so that its memory does
+not grow with the languages.
 """
 
 from __future__ import annotations
 
+import os
+import tempfile
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,11 +22,13 @@ from pyspark.sql import functions as F
 from pagestrata.llm import base
 
 DIMENSION, ORDERS = 1 << 15, 3
-#: Rows learnt from per language, and languages at most (the commonest).
-TRAIN_ROWS, LANGUAGES = 750, 64
+#: Rows learnt from per language.
+TRAIN_ROWS = 750
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 1e-4, 1e-5
 #: Characters that are counted at a time.
 CHUNK = 1 << 18
+#: Features whose weights are sent at a time.
+BLOCK = 1 << 10
 UNKNOWN = "und"
 _SPACE = np.array([32], np.uint32)
 _SHIFT = np.uint32(32 - DIMENSION.bit_length() + 1)
@@ -88,18 +93,39 @@ def document_frequency(docs: DataFrame) -> tuple[int, np.ndarray]:
     return int(df[-1]), df[:-1]
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]], languages: int) -> tuple[np.ndarray, np.ndarray]:
-    """FTRL-proximal weights and bias of a softmax over the languages."""
-    z, n = np.zeros((DIMENSION + 1, languages)), np.zeros((DIMENSION + 1, languages))
+class Rows:
+    """Vectors and labels in a file of the folder, in the order they were added."""
+
+    def __init__(self, folder: str):
+        self.path, self.ends, self.labels = os.path.join(folder, "rows"), [0], []
+        self.file = open(self.path, "wb")  # noqa: SIM115
+
+    def add(self, features: np.ndarray, values: np.ndarray, label: int) -> None:
+        self.file.write(features.tobytes() + values.tobytes())
+        self.ends.append(self.ends[-1] + 2 * len(features))
+        self.labels.append(label)
+
+    def close(self) -> None:
+        self.file.close()
+        self.data = np.memmap(self.path, np.int32, "r") if self.ends[-1] else np.zeros(0, np.int32)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray, int]:
+        part = np.array(self.data[self.ends[i] : self.ends[i + 1]])
+        return part[: len(part) // 2], part[len(part) // 2 :].view(np.float32), self.labels[i]
+
+
+def train(rows: Rows, kept: list[int], languages: int, folder: str):
+    """FTRL-proximal weights of a softmax over the languages, as a function of features; ``DIMENSION`` is the bias."""
+    z, n = (np.memmap(os.path.join(folder, name), np.float64, "w+", shape=(DIMENSION + 1, languages)) for name in "zn")
 
     def weights(at):
-        zs = z[at]
-        return np.where(np.abs(zs) <= L1, 0.0, -(zs - np.sign(zs) * L1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2))
+        zs, ns = np.array(z[at]), np.array(n[at])
+        return np.where(np.abs(zs) <= L1, 0.0, -(zs - np.sign(zs) * L1) / ((BETA + np.sqrt(ns)) / ALPHA + L2))
 
     order = np.random.default_rng(7)
     for _ in range(EPOCHS):
-        for i in order.permutation(len(rows)):
-            features, values, label = rows[i]
+        for i in order.permutation(len(kept)):
+            features, values, label = rows[kept[i]]
             at, x = np.append(features, DIMENSION), np.append(values, 1.0)
             w = weights(at)
             p = np.exp((logits := x @ w) - logits.max())
@@ -109,16 +135,20 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], languages: int) -> tup
             step = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
             z[at] += g - step * w
             n[at] += g * g
-    w = weights(np.arange(DIMENSION + 1)).astype(np.float32)
-    return w[:-1], w[-1]
+    return lambda at: weights(at).astype(np.float32)
 
 
 def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     """Scale that makes the held-back labels likeliest, by golden-section search on its logarithm."""
+    step = max(1, (1 << 22) // logits.shape[1])
+
     def loss(t):
-        s = logits / np.exp(t)
-        s = s - s.max(axis=1, keepdims=True)
-        return float(np.mean(np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(labels)), labels]))
+        total = 0.0
+        for a in range(0, len(labels), step):
+            s = np.asarray(logits[a : a + step]) / np.exp(t)
+            s = s - s.max(axis=1, keepdims=True)
+            total += float(np.sum(np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(s)), labels[a : a + step]]))
+        return total
 
     a, b, ratio = -4.0, 4.0, (5**0.5 - 1) / 2
     for _ in range(60):
@@ -129,7 +159,7 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 @dataclass
 class Model:
-    """Bounded by its dimension and the number of languages, whatever it was learnt from."""
+    """Its size follows the dimension and the number of languages, whatever it was learnt from."""
 
     languages: list[str]
     idf: np.ndarray
@@ -150,14 +180,10 @@ class Model:
 
 def sample(rows: DataFrame) -> DataFrame:
     """At most ``TRAIN_ROWS`` rows of each language, those with the smallest hashes."""
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    if not sizes:
-        return rows.limit(0)
-    share = F.lit(None)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 2 * TRAIN_ROWS / n))).otherwise(share)
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    share = F.least(F.lit(1.0), 2 * TRAIN_ROWS / F.col("n"))
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
-    near = rows.withColumn("place", place).filter(F.col("place") < share * F.lit(1 << 40))
+    near = rows.join(F.broadcast(sizes), "lang").withColumn("place", place).filter(F.col("place") < share * F.lit(1 << 40)).drop("n")
     first = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
     return near.withColumn("k", first).filter(F.col("k") <= TRAIN_ROWS).drop("k")
 
@@ -165,7 +191,7 @@ def sample(rows: DataFrame) -> DataFrame:
 def fit(rows: DataFrame) -> Model | None:
     """Model learnt from ``rows`` (doc_id, text, lang); rows without text, letters or language are passed over.
 
-    None if nothing is left. The sample is trained in one task; it is bounded by ``TRAIN_ROWS`` and ``LANGUAGES``.
+    None if nothing is left. The sample is trained in one task; it is bounded by ``TRAIN_ROWS`` per language.
     """
     spark = rows.sparkSession
     base.small_batches(spark)
@@ -178,22 +204,36 @@ def fit(rows: DataFrame) -> Model | None:
     idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
     sent = spark.sparkContext.broadcast((languages, idf))
 
-    def learn(part: pd.DataFrame) -> pd.DataFrame:
+    def learn(batches):
         languages, idf = sent.value
-        part = part.sort_values(["place", "doc_id"])
-        rows = [(*vector(t, idf), languages.index(lang)) for t, lang in zip(part["text"], part["lang"])]
-        held = [i for i in range(len(rows)) if i % 5 == 4]
-        kept = [r for i, r in enumerate(rows) if i % 5 != 4]
-        weights, bias = train(kept, len(languages))
-        heat = 1.0
-        if held:
-            logits = np.array([rows[i][1] @ weights[rows[i][0]] + bias for i in held])
-            heat = temperature(logits, np.array([rows[i][2] for i in held]))
-        return pd.DataFrame({"weights": [weights.tobytes()], "bias": [bias.tobytes()], "heat": [heat]})
-
-    got = chosen.groupBy().applyInPandas(learn, "weights binary, bias binary, heat double").first()
-    weights = np.frombuffer(got["weights"], np.float32).reshape(DIMENSION, len(languages))
-    return Model(languages, idf, weights, np.frombuffer(got["bias"], np.float32), got["heat"])
+        number = {lang: i for i, lang in enumerate(languages)}
+        with tempfile.TemporaryDirectory() as folder:
+            rows = Rows(folder)
+            for batch in batches:
+                for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
+                    rows.add(*vector(text, idf), number[lang])
+            rows.close()
+            size = len(rows.labels)
+            held = [i for i in range(size) if i % 5 == 4]
+            weights = train(rows, [i for i in range(size) if i % 5 != 4], len(languages), folder)
+            heat = 1.0
+            if held:
+                bias = weights(np.array([DIMENSION]))[0]
+                logits = np.memmap(os.path.join(folder, "held"), np.float32, "w+", shape=(len(held), len(languages)))
+                for k, i in enumerate(held):
+                    features, values, _ = rows[i]
+                    logits[k] = values @ weights(features) + bias
+                heat = temperature(logits, np.array([rows.labels[i] for i in held]))
+            for a in range(0, DIMENSION + 1, BLOCK):
+                part = weights(np.arange(a, min(a + BLOCK, DIMENSION + 1)))
+                yield pa.RecordBatch.from_pydict({"first": [a], "weights": [part.tobytes()], "heat": [heat]})
+
+    order = chosen.repartition(1).sortWithinPartitions("place", "doc_id").select("text", "lang")
+    weights, heat = np.zeros((DIMENSION + 1, len(languages)), np.float32), 1.0
+    for got in order.mapInArrow(learn, "first long, weights binary, heat double").toLocalIterator():
+        part = np.frombuffer(got["weights"], np.float32).reshape(-1, len(languages))
+        weights[got["first"] : got["first"] + len(part)], heat = part, got["heat"]
+    return Model(languages, idf, weights[:-1], weights[-1], heat)
 
 
 def has_letter(text: Column) -> Column:

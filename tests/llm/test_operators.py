@@ -130,6 +130,19 @@ def test_language(spark, empty, docs):
     assert language.kept_languages(rows, model).columns == rows.columns
 
 
+def test_every_language_is_learnt(spark, tmp_path):
+    pick = random.Random(3)
+    words = [[" ".join("".join(pick.choices(chr(0x4E00 + 40 * k) + "abcdefgh"[k % 8] + chr(0x4E01 + 40 * k), k=4)) for _ in range(12)) for _ in range(3)] for k in range(70)]
+    rows = [(3 * k + j, t, f"l{k:02}") for k, texts in enumerate(words) for j, t in enumerate(texts)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    model = language.fit(docs)
+    assert len(model.languages) == 70
+    got = language.identify(docs, model, ("doc_id", "lang")).collect()
+    assert all(r.lang == r.lang_pred for r in got)
+
+
 def test_ngram_chunks_add_up():
     text = " ".join(f"wort{i}ö" for i in range(200))
     whole = language.counts(text)
