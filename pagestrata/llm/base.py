@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -60,3 +60,29 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     folder = jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """``df`` with ``rank`` (from 0, by ``order`` inside ``keys``) and ``n_ranked`` (rows of the key); nulls come first.
+
+    Rows are cut into ranges of (keys, order), numbered inside each range and shifted by the sizes of the earlier ones,
+    so a key that holds most rows is spread over many tasks. Equal rows are parted by their place in the scan. ``df`` is
+    read twice (ranges are found from a sample): pass a staged table.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(parts, *keys, *order, "tie")
+    ranged = stage(ranged.withColumn("part", F.spark_partition_id()), name)
+    inside = Window.partitionBy("part", *keys).orderBy(*order, "tie")
+    numbered = ranged.withColumn("inside", F.row_number().over(inside).cast("long"))
+    sizes = ranged.groupBy("part", *keys).agg(F.count("*").alias("n"))
+    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    before = F.coalesce(F.sum("n").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("part", *keys, before.alias("before"), F.sum("n").over(whole).alias("n_ranked"))
+    left, right = numbered.alias("l"), sizes.alias("r")
+    same = F.col("l.part") == F.col("r.part")
+    for k in keys:
+        same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    return left.join(right, same).select(
+        *(F.col(f"l.{c}") for c in df.columns), (F.col("l.inside") + F.col("r.before") - 1).alias("rank"), F.col("r.n_ranked").alias("n_ranked")
+    )
