@@ -1,11 +1,9 @@
-"""Repeated tails of recognised text (needs positions, so an Arrow function)."""
+"""Repeated tails of recognised text."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pagestrata.functions.text import compact, strip
 
@@ -15,36 +13,29 @@ MIN_REPEATS = 4
 MIN_CHARS = 12
 
 
-def repeat_start(text: str) -> int | None:
-    """Index of the earliest tail made of one short unit repeated, white space ignored."""
-    at = [i for i, ch in enumerate(text) if not ch.isspace()]
-    dense = "".join(text[i] for i in at)
-    found = None
-    for size in range(1, min(MAX_UNIT, len(dense) // MIN_REPEATS) + 1):
-        # the tail repeats as far back as it equals itself shifted by one unit
-        same = 0
-        while same < len(dense) - size and dense[-1 - same] == dense[-1 - same - size]:
-            same += 1
-        length = (same // size + 1) * size
-        if length >= max(MIN_REPEATS * size, MIN_CHARS):
-            start = at[len(dense) - length]
-            found = start if found is None else min(found, start)
-    return found
-
-
-@F.pandas_udf(T.StructType().add("text", T.StringType()).add("trimmed", T.BooleanType()))
-def _trim(texts: pd.Series) -> pd.DataFrame:
-    rows = []
-    for text in texts:
-        cleaned = (text or "").strip()
-        start = repeat_start(cleaned)
-        rows.append((cleaned, False) if start is None else (cleaned[:start].strip(), True))
-    return pd.DataFrame(rows, columns=["text", "trimmed"])
+def _tail_length(dense: Column) -> Column:
+    """Length of the longest tail made of one short unit repeated.
+
+    A unit of the tail is a unit of the start of the reversed text, where one anchored expression per size finds it in one pass.
+    """
+    backwards = F.reverse(dense)
+
+    def length(size: int) -> Column:
+        more = max(MIN_REPEATS, -(-MIN_CHARS // size)) - 1
+        return F.length(F.regexp_extract(backwards, rf"(?s)^(.{{{size}}})\1{{{more},}}", 0))
+
+    return F.greatest(*(length(size) for size in range(1, MAX_UNIT + 1)))
 
 
 def trim_repeated_suffix(text: Column) -> Column:
-    """Struct of the text without its repeated tail and whether there was one."""
-    return _trim(text)
+    """Struct of the text without its repeated tail and whether there was one; white space is ignored in the tail."""
+    cleaned = strip(F.coalesce(text, F.lit("")))
+    dense = compact(cleaned)
+    tail = _tail_length(dense)
+    filled = F.filter(F.transform(F.split(cleaned, ""), lambda c, i: F.struct(c.alias("c"), (i + 1).alias("at"))), lambda x: compact(x["c"]) != "")
+    last = F.try_element_at(filled, F.length(dense) - tail)["at"]
+    kept = F.when(tail == F.length(dense), "").otherwise(strip(F.substring(cleaned, F.lit(1), last)))
+    return F.struct(F.when(tail > 0, kept).otherwise(cleaned).alias("text"), (tail > 0).alias("trimmed"))
 
 
 def is_degenerate(text: Column, trimmed: Column) -> Column:

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from pagestrata.functions import geometry as g
 from pagestrata.functions.geometry import EDGES, box, stage
+from pagestrata.functions.styles import style_defaults
 from pagestrata.operators import regions as reg
 from pagestrata.operators.ranking import first_per_key, with_page_position, with_position
+from pagestrata.operators.status import propagate_stale
 from pagestrata.session import cut_lineage
 
 # Fixed values
@@ -249,20 +251,90 @@ def add_manual(canon: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def apply_detection_edits(canon: DataFrame, edits: DataFrame) -> DataFrame:
-    """Upsert of edited boxes: known ids move and switch, rows without an id are added.
+def upsert_boxes(canon: DataFrame, edits: DataFrame) -> DataFrame:
+    """Upsert of edited boxes: known ids move and switch, rows without an id are added; all columns of ``canon`` and ``edit_error``.
 
-    ``edits`` hold ``page_id, slot, canon_id, kind, box, excluded, w, h``.
+    ``edits`` hold ``page_id, slot, canon_id, kind, box, excluded, w, h``; of several edits of an item the one with the highest slot counts.
     """
     known = edits.where(F.col("canon_id") != "").select(
         "page_id", "canon_id", F.lit("bbox").alias("field"), *box().named("e_"), (~F.col("excluded")).alias("new_enabled"), "slot"
     )
     last = first_per_key(known, ["page_id", "canon_id"], [-F.col("slot")])
     moved = set_enabled(edit_boxes(canon, last), last.select("page_id", "canon_id", "new_enabled"))
-    added = add_manual(canon, edits.where(F.col("canon_id") == ""))
-    cols = ["page_id", "canon_id", "kind", "enabled", *EDGES, *(f"o{e}" for e in EDGES), *(f"r{e}" for e in EDGES)]
-    old = moved.select(*cols, F.coalesce("manual", F.lit(False)).alias("manual"), "edit_error")
-    return old.unionByName(added.select(*cols, "manual", F.lit(None).cast("string").alias("edit_error")))
+    new = edits.where(F.col("canon_id") == "")
+    added = add_manual(canon, new)
+    size = new.groupBy("page_id").agg(F.max("w").alias("w"), F.max("h").alias("h"))
+    both = moved.unionByName(added.join(size, "page_id"), allowMissingColumns=True)
+    flags = [c for c in ("manual", "bbox_edited", "ocr_edited", "render_edited") if c in both.columns]
+    return both.withColumns({**{c: F.coalesce(c, F.lit(False)) for c in flags}, "excluded": ~F.col("enabled")})
+
+
+def apply_detection_edits(canon: DataFrame, edits: DataFrame) -> DataFrame:
+    """The boxes of the page state after ``upsert_boxes``."""
+    cols = ["page_id", "canon_id", "kind", "enabled", *EDGES, *(f"o{e}" for e in EDGES), *(f"r{e}" for e in EDGES), "manual", "edit_error"]
+    return upsert_boxes(canon, edits).select(cols)
+
+
+def edit_marks(edits: DataFrame, stage: str, target: str) -> DataFrame:
+    """What edits of a stage mark (``page_id, stage, mark``): their own page as edited, the stages after it as stale."""
+    pages = edits.select("page_id", F.lit(stage).alias("edited_stage")).distinct()
+    stale = propagate_stale(pages, target).withColumn("mark", F.lit("stale"))
+    return pages.select("page_id", F.col("edited_stage").alias("stage"), F.lit("edited").alias("mark")).unionByName(stale)
+
+
+def edit_mask_boxes(masks: DataFrame, before: DataFrame, edits: DataFrame, regions: DataFrame) -> DataFrame:
+    """Text boxes after ``edit_boxes``: rows ``page_id, canon_id, slot`` and box, derived again where an edit moved their ground.
+
+    A moved main box becomes the text box of other text; of a bubble it cuts the text boxes it had. A bubble whose recognition box moved, or which
+    has no text box left, takes those of its regions. ``before`` is the page state with ``region_ids``.
+    """
+    after = edit_boxes(before, edits)
+    hit = after.join(edits.select("page_id", "canon_id", "field"), ["page_id", "canon_id"]).where("edit_error is null")
+    bubble = F.col("kind") == "bubble"
+    hit = cut_lineage(hit.where((F.col("field") == "bbox") | (bubble & (F.col("field") == "ocr_bbox"))).select(
+        "page_id", "canon_id", "kind", "field", *EDGES, "region_ids", "w", "h"))
+    key = ["page_id", "canon_id"]
+    kept = masks.join(hit.select(key), key, "left_anti").select(*key, "slot", *EDGES)
+    whole = hit.where(~bubble).select(*key, F.lit(0).cast("long").alias("slot"), *EDGES)
+    cut = hit.where(bubble & (F.col("field") == "bbox")).select(*key, *box().named("b_"), "w", "h").join(masks.select(*key, "slot", *EDGES), key)
+    cut = stage(cut, "__i", g.intersect(box(), box("b_"), F.col("w"), F.col("h"))).where(F.col("__ix1").isNotNull())
+    cut = cut.select(*key, "slot", *box("__i").named()).groupBy(*key, *EDGES).agg(F.min("slot").alias("slot")).select(*key, "slot", *EDGES)
+    bare = hit.where(bubble).join(cut.select(key).distinct(), key, "left_anti").withColumn("own_boxes", F.array().cast("array<struct<x1:bigint,y1:bigint,x2:bigint,y2:bigint>>"))
+    return kept.unionByName(whole).unionByName(cut).unionByName(mask_boxes(bare, regions).select(*key, "slot", *EDGES))
+
+
+def apply_ocr_edits(canon: DataFrame, items: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Page state and recognition items after edits of the items (``page_id, item_id, e_*, new_excluded``).
+
+    The page state changes first: a moved recognition box and a switched item are set there. The items then show its boxes and
+    flags, also those that another edit has changed since, and what moved or switched is to be recognised again.
+    """
+    asked = items.join(edits, ["page_id", "item_id"])
+    boxes = asked.where(F.col("e_x1").isNotNull()).select("page_id", "canon_id", F.lit("ocr_bbox").alias("field"), *box("e_"), "item_id")
+    moved = edit_boxes(canon, first_per_key(boxes, ["page_id", "canon_id"], [-F.col("item_id")]).drop("item_id"))
+    switched = asked.where(F.col("new_excluded").isNotNull()).select("page_id", "canon_id", (~F.col("new_excluded")).alias("new_enabled"), "item_id")
+    state = set_enabled(moved, first_per_key(switched, ["page_id", "canon_id"], [-F.col("item_id")]).drop("item_id"))
+    truth = state.select("page_id", "canon_id", *box("o").named("t_"), (~F.col("enabled")).alias("t_excluded"))
+    shown = edit_ocr_items(items, edits).join(truth, ["page_id", "canon_id"], "left")
+    known = F.col("t_excluded").isNotNull()
+    return state, shown.withColumns({
+        **{f"o{e}": F.when(known, F.col(f"t_{e}")).otherwise(F.col(f"o{e}")) for e in EDGES}, "excluded": F.coalesce("t_excluded", "excluded"),
+    }).drop(*(f"t_{e}" for e in EDGES), "t_excluded")
+
+
+def edit_render_style(items: DataFrame, edits: DataFrame) -> DataFrame:
+    """Store style values (``page_id, item_id`` and the override columns) with an item, coerced, and have it drawn again.
+
+    Items come out with the struct ``style_overrides``; ``enabled`` in it tells whether any value says something.
+    """
+    fields = [c for c in edits.columns if c not in ("page_id", "item_id")]
+    coerced = style_defaults(edits.select("page_id", "item_id", *fields)).withColumn("enabled", F.col("active"))
+    new = coerced.select("page_id", "item_id", F.struct(*fields).alias("__style"))
+    joined = items.join(new, ["page_id", "item_id"], "left")
+    hit = F.col("__style").isNotNull()
+    style = F.coalesce("__style", "style_overrides") if "style_overrides" in items.columns else F.col("__style")
+    return joined.withColumns({
+        "style_overrides": style, "needs_render": F.col("needs_render") | hit, "error": F.when(hit, "").otherwise(F.col("error"))}).drop("__style")
 
 
 def edit_view(items: DataFrame, canon: DataFrame) -> DataFrame:

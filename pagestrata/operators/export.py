@@ -78,7 +78,8 @@ def page_numbering(scope: DataFrame, pages: DataFrame) -> DataFrame:
 def export_manifest(scope: DataFrame, pages: DataFrame, artefacts: DataFrame, layer: str, pattern: str, suffix_to: str = "") -> DataFrame:
     """One row per page of the scope: exported with its name, skipped or error.
 
-    ``artefacts`` is a listing ``path, width, height, readable`` of existing files.
+    ``artefacts`` is a listing ``path, width, height, readable`` of existing files. Of the files that would get one name,
+    the first page keeps it and the others are numbered.
     """
     numbered = page_numbering(scope, pages)
     path = F.col("source_path") if layer == "source" else F.concat(F.lit(f"cache/{layer}/"), stem(F.col("source_path")), F.lit(".png"))
@@ -89,13 +90,15 @@ def export_manifest(scope: DataFrame, pages: DataFrame, artefacts: DataFrame, la
         "project": F.concat(F.lit("project_"), F.col("project_id").cast("string")), "stage": F.lit(layer),
     }
     ending = F.lit(suffix_to) if suffix_to else F.coalesce(F.when(suffix(F.col("path")) != "", suffix(F.col("path"))), F.lit(".png"))
-    return df.select(
+    rows = df.select(
         "project_id", "page_id", "export_index", "page_number", F.when(exists, F.col("path")).otherwise("").alias("source_file"),
         F.when(~exists, "skipped").when(readable, "exported").otherwise("error").alias("status"),
         F.when(~exists, MISSING_SOURCE[layer]).when(~readable, "cannot read image").otherwise("").alias("error"),
-        F.when(readable, F.concat(export_name(pattern, fields), ending)).otherwise("").alias("output_name"),
+        F.when(readable, F.concat(export_name(pattern, fields), ending)).alias("output_name"),
         F.when(readable, F.col("width")).otherwise(0).cast("long").alias("width"), F.when(readable, F.col("height")).otherwise(0).cast("long").alias("height"),
     )
+    named = distinct_names(rows, "output_name", "export_index", digits=3, keys=["project_id"], into="__name")
+    return named.withColumn("output_name", F.coalesce("__name", F.lit(""))).drop("__name")
 
 
 def export_counts(manifest: DataFrame) -> DataFrame:
@@ -104,11 +107,20 @@ def export_counts(manifest: DataFrame) -> DataFrame:
     )
 
 
-def page_documents(items: DataFrame, fields: list[str]) -> DataFrame:
+def page_documents(items: DataFrame, fields: list[str], extra: str | None = None) -> DataFrame:
     """Nested document per page with its items in order, ids renumbered by position.
 
-    One document per page is the format; the rows of a page meet in one array.
+    ``extra`` names a column (variant object or NULL) whose fields come after those of the item. One document per page is the
+    format; the rows of a page meet in one array.
     """
-    ordered = F.sort_array(F.collect_list(F.struct("id", *fields)))
-    renumbered = F.transform(ordered, lambda x, i: F.struct(i.cast("long").alias("id"), *(x[f].alias(f) for f in fields)))
-    return items.groupBy("page_id").agg(F.to_json(renumbered).alias("document"), F.count("*").alias("item_count"))
+    more = [F.to_json(extra).alias("__more")] if extra else []
+    ordered = F.sort_array(F.collect_list(F.struct("id", *fields, *more)))
+
+    def text(x, i):
+        own = F.to_json(F.struct(i.cast("long").alias("id"), *(x[f].alias(f) for f in fields)))
+        if not extra:
+            return own
+        return F.when(x["__more"].isNull(), own).otherwise(F.concat(F.substring(own, F.lit(1), F.length(own) - 1), F.lit(","), F.substring(x["__more"], 2, 2**31 - 1)))
+
+    listed = F.concat(F.lit("["), F.array_join(F.transform(ordered, text), ","), F.lit("]"))
+    return items.groupBy("page_id").agg(listed.alias("document"), F.count("*").alias("item_count"))

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pagestrata.functions import geometry as g
 from pagestrata.functions.geometry import EDGES, box, stage
-from pagestrata.operators.grouped import fold
 from pagestrata.operators.ranking import with_position
+from pagestrata.operators.regions import suppress_non_max
 from pagestrata.operators.status import clean_status
 
 # Fixed values
@@ -83,34 +81,27 @@ def item_inpaint_boxes(items: DataFrame) -> DataFrame:
         "page_id", "item_id", "b.*", F.col("slot").cast("long").alias("slot"))
 
 
-class _TilePaint:
-    """Counts the painted pixels of one tile."""
-
-    def __init__(self):
-        self.key, self.bits = None, np.zeros((TILE_PX, TILE_PX), dtype=bool)
-
-    def add(self, row):
-        self.key = row["page_id"]
-        self.bits[row["y1"]:row["y2"], row["x1"]:row["x2"]] = True
-
-    def result(self):
-        return [{"page_id": self.key, "pixels": int(self.bits.sum())}]
-
-
 def masked_pixels(boxes: DataFrame) -> DataFrame:
     """Pixels covered by the union of each page's boxes, overlaps once.
 
-    Boxes are cut at tiles and each tile is painted by itself: cost is linear in the boxes,
-    the state is one tile, and a page with most of the boxes spreads over its tiles.
+    Boxes are cut at tiles, and a tile is cut into strips at the left and right edges of its boxes (no more than it has
+    columns). In a strip every box is a run of rows; a run adds what lies beyond the runs before it. A page with most of the boxes spreads over
+    tiles and strips, and runs with one start are one row before the exchange.
     """
     once = boxes.select("page_id", *EDGES).where((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))).distinct()
     tiled = once.withColumn("tx", F.explode(F.sequence(F.floor(F.col("x1") / TILE_PX), F.floor((F.col("x2") - 1) / TILE_PX)))).withColumn(
         "ty", F.explode(F.sequence(F.floor(F.col("y1") / TILE_PX), F.floor((F.col("y2") - 1) / TILE_PX))))
     at = {"x1": "tx", "x2": "tx", "y1": "ty", "y2": "ty"}
-    local = tiled.select("page_id", "tx", "ty", *(
-        F.greatest(F.lit(0), F.least(F.lit(TILE_PX), F.col(e) - F.col(t) * TILE_PX)).cast("int").alias(e) for e, t in at.items()))
-    schema = T.StructType([once.schema["page_id"], T.StructField("pixels", T.LongType())])
-    painted = fold(local, ["page_id", "tx", "ty"], [], _TilePaint, schema)
+    tile = ["page_id", "tx", "ty"]
+    local = tiled.select(*tile, *(F.greatest(F.lit(0), F.least(F.lit(TILE_PX), F.col(e) - F.col(t) * TILE_PX)).cast("int").alias(e) for e, t in at.items()))
+    cuts = local.select(*tile, F.explode(F.array("x1", "x2")).alias("x")).groupBy(*tile).agg(F.array_sort(F.collect_set("x")).alias("cuts"))
+    own = F.filter("cuts", lambda x: (x >= F.col("x1")) & (x < F.col("x2")))
+    runs = local.join(cuts, tile).select(*tile, "y1", "y2", "x2", own.alias("own"))
+    width = F.transform("own", lambda x, i: F.struct(x.alias("x"), (F.coalesce(F.get("own", i + 1), F.col("x2")) - x).alias("wide")))
+    runs = runs.select(*tile, "y1", "y2", F.explode(width).alias("s")).groupBy(*tile, "s.x", "s.wide", "y1").agg(F.max("y2").alias("y2"))
+    before = Window.partitionBy(*tile, "x").orderBy("y1").rowsBetween(Window.unboundedPreceding, -1)
+    covered = F.greatest(F.lit(0), F.col("y2") - F.greatest("y1", F.coalesce(F.max("y2").over(before), F.lit(0))))
+    painted = runs.select("page_id", (covered * F.col("wide")).cast("long").alias("pixels"))
     return painted.groupBy("page_id").agg(F.sum("pixels").alias("masked_pixel_count"))
 
 
@@ -207,3 +198,14 @@ def strip_tiles(strips: DataFrame, cuts: DataFrame) -> DataFrame:
     tiles = F.when(~tall, whole).when(F.size("cuts") > 0, F.filter(between, lambda t: t["y2"] - t["y1"] >= MIN_TILE)).otherwise(
         F.filter(slices, lambda t: t["y2"] - t["y1"] >= MIN_TILE))
     return df.select("strip_id", F.posexplode(tiles).alias("tile_no", "t")).select("strip_id", F.col("tile_no").cast("long").alias("tile_no"), "t.*")
+
+
+def strip_detections(tiles: DataFrame, found: DataFrame) -> DataFrame:
+    """Boxes found per tile (``strip_id, tile_no, local_id``, box, ``score``) as boxes of the strip, each once.
+
+    Boxes move down by the top of their tile and are numbered by tile and place; of boxes that repeat in the overlap of two tiles the best stays.
+    """
+    moved = found.join(tiles.select("strip_id", "tile_no", F.col("y1").alias("top")), ["strip_id", "tile_no"])
+    moved = moved.withColumns({"y1": F.col("y1") + F.col("top"), "y2": F.col("y2") + F.col("top")}).drop("top")
+    numbered = with_position(moved, ["strip_id"], [F.col("tile_no"), F.col("local_id")], [F.col("tile_no"), F.floor(F.col("local_id") / 1024)], "region_id")
+    return suppress_non_max(numbered.withColumnRenamed("strip_id", "page_id")).withColumnRenamed("page_id", "strip_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,10 +11,11 @@ from pyspark.sql import functions as F
 from pagestrata.functions.repeats import is_degenerate, trim_repeated_suffix
 from pagestrata.functions.styles import clean_answer
 from pagestrata.functions.text import clean_joined, clean_piece, compact, strip
+from pagestrata.session import cut_lineage
 
 # Fixed values
-RESULT = "struct<rec_texts:array<string>,rec_scores:array<double>,rec_boxes:array<array<double>>,rec_polys:array<array<array<double>>>,dt_polys:array<array<array<double>>>>"
-LINES = "array<struct<text:string,confidence:double,bbox:array<double>>>"
+TEXTS, SCORES, BOXES = "rec_texts", "rec_scores", ("rec_boxes", "rec_polys", "dt_polys")
+LINES, LINE = "text_lines", "array<struct<text:string,confidence:double,bbox:array<double>>>"
 DEFAULT_STYLE = "default_manga"
 STYLE_ALIASES = {
     "default": "default_manga", "default manga": "default_manga", "casual": "casual_dialogue", "casual dialogue": "casual_dialogue",
@@ -47,25 +49,50 @@ def _mean(points: Column, axis: int) -> Column:
     return F.aggregate(points, F.lit(0.0), lambda a, p: a + p[axis]) / F.size(points)
 
 
+def result_nodes(outputs: DataFrame, json_text: Column) -> DataFrame:
+    """Every JSON object of the outputs that holds results: ``crop_id, path, node`` (variant), at any depth of objects and lists.
+
+    Objects and lists are opened level by level until none is left; the parallel arrays themselves are not. ``path`` has the place
+    at every level in four digits, so it sorts like the tree. Broken JSON has no nodes.
+    """
+    kind = F.schema_of_variant("node")
+    inner = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+    level = outputs.select("crop_id", F.lit("").alias("path"), F.try_parse_json(json_text).alias("node")).where(inner)
+    closed = F.coalesce(F.col("key").isin(TEXTS, SCORES, *BOXES, LINES), F.lit(False))
+    found = []
+    while True:
+        level = cut_lineage(level)
+        if level.isEmpty():
+            break
+        has = F.greatest(*(F.try_variant_get("node", F.lit(f"$.{n}"), "variant").isNotNull() for n in (TEXTS, LINES)))
+        found.append(level.where(kind.startswith("OBJECT") & has))
+        # a null value is an entry too: only its place is counted
+        opened = level.alias("l").lateralJoin(level.sparkSession.tvf.variant_explode(F.col("l.node").outer()).alias("e"))
+        level = opened.where(~closed).select("crop_id", F.concat("path", F.lit("/"), F.lpad(F.col("e.pos").cast("string"), 4, "0")).alias("path"), F.col("e.value").alias("node")).where(inner)
+    return reduce(DataFrame.unionByName, found) if found else level
+
+
 def flatten_output(outputs: DataFrame, json_text: Column, min_score: float = 0.0) -> DataFrame:
-    """Pieces of recogniser output: parallel arrays at the top, ``res`` or ``prunedResult``
-    level, or line objects. ``outputs`` hold ``crop_id``."""
-    parsed = F.from_json(json_text, f"struct<rec_texts:array<string>,rec_scores:array<double>,rec_boxes:array<array<double>>,rec_polys:array<array<array<double>>>,dt_polys:array<array<array<double>>>,res:{RESULT},prunedResult:{RESULT},text_lines:{LINES}>")
-    df = outputs.withColumn("p", parsed)
-    names = ("rec_texts", "rec_scores", "rec_boxes", "rec_polys", "dt_polys")
-    root = lambda r, level: F.struct(*((r[n]).alias(n) for n in names), F.lit(level).alias("level"))
-    roots = F.filter(F.array(root(F.col("p"), 0), root(F.col("p")["res"], 1), root(F.col("p")["prunedResult"], 2)), lambda r: F.size(r["rec_texts"]) > 0)
-    flat = df.select("crop_id", F.explode(roots).alias("r")).select("crop_id", "r.*")
-    rows = flat.select("crop_id", "level", "rec_scores", "rec_boxes", "rec_polys", "dt_polys", F.posexplode("rec_texts").alias("i", "raw"))
+    """Pieces of recogniser output (``outputs`` hold ``crop_id``): parallel arrays and line objects of all nodes.
+
+    Of pieces with one key the best score stays, on a tie the first one in the order of node and place. Scores that are missing or
+    no numbers count as 1.
+    """
+    nodes = result_nodes(outputs, json_text)
+    get = lambda name, kind: F.try_variant_get("node", F.lit(f"$.{name}"), kind)
+    boxes = F.coalesce(*(get(n, "array<variant>") for n in BOXES)).alias("boxes")
+    rows = nodes.select("crop_id", "path", get(SCORES, "array<string>").alias("scores"), boxes, F.posexplode(get(TEXTS, "array<string>")).alias("i", "raw"))
     at = F.col("i") + 1
-    boxed = F.try_element_at("rec_boxes", at)
-    poly = F.when(F.col("rec_boxes").isNull(), F.coalesce(F.when(F.col("rec_polys").isNotNull(), F.try_element_at("rec_polys", at)), F.when(F.col("rec_polys").isNull(), F.try_element_at("dt_polys", at))))
-    center = lambda a, b, axis: F.coalesce((boxed[a] + boxed[b]) / 2, F.when(F.size(poly) > 0, _mean(poly, axis)), F.lit(0.0))
+    rows = rows.withColumn("box", F.try_element_at("boxes", at))
+    rows = rows.withColumns({"corners": F.try_variant_get("box", F.lit("$"), "array<double>"), "polygon": F.try_variant_get("box", F.lit("$"), "array<array<double>>")})
+    nested = F.schema_of_variant("box").startswith("ARRAY<ARRAY")
+    center = lambda a, b, axis: F.coalesce(F.when(nested, _mean(F.col("polygon"), axis)).when(F.size("corners") >= 4, (F.col("corners")[a] + F.col("corners")[b]) / 2), F.lit(0.0))
+    slot = F.concat("path", F.lit("#"), F.lpad(F.col("i").cast("string"), 6, "0")).alias("slot")
     arrays = rows.select(
-        "crop_id", (F.col("level") * 1_000_000 + F.col("i")).cast("long").alias("slot"), clean_piece(F.col("raw")).alias("text"),
-        F.coalesce(F.try_element_at("rec_scores", at), F.lit(1.0)).alias("score"), center(0, 2, 0).alias("cx"), center(1, 3, 1).alias("cy"))
-    lines = df.select("crop_id", F.posexplode("p.text_lines").alias("i", "l")).select(
-        "crop_id", F.col("i").cast("long").alias("slot"), clean_piece(F.col("l.text")).alias("text"), F.coalesce("l.confidence", F.lit(1.0)).alias("score"),
+        "crop_id", slot, clean_piece(F.col("raw")).alias("text"),
+        F.coalesce(F.try_element_at("scores", at).try_cast("double"), F.lit(1.0)).alias("score"), center(0, 2, 0).alias("cx"), center(1, 3, 1).alias("cy"))
+    lines = nodes.select("crop_id", "path", F.posexplode(get(LINES, LINE)).alias("i", "l")).select(
+        "crop_id", slot, clean_piece(F.col("l.text")).alias("text"), F.coalesce("l.confidence", F.lit(1.0)).alias("score"),
         F.coalesce(F.try_element_at("l.bbox", F.lit(1)), F.lit(0.0)).alias("cx"), F.coalesce(F.try_element_at("l.bbox", F.lit(2)), F.lit(0.0)).alias("cy"))
     fine = lambda d: d.where((F.col("text") != "") & (F.col("score") >= min_score))
     pieces = best_by_key(fine(arrays), ["crop_id"]).drop("piece_key")

@@ -1,7 +1,9 @@
 """Box-overlap joins, components and greedy selection as distributed jobs.
 
 Pairs are found by joining on (key, grid cell), so a page that owns a large share
-of all boxes is spread over its cells. Every touching pair meets in exactly one
+of all boxes is spread over its cells. Cells are as fine as their boxes are many: a cell with
+more than ``DENSE`` boxes is cut like a quadtree, level by level, while its boxes do not
+multiply beyond ``SPREAD``. Every touching pair meets in exactly one
 counted cell, the one that holds the top-left corner of the common part, so no
 ``distinct`` follows the join.
 """
@@ -17,18 +19,40 @@ from pagestrata.functions.geometry import Box, box
 from pagestrata.session import cut_lineage
 
 CELL_PX = 256
+#: Boxes of a cell above which it is cut, cuts at most, and rows a box may become in them on average.
+DENSE, LEVELS, SPREAD = 512, 5, 24
 
 
-def _cells(b: Box, pad: int) -> tuple[Column, Column]:
-    xs = F.sequence(F.floor((b.x1 - pad) / CELL_PX), F.floor((b.x2 + pad) / CELL_PX))
-    ys = F.sequence(F.floor((b.y1 - pad) / CELL_PX), F.floor((b.y2 + pad) / CELL_PX))
-    return xs, ys
+def _span(low: Column, high: Column, px: int | Column) -> Column:
+    return F.sequence(F.floor(low / px), F.floor(high / px))
 
 
 def _on_grid(df: DataFrame, b: Box, pad: int) -> DataFrame:
-    ordered = Box(b.x1, b.y1, F.greatest(b.x1, b.x2), F.greatest(b.y1, b.y2))
-    xs, ys = _cells(ordered, pad)
-    return df.withColumn("__cx", F.explode(xs)).withColumn("__cy", F.explode(ys))
+    """Each box, grown by ``pad``, once per cell; ``__x1 .. __y2`` is the part of it in the cell."""
+    low_x, low_y = b.x1 - pad, b.y1 - pad
+    high_x, high_y = F.greatest(b.x1, b.x2) + pad, F.greatest(b.y1, b.y2) + pad
+    placed = df.withColumn("__cx", F.explode(_span(low_x, high_x, CELL_PX))).withColumn("__cy", F.explode(_span(low_y, high_y, CELL_PX)))
+    left, top = F.col("__cx") * CELL_PX, F.col("__cy") * CELL_PX
+    return placed.withColumns({
+        "__x1": F.greatest(low_x, left), "__x2": F.least(high_x, left + CELL_PX - 1), "__y1": F.greatest(low_y, top), "__y2": F.least(high_y, top + CELL_PX - 1)})
+
+
+def _dense_cells(boxes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Cells to be cut and the edge length of their parts: ``keys, __cx, __cy, __px``. Most cells are not among them."""
+    def parts(px: int) -> Column:
+        return (F.floor(F.col("__x2") / px) - F.floor(F.col("__x1") / px) + 1) * (F.floor(F.col("__y2") / px) - F.floor(F.col("__y1") / px) + 1)
+
+    edges = [CELL_PX >> k for k in range(1, LEVELS + 1)]
+    counted = boxes.groupBy(*keys, "__cx", "__cy").agg(F.count("*").alias("__n"), *(F.sum(parts(px)).alias(f"__r{px}") for px in edges)).where(F.col("__n") > DENSE)
+    fine = [F.when((F.col("__n") > DENSE * 4**k) & (F.col(f"__r{px}") <= SPREAD * F.col("__n")), F.lit(px)) for k, px in enumerate(edges)]
+    return counted.select(*keys, "__cx", "__cy", F.least(*fine).alias("__px")).where(F.col("__px").isNotNull())
+
+
+def _in_parts(placed: DataFrame, dense: DataFrame, keys: Sequence[str]) -> DataFrame:
+    px = F.coalesce("__px", F.lit(CELL_PX))
+    cut = placed.join(dense, [*keys, "__cx", "__cy"], "left").withColumn("__px", px)
+    return cut.withColumn("__sx", F.explode(_span(F.col("__x1"), F.col("__x2"), F.col("__px")))).withColumn(
+        "__sy", F.explode(_span(F.col("__y1"), F.col("__y2"), F.col("__px")))).drop("__cx", "__cy", "__x1", "__y1", "__x2", "__y2")
 
 
 def _prefixed(df: DataFrame, prefix: str, keys: Sequence[str]) -> DataFrame:
@@ -41,18 +65,21 @@ def touching_pairs(
 ) -> DataFrame:
     """All pairs of the same key whose boxes, the right one grown by ``pad``, touch.
 
-    Both sides bring ``x1, y1, x2, y2``; other columns come out prefixed.
+    Both sides bring ``x1, y1, x2, y2`` in whole pixels; other columns come out prefixed.
     """
-    l = _on_grid(_prefixed(left, left_prefix, keys), box(left_prefix), 0)
-    r = _on_grid(_prefixed(right, right_prefix, keys), box(right_prefix), pad)
+    keys = list(keys)
     a, b = box(left_prefix), box(right_prefix)
-    corner_x = F.greatest(a.x1, b.x1 - pad)
-    corner_y = F.greatest(a.y1, b.y1 - pad)
+    l = _on_grid(_prefixed(left, left_prefix, keys), a, 0)
+    r = _on_grid(_prefixed(right, right_prefix, keys), b, pad)
+    slim = [*keys, "__cx", "__cy", "__x1", "__y1", "__x2", "__y2"]
+    dense = _dense_cells(l.select(slim).unionByName(r.select(slim)), keys)
+    corner_x, corner_y = F.greatest(a.x1, b.x1 - pad), F.greatest(a.y1, b.y1 - pad)
     touch = (
         (corner_x <= F.least(a.x2, b.x2 + pad)) & (corner_y <= F.least(a.y2, b.y2 + pad))
     )
-    counted = (F.floor(corner_x / CELL_PX) == F.col("__cx")) & (F.floor(corner_y / CELL_PX) == F.col("__cy"))
-    return l.join(r, [*keys, "__cx", "__cy"]).where(touch & counted).drop("__cx", "__cy")
+    counted = (F.floor(corner_x / F.col("__px")) == F.col("__sx")) & (F.floor(corner_y / F.col("__px")) == F.col("__sy"))
+    met = _in_parts(l, dense, keys).join(_in_parts(r, dense, keys), [*keys, "__px", "__sx", "__sy"])
+    return met.where(touch & counted).drop("__px", "__sx", "__sy")
 
 
 def connected_components(

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,9 +18,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from pagestrata.functions.text import QUOTA_MARKERS, filter_ocr_text, is_quota_error
+from pagestrata.operators import memory as mm
 from pagestrata.operators import translation as tr
 from pagestrata.operators.status import ocr_work_list, work_pages
-from pagestrata.session import cut_lineage
+from pagestrata.session import cut_lineage, saved
 
 
 class GaveUp(Exception):
@@ -141,15 +143,19 @@ def recognise_items(items: DataFrame, make: Callable[[], object], force: bool =
 # ---------------------------------------------------------------- translation
 
 PAGES_RESULT = T.StructType().add("answers", T.ArrayType(
-    T.StructType().add("page_no", T.LongType()).add("lines", T.ArrayType(T.StringType()))))
+    T.StructType().add("page_no", T.LongType()).add("lines", T.ArrayType(T.StringType())))).add("reply", T.StringType())
 LINES_RESULT = T.StructType().add("lines", T.ArrayType(T.StringType()))
+TOLD = ["answers", "reply", "ok", "error"]
 
 
-def _packed(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Requests of a few pages each: ``pages`` is an array of page number and lines."""
+def _packed(lines: DataFrame, keys: Sequence[str], context: DataFrame | None = None) -> DataFrame:
+    """Requests of a few pages each: ``pages`` is an array of page number and lines, ``context`` what is known of the project."""
     texts = F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"])
     pages = lines.groupBy(*dict.fromkeys([*keys, *tr.PAGE])).agg(texts.alias("lines"))
-    return pages.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("page_no", "lines"))).alias("pages"))
+    packed = pages.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("page_no", "lines"))).alias("pages"))
+    if context is None:
+        return packed.withColumn("context", F.lit(""))
+    return packed.join(context.select("project_id", F.col("prompt").alias("context")), "project_id", "left").na.fill("", ["context"])
 
 
 def _answers(done: DataFrame) -> DataFrame:
@@ -169,21 +175,14 @@ def _spent(done: DataFrame) -> DataFrame:
     return done.where(~F.col("ok") & is_quota_error(F.col("error")))
 
 
-def translate_pages(
-    lines: DataFrame, make_pages: Callable[[], object], make_lines: Callable[[], object], size: int | None = None, attempts: int = 1, base_delay: float = 1.0,
-) -> DataFrame:
-    """Every line translated: strict page batches, failed pages alone, then line batches,
-    and last the originals in place of what is missing. ``recovered_by`` tells the step.
-
-    Each request is tried up to ``attempts`` times. Pages that meet a used-up quota keep their originals at once.
-    """
-    lines = cut_lineage(lines.select(*tr.LINE, "text"))
-    chunks = tr.page_chunks(lines.select(*tr.PAGE).distinct(), size).select(*tr.PAGE, "chunk")
+def _ladder(lines: DataFrame, chunks: DataFrame, make_pages, make_lines, attempts: int, base_delay: float, context: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Lines with ``translated, recovered_by``, and the replies of the page requests (``project_id, page_no, step, reply``)."""
     ask = lambda rows, make, result: run_provider(rows, make, result, attempts, base_delay)
-    batched = cut_lineage(ask(_packed(lines.join(chunks, tr.PAGE), ["project_id", "chunk"]), make_pages, PAGES_RESULT).select("project_id", "chunk", "answers", "ok", "error"))
+    batched = cut_lineage(ask(_packed(lines.join(chunks, tr.PAGE), ["project_id", "chunk"], context), make_pages, PAGES_RESULT).select(
+        "project_id", "chunk", F.col("pages")[0]["page_no"].alias("page_no"), *TOLD))
     good, open_ = _split(lines, _answers(batched), "batch")
     spent = chunks.join(_spent(batched).select("project_id", "chunk"), ["project_id", "chunk"]).select(*tr.PAGE)
-    alone = cut_lineage(ask(_packed(open_.join(spent, tr.PAGE, "left_anti"), tr.PAGE), make_pages, PAGES_RESULT).select(*tr.PAGE, "answers", "ok", "error"))
+    alone = cut_lineage(ask(_packed(open_.join(spent, tr.PAGE, "left_anti"), tr.PAGE, context), make_pages, PAGES_RESULT).select(*tr.PAGE, *TOLD))
     good_2, open_2 = _split(open_, _answers(alone), "page")
     spent = spent.unionByName(_spent(alone).select(*tr.PAGE))
     asked = _packed(open_2.join(spent, tr.PAGE, "left_anti"), tr.PAGE).select(*tr.PAGE, F.col("pages")[0]["lines"].alias("source_lines"))
@@ -192,7 +191,53 @@ def translate_pages(
     fine = tr.page_shapes(open_2, told).select(*tr.PAGE, F.when(F.col("valid"), "lines").otherwise("original").alias("recovered_by"))
     rest = tr.repair_lines(open_2, told).join(fine, tr.PAGE)
     cols = [*tr.LINE, "text", "translated", "recovered_by"]
-    return good.select(cols).unionByName(good_2.select(cols)).unionByName(rest.select(cols))
+    reply = lambda done, step: done.where("ok").select(*tr.PAGE, F.lit(step).alias("step"), "reply")
+    return good.select(cols).unionByName(good_2.select(cols)).unionByName(rest.select(cols)), reply(batched, 0).unionByName(reply(alone, 1))
+
+
+def translate_pages(
+    lines: DataFrame, make_pages: Callable[[], object], make_lines: Callable[[], object], size: int | None = None, attempts: int = 1, base_delay: float = 1.0,
+) -> DataFrame:
+    """Every line translated: strict page batches, failed pages alone, then line batches,
+    and last the originals in place of what is missing. ``recovered_by`` tells the step.
+
+    Each request is tried up to ``attempts`` times. Pages that meet a used-up quota keep their originals at once.
+    """
+    lines = cut_lineage(lines.select(*tr.LINE, "text"))
+    chunks = tr.page_chunks(lines.select(*tr.PAGE).distinct(), size).select(*tr.PAGE, "chunk")
+    return _ladder(lines, chunks, make_pages, make_lines, attempts, base_delay)[0]
+
+
+def translate_in_context(
+    lines: DataFrame, make_pages: Callable[[], object], make_lines: Callable[[], object], size: int | None = None, attempts: int = 1, base_delay: float = 1.0,
+    known: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """As ``translate_pages``, each chunk with what the chunks before have taught, and the memory of every project at its end.
+
+    A wavefront over all projects: round k asks the k-th chunk of every project at once, takes up the answers into the memory and
+    hands it to round k + 1. Answers depend on earlier answers, so the rounds, as many as the longest project has chunks, cannot
+    run side by side; inside a round all projects do. Page requests see the context, line batches do not. ``known`` may hold names to begin
+    with (``project_id, term, translation``, and ``slot`` for their order). Every round is written, so a lost executor repeats no
+    earlier request; projects without a further chunk leave the memory that is rolled forward.
+    """
+    pages = tr.page_chunks(lines.select(*tr.PAGE).distinct(), size).select(*tr.PAGE, "chunk")
+    asked = saved(lines.select(*tr.LINE, "text").join(pages, tr.PAGE), "wave", "chunk")
+    last = asked.agg(F.max("chunk")).first()[0]
+    ends = cut_lineage(asked.groupBy("project_id").agg(F.max("chunk").alias("last")))
+    memory = cut_lineage(mm.given_names(known) if known is not None else mm.empty(lines.sparkSession))
+    parts, left = [], []
+    for k in range(-1 if last is None else last + 1):
+        own = asked.where(F.col("chunk") == k)
+        chunks = own.select(*tr.PAGE, "chunk").distinct()
+        done, replies = _ladder(own.drop("chunk"), chunks, make_pages, make_lines, attempts, base_delay, mm.prompts(memory))
+        done = saved(done, "wave-done")
+        parts.append(done)
+        grown = cut_lineage(mm.merged(memory.unionByName(mm.learnt(done, replies, k))))
+        left.append(grown.join(ends.where(F.col("last") == k), "project_id", "left_semi"))
+        memory = grown.join(ends.where(F.col("last") > k), "project_id", "left_semi")
+    if not parts:
+        return lines.select(*tr.LINE, "text", F.lit(None).cast("string").alias("translated"), F.lit("").alias("recovered_by")), memory
+    return reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, left)
 
 
 # ---------------------------------------------------------------- several stages

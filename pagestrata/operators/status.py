@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagestrata.functions import geometry as g
 from pagestrata.functions.geometry import box
+from pagestrata.functions.paths import stem
 from pagestrata.functions.text import strip
 
 # Fixed values
@@ -101,7 +102,14 @@ def detector_stats(detections: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- work lists and reuse
 
 
-def ocr_work_list(items: DataFrame, force: bool = False) -> DataFrame:
+def selected(items: DataFrame, ids: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+    """The items whose ``keys`` are listed in ``ids``; all of them without a list."""
+    return items if ids is None else items.join(ids.select(*keys).distinct(), list(keys), "left_semi")
+
+
+def ocr_work_list(items: DataFrame, force: bool = False, ids: DataFrame | None = None, keys: Sequence[str] = ("page_id", "ocr_item_id")) -> DataFrame:
+    """Items still to be recognised, of the ``ids`` if such a table is given."""
+    items = selected(items, ids, keys)
     done = (clean_status(F.col("status")) == "done") & (strip(F.coalesce("text", F.lit(""))) != "") & ~F.coalesce("needs_ocr", F.lit(False))
     open_ = ~F.coalesce("excluded", F.lit(False))
     return items.where(open_ if force else open_ & ~done)
@@ -200,6 +208,33 @@ def remaining_pages(pages: DataFrame, outcome: DataFrame) -> DataFrame:
     return pages.join(outcome.where("outcome = 'removed'").select("page_id").distinct(), "page_id", "left_anti")
 
 
+def artefacts(pages: DataFrame, kinds: Sequence[tuple[str, str]]) -> DataFrame:
+    """Stored files of pages (``project_id, page_id, source_path``) by kind: (folder, suffix) under ``cache/``."""
+    listed = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(e).alias("ending")) for k, e in kinds))
+    rows = pages.select("project_id", "page_id", F.explode(listed).alias("k"), stem(F.substring_index("source_path", "/", -1)).alias("name"))
+    return rows.select("project_id", "page_id", F.col("k.kind").alias("kind"), F.concat(F.lit("cache/"), "k.kind", F.lit("/"), "name", "k.ending").alias("path"))
+
+
+def trash_rows(outcome: DataFrame, pages: DataFrame, stored: DataFrame) -> DataFrame:
+    """Rows for the trash table: the removed pages and their stored artefacts (``project_id, page_id, kind, path``)."""
+    gone = outcome.where("outcome = 'removed'").select("page_id").distinct()
+    kinds = pages.select("project_id", "page_id", F.lit("page").alias("kind"), F.col("source_path").alias("path")).unionByName(stored.select("project_id", "page_id", "kind", "path"))
+    name = F.substring_index("path", "/", -1)
+    folder = F.when(F.col("kind") == "page", F.lit("pages")).otherwise(F.concat(F.lit("cache/"), "kind"))
+    return kinds.join(gone, "page_id", "left_semi").withColumn("trash_path", F.concat(F.lit("trash/"), folder, F.lit("/"), F.col("page_id").cast("string"), F.lit("_"), name))
+
+
+def remove_pages(outcome: DataFrame, pages: DataFrame, stored: DataFrame, trash: str, batch_id: str) -> tuple[DataFrame, DataFrame]:
+    """Append the removed rows to the trash table, and return the pages and artefacts that stay.
+
+    The rows go to the partition of ``batch_id``, which a replay overwrites; nothing is taken out of the live tables before they are
+    written. The caller publishes what stays in the same way (``sources.documents.write_stage``).
+    """
+    trash_rows(outcome, pages, stored).write.mode("overwrite").parquet(f"{trash}/batch={batch_id}")
+    gone = outcome.where("outcome = 'removed'").select("page_id").distinct()
+    return remaining_pages(pages, outcome), stored.join(gone, "page_id", "left_anti")
+
+
 def next_page(current: DataFrame, outcome: DataFrame, pages: DataFrame) -> DataFrame:
     """Current page index after a removal. ``current`` holds ``project_id, current_index``."""
     gone = outcome.where("outcome = 'removed'").select("page_id").distinct()

@@ -110,6 +110,19 @@ def same_page_set(order: DataFrame, pages: DataFrame) -> DataFrame:
     return both.groupBy("project_id").agg(F.bool_and(F.coalesce((F.col("asked") == 1) & (F.col("known") == 1), F.lit(False))).alias("accepted"))
 
 
+def reordered_pages(order: DataFrame, pages: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pages with their new ``page_no``, and the index of the page that was current (``project_id, current_index``) in the new order.
+
+    ``order`` holds ``project_id, slot, source_path``. A project whose order is not accepted keeps its pages as they are.
+    """
+    fine = same_page_set(order, pages).where("accepted").select("project_id")
+    placed = with_position(order.join(fine, "project_id", "left_semi"), ["project_id"], [F.col("slot")], number_band(F.col("slot"), 256), "new_no")
+    out = pages.join(placed.select("project_id", "source_path", "new_no"), ["project_id", "source_path"], "left")
+    moved = out.where("new_no is not null").select("project_id", F.col("page_no").alias("current_index"), "new_no")
+    index = current.join(moved, ["project_id", "current_index"], "left").select("project_id", F.coalesce("new_no", "current_index").alias("current_index"))
+    return out.withColumn("page_no", F.coalesce("new_no", "page_no")).select(*pages.columns), index
+
+
 # ---------------------------------------------------------------- items
 
 
@@ -118,11 +131,16 @@ def status_of(status: Column) -> Column:
     return F.when(cleaned == "", "pending").otherwise(cleaned)
 
 
-def work_list(items: DataFrame, force: bool = False) -> DataFrame:
+def work_list(items: DataFrame, force: bool = False, ids: DataFrame | None = None, keys: Sequence[str] = ("page_id", "ocr_item_id")) -> DataFrame:
     """Adds ``wanted`` and the status, text and error after the pass over the items.
 
-    Items without source text are skipped and cleared; finished and edited ones stay.
+    Items without source text are skipped and cleared; finished and edited ones stay. With a table of ``ids``, the pass
+    leaves all other items as they are, not wanted.
     """
+    if ids is not None:
+        chosen = work_list(items.join(ids.select(*keys).distinct(), list(keys), "left_semi"), force)
+        others = items.join(ids.select(*keys).distinct(), list(keys), "left_anti")
+        return chosen.unionByName(others.withColumn("wanted", F.lit(False)))
     filled = strip(F.coalesce("source_text", F.lit(""))) != ""
     has = strip(F.coalesce("translated_text", F.lit(""))) != ""
     status = status_of(F.col("status"))

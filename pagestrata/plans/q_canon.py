@@ -135,13 +135,13 @@ def _(v):
     return cn.summarize(v.canon)
 
 
-@query("summarize_detection", f"""with c as (select * from fx_canon where page_id%4<>0), s as (select page_id, {COUNTS} from c group by 1),
+@query("summarize_detection", f"""with c as (select * from fx_canon), s as (select page_id, {COUNTS} from c group by 1),
   f as (select page_id, null::bigint total, null::bigint active, null::bigint excluded, count(*) filter (where not excluded and det_kind='bubble') active_bubbles, count(*) filter (where excluded and det_kind='bubble') excluded_bubbles,
     count(*) filter (where not excluded and det_kind<>'bubble') active_layout_regions, count(*) filter (where excluded and det_kind<>'bubble') excluded_layout_regions from fx_region where page_id not in (select page_id from c) group by 1)
   select p.page_id, render_stale edited, total, active, excluded, active_bubbles, excluded_bubbles, active_layout_regions, excluded_layout_regions from fx_page p join (select * from s union all select * from f) u using (page_id)""", "fx_canon fx_region fx_page")
 def _(v):
     pages = v.page.select("page_id", F.col("render_stale").alias("edited"))
-    return cn.summarize_detection(pages, v.canon.where(F.col("page_id") % 4 != 0), v.region)
+    return cn.summarize_detection(pages, v.canon, v.region)
 
 
 # ------------------------------------------------------------- edits
@@ -169,6 +169,58 @@ def _(v):
     return cn.edit_boxes(items, _edits(v)).select("page_id", "canon_id", "x1", "ox1", "ry2", "bbox_edited", "ocr_edited", "edit_error")
 
 
+@query("edit_mask_boxes", f"""with {EDITS}, mk as (select page_id, canon_id, unnest([0,1]) slot, x1, y1, (x1+x2)//2 x2, y2 from fx_canon where part_key%2=0), f as (select c.page_id, c.canon_id, c.kind, c.region_id, n.field, case when field='bbox' then n.x1 else c.x1 end x1, case when field='bbox' then n.y1 else c.y1 end y1,
+    case when field='bbox' then n.x2 else c.x2 end x2, case when field='bbox' then n.y2 else c.y2 end y2, c.w, c.h from fx_canon c join nn n on n.page_id=c.page_id and n.canon_id=c.canon_id where n.good and (n.field='bbox' or (n.field='ocr_bbox' and c.kind='bubble'))),
+  m2 as (select page_id, canon_id, slot, case slot when 0 then x1 else x1+7 end x1, y1, x2+slot*9 x2, y2 from mk),
+  kept as (select m2.* from m2 where not exists (select 1 from f where f.page_id=m2.page_id and f.canon_id=m2.canon_id)), wh as (select page_id, canon_id, 0 slot, x1, y1, x2, y2 from f where kind<>'bubble'),
+  cu as (select f.page_id, f.canon_id, slot, greatest(f.x1,m2.x1,0) x1, greatest(f.y1,m2.y1,0) y1, least(f.x2,m2.x2,w) x2, least(f.y2,m2.y2,h) y2 from f join m2 on m2.page_id=f.page_id and m2.canon_id=f.canon_id where f.kind='bubble' and f.field='bbox'),
+  cv as (select page_id, canon_id, min(slot) slot, x1, y1, x2, y2 from cu where x2>x1 and y2>y1 group by page_id, canon_id, x1, y1, x2, y2),
+  fb as (select f.page_id, f.canon_id, 0 slot, greatest(f.x1,r.x1,0) x1, greatest(f.y1,r.y1,0) y1, least(f.x2,r.x2,w) x2, least(f.y2,r.y2,h) y2 from (select *, w fw from f) f join (select page_id, region_id, greatest(0,least(x1,1000)) x1, greatest(0,least(y1,1400)) y1, greatest(0,least(x2,1000)) x2, greatest(0,least(y2,1400)) y2 from fx_region) r
+    on r.page_id=f.page_id and r.region_id=f.region_id where f.kind='bubble' and not exists (select 1 from cv where cv.page_id=f.page_id and cv.canon_id=f.canon_id))
+  select page_id, canon_id, cast(slot as bigint) slot, x1, y1, x2, y2 from (select page_id, canon_id, slot, x1, y1, x2, y2 from kept union all select * from wh union all select page_id, canon_id, slot, x1, y1, x2, y2 from cv union all select * from fb where x2>x1 and y2>y1) u""", "fx_canon fx_region")
+def _(v):
+    before = canon(v).withColumns({"bbox_edited": F.lit(False), "region_ids": F.array("region_id")})
+    mid = F.floor((F.col("x1") + F.col("x2")) / 2)
+    masks = v.canon.where("part_key % 2 = 0").select("page_id", "canon_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("slot"), *EDGES).select(
+        "page_id", "canon_id", F.col("slot").cast("long").alias("slot"), (F.col("x1") + 7 * F.col("slot")).alias("x1"), "y1", (mid + 9 * F.col("slot")).alias("x2"), "y2")
+    return cn.edit_mask_boxes(masks, before, _edits(v), v.region)
+
+
+@query("detection_edit_marks", """with p as (select distinct page_id from fx_canon where part_key%5=0)
+  select page_id, s as stage, case when s='detection' then 'edited' else 'stale' end mark from (select page_id, unnest(['detection','ocr','translation','inpaint','render','export']) s from p) q""", "fx_canon")
+def _(v):
+    return cn.edit_marks(v.canon.where("part_key % 5 = 0"), "detection", "file")
+
+
+@query("ocr_edits_on_canon", """with e as (select page_id, canon_id, ox1, oy1, ox2, oy2, part_key%3=0 moved, case when part_key%4=0 then part_key%8=0 end off from fx_ocr)
+  select c.page_id, c.canon_id, case when moved then greatest(0, c.ox1+4) else c.ox1 end ox1, coalesce(moved,false) or c.ocr_edited ocr_edited, case when off is not null then not off else c.enabled end enabled,
+    case when moved then greatest(0, c.ox1+4) else c.ox1 end item_ox1, coalesce(off, not c.enabled) item_excluded from fx_canon c join e on e.page_id=c.page_id and e.canon_id=c.canon_id""", "fx_ocr fx_canon")
+def _(v):
+    p = F.col("part_key")
+    items = v.ocr.withColumnRenamed("ocr_item_id", "item_id")
+    edits = items.where((p % 3 == 0) | (p % 4 == 0)).select(
+        "page_id", "item_id", *g.Box(F.col("ox1") + 4, F.col("oy1"), F.col("ox2"), F.col("oy2")).keep_if(p % 3 == 0).named("e_"), F.when(p % 4 == 0, p % 8 == 0).alias("new_excluded"))
+    state, shown = cn.apply_ocr_edits(canon(v).withColumn("bbox_edited", F.lit(False)), items, edits)
+    return state.select("page_id", "canon_id", "ox1", "ocr_edited", "enabled").join(
+        shown.select("page_id", "canon_id", F.col("ox1").alias("item_ox1"), F.col("excluded").alias("item_excluded")), ["page_id", "canon_id"])
+
+
+@query("render_style_edits", """select page_id, region_id item_id, part_key%11=0 or part_key%7=0 needs_render, case when part_key%7=0 then '' else 'old' end as error, case when part_key%7=0 then 'font '||cast(part_key%5 as varchar) end font_name,
+    case when part_key%7=0 then case when part_key%2=0 then 'fixed' else 'inherit' end end font_size_mode, case when part_key%7=0 then greatest(0, part_key%30-5) end fixed_font_size, case when part_key%7=0 then true end enabled from fx_canon""", "fx_canon")
+def _(v):
+    p = F.col("part_key")
+    items = v.canon.select("page_id", F.col("region_id").alias("item_id"), (p % 11 == 0).alias("needs_render"), F.lit("old").alias("error"))
+    none = F.lit(None)
+    edits = v.canon.where(p % 7 == 0).select(
+        "page_id", F.col("region_id").alias("item_id"), F.lit(False).alias("enabled"), F.lit("").alias("render_text_override"), F.concat(F.lit("font "), (p % 5).cast("string")).alias("font_name"), F.lit("").alias("font_path"),
+        F.when(p % 2 == 0, "Fixed").otherwise("odd").alias("font_size_mode"), (p % 30 - 5).cast("string").alias("fixed_font_size"), none.cast("string").alias("min_font_size"), none.cast("string").alias("max_font_size"),
+        none.cast("string").alias("writing_mode"), none.cast("string").alias("stroke_enabled"), none.cast("string").alias("stroke_width"), none.cast("string").alias("text_color_mode"), none.cast("array<string>").alias("text_color"),
+        none.cast("array<string>").alias("stroke_color"), none.cast("string").alias("line_spacing_ratio"))
+    style = F.col("style_overrides")
+    return cn.edit_render_style(items, edits).select(
+        "page_id", "item_id", "needs_render", "error", style["font_name"].alias("font_name"), style["font_size_mode"].alias("font_size_mode"), style["fixed_font_size"].cast("long").alias("fixed_font_size"), style["enabled"].alias("enabled"))
+
+
 @query("set_enabled", """select page_id, canon_id, case when part_key%3=0 then part_key%2=0 else enabled end enabled, not case when part_key%3=0 then part_key%2=0 else enabled end excluded from fx_canon""", "fx_canon")
 def _(v):
     p = F.col("part_key")

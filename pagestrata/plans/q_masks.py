@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pagestrata.functions import geometry as g
@@ -138,3 +139,17 @@ def _(v):
 def _(v):
     strips = v.row.groupBy("strip_id").agg(F.count("*").alias("h")).withColumn("w", F.lit(1000))
     return mk.strip_tiles(strips, mk.gutter_cuts(mk.gutter_runs(v.row)))
+
+
+@query("strip_detections", """with t as (select * from fx_region), b as (select page_id strip_id, region_id, x1, y1, x2, y2, score, region_id%2 tile_no from t where x2>x1 and y2>y1)
+  select strip_id, count(*) n from (select distinct strip_id, x1, y1, x2, y2 from b) q group by 1""", "fx_region")
+def _(v):
+    # every box is found by two tiles that overlap it; a far shift keeps different boxes apart
+    far = v.region.where("x2 > x1 and y2 > y1").select("page_id", *EDGES, "score").distinct()
+    spread = F.dense_rank().over(Window.partitionBy("page_id").orderBy(*EDGES)) * 10000
+    apart = far.groupBy("page_id", *EDGES).agg(F.max("score").alias("score")).withColumn("d", spread)
+    tiles = apart.select(F.col("page_id").alias("strip_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("tile_no")).distinct().withColumn("y1", F.col("tile_no") * 1300)
+    found = apart.select(F.col("page_id").alias("strip_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("tile_no"), F.col("d").alias("local_id"), "x1", "x2", "score",
+                         (F.col("y1") + F.col("d")).alias("y1"), (F.col("y2") + F.col("d")).alias("y2"))
+    found = found.withColumns({"y1": F.col("y1") - F.col("tile_no") * 1300, "y2": F.col("y2") - F.col("tile_no") * 1300})
+    return mk.strip_detections(tiles, found).groupBy("strip_id").agg(F.count("*").alias("n"))

@@ -134,8 +134,11 @@ def _(v):
         F.transform("l", lambda x: x["line"]).alias("rec_texts"), F.transform("l", lambda x: (x["line_no"] % 10) / 10.0).alias("rec_scores"),
         F.transform("l", lambda x: F.array(F.lit(0.0), x["line_no"] * 10.0, F.lit(50.0), x["line_no"] * 10.0 + 4.0)).alias("rec_boxes"))
     lines = F.struct(F.transform("l", lambda x: F.struct(x["line"].alias("text"), F.array(F.lit(0.0), x["line_no"] * 10.0, F.lit(9.0), F.lit(9.0)).alias("bbox"))).alias("text_lines"))
-    k = F.col("crop_id") % 4
+    k, deep = F.col("crop_id") % 4, F.floor(F.col("crop_id") / 4) % 3
     j = F.when(k == 0, F.to_json(arr)).when(k == 1, F.to_json(F.struct(arr.alias("res")))).when(k == 2, F.to_json(F.struct(arr.alias("prunedResult")))).otherwise(F.to_json(lines))
+    # deeper: in a list after other things, or in a wrapper in a wrapper in a list
+    j = F.when(deep == 1, F.concat(F.lit('[7, null, {"rec_texts": [], "page": '), j, F.lit("}]"))).when(
+        deep == 2, F.concat(F.lit('{"a": [[{"b": {"c": [{"other": [1, "x"]}, '), j, F.lit(']}}]], "rec_scores": {"no": 1}}'))).otherwise(j)
     return rc.flatten_output(rows, j, 0.3).select("crop_id", "text", "score", "cy")
 
 

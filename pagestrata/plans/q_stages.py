@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 
 from pagestrata.functions.geometry import EDGES, box
 from pagestrata.operators import canon as cn
+from pagestrata.operators import export as ex
+from pagestrata.operators import memory as mm
 from pagestrata.operators import stages as sg
 from pagestrata.operators import status as st
+from pagestrata.operators import terms as tm
 from pagestrata.operators import translation as tr
 from pagestrata.plans.q_text import FILTER_CTES, FLAGS
+from pagestrata.plans.q_translation import SUMMARY, TERM_ROWS
 from pagestrata.plans.registry import query
 from pagestrata.session import shared_folder
 from pagestrata.sources import documents as docs
 from pagestrata.sources.images import import_names, png_size
+from pagestrata.streaming import context as cm
 from pagestrata.streaming import jobs
 
 
@@ -49,19 +54,6 @@ class PrefixLines:
         return {"lines": ["ln:" + x for x in row["source_lines"]][: -1 if row["project_id"] % 2 else None]}
 
 
-class GridBoxes:
-    def call(self, row):
-        if row["page_id"] % 19 == 0:
-            raise TimeoutError
-        step = 50 + row["page_id"] % 50
-        return {"boxes": [{"x1": k * step, "y1": 10, "x2": k * step + 40, "y2": 60, "score": 0.5, "label": "text"} for k in range(row["page_id"] % 5)]}
-
-
-class SizeStamp:
-    def call(self, row):
-        return {"image": bytes([len(row["page_boxes"]) % 256])}
-
-
 @query("recognise_items", f"""with src as (select doc_id, text raw, provider from fx_doc), {FLAGS}, {FILTER_CTES}
   select doc_id, case when doc_id%17=0 then 'error' when reason<>'' then 'skipped' else 'done' end status, case when doc_id%17=0 then '' else reason end skip_reason,
     case when doc_id%17=0 or reason<>'' then '' when some_bad then kept else t end as text from vd""", "fx_doc")
@@ -79,31 +71,46 @@ def _(v):
     return sg.translate_pages(v.source, PrefixPages, PrefixLines, 2)
 
 
-@query("detect_pages", "select page_id, case when page_id%19=0 then 'error' else 'done' end status, case when page_id%19=0 then 0 else page_id%5 end raw_detections from fx_page where not render_exists", "fx_page")
+@query("open_detection_pages", "select page_id from fx_page where not (render_exists and not render_stale)", "fx_page")
 def _(v):
-    _, outcome = sg.detect_pages(v.page.select("page_id"), v.page.where("render_exists").select("page_id"), GridBoxes)
-    return outcome.select("page_id", "status", "raw_detections")
+    now = v.page.select("page_id", F.lit("m1").alias("model"))
+    old = v.page.where("render_exists").select("page_id", F.when(F.col("render_stale"), "m0").otherwise("m1").alias("model"))
+    return st.work_pages(v.page.select("page_id"), st.reusable_detections(now, old, ["model"]))
 
 
-@query("inpaint_pages", """with b as (select page_id, count(*) n from fx_canon where enabled and kind='bubble' group by 1)
-  select page_id, case when n is null then 'no_text' else 'done' end status, cast(coalesce(n,7) as bigint) stamp from fx_page left join b using (page_id) where not render_stale""", "fx_page fx_canon")
+@query("run_outcomes", """with e as (select page_id, stage, bool_or(event='page_error') bad from fx_event group by 1,2), k as (select *, case stage when 'detection' then 0 when 'ocr' then 1 when 'translation' then 2 when 'inpaint' then 3 else 4 end n from e)
+  select page_id, stage, case when bad then 'error' else 'done' end status from k where not exists (select 1 from k b where b.page_id=k.page_id and b.n<k.n and b.bad)""", "fx_event")
 def _(v):
-    pages = v.page.select("page_id", F.unhex(F.lit("07")).alias("content"))
-    boxes = v.canon.where("enabled and kind = 'bubble'").select("page_id", *EDGES)
-    out = sg.image_job(pages, boxes, SizeStamp, v.page.where("render_stale").select("page_id"))
-    return out.select("page_id", "status", F.conv(F.hex("image"), 16, 10).cast("long").alias("stamp"))
+    rolled = v.event.groupBy("page_id", "stage").agg(F.when(F.bool_or(F.col("event") == "page_error"), "error").otherwise("done").alias("status"))
+
+    def stage_of(name):
+        return name, lambda pages: rolled.where(F.col("stage") == name).join(pages.select("page_id"), "page_id").select("page_id", "status", F.lit("").alias("error"))
+
+    pages = rolled.select("page_id").distinct()
+    return sg.run_stages(pages, [stage_of(n) for n in ("detection", "ocr", "translation", "inpaint", "render")])[0].select("page_id", "stage", "status")
+
+
+class Busy:
+    """Refuses the first calls for a row, as many as its ``refusals``; -1 is a used-up quota."""
+
+    def __init__(self):
+        self.asked = {}
+
+    def call(self, row):
+        n = self.asked[row["doc_id"]] = self.asked.get(row["doc_id"], 0) + 1
+        if row["refusals"] < 0:
+            raise RuntimeError("quota exceeded")
+        if n <= row["refusals"]:
+            raise RuntimeError(f"busy {n}")
+        return {"raw_text": row["truth"]}
 
 
-@query("run_stages", """with d as (select page_id, page_id%19=0 bad1, page_id%7=0 bad2 from fx_page) select page_id, 'detection' stage, case when bad1 then 'error' else 'done' end status from d
-  union all select page_id, 'ocr', case when bad2 then 'error' else 'done' end from d where not bad1 union all select page_id, 'render', 'done' from d where not bad1 and not bad2""", "fx_page")
+@query("retries", """select doc_id, r<3 and r>=0 ok, case when r<0 then 'quota exceeded' when r>=3 then 'busy 3' else '' end as error, case when r<0 then '1:quota exceeded' else array_to_string(list_transform(range(1, least(r,3)+1), lambda n: cast(n as varchar)||':busy '||cast(n as varchar)), ';') end tries
+  from (select doc_id, length(text)%6-1 r from fx_doc) q""", "fx_doc")
 def _(v):
-    none = v.page.select("page_id").where(F.lit(False))
-    steps = [
-        ("detection", lambda p: sg.detect_pages(p.select("page_id"), none, GridBoxes)[1]),
-        ("ocr", lambda p: p.select("page_id", F.when(F.col("page_id") % 7 == 0, "error").otherwise("done").alias("status"), F.lit("").alias("error"))),
-        ("render", lambda p: p.select("page_id", F.lit("done").alias("status"), F.lit("").alias("error"))),
-    ]
-    return sg.run_stages(v.page, steps)[0].select("page_id", "stage", "status")
+    rows = v.doc.select("doc_id", F.col("text").alias("truth"), (F.length("text") % 6 - 1).alias("refusals"))
+    done = sg.run_provider(rows, Busy, sg.TEXT_RESULT, 3, 0.0)
+    return done.select("doc_id", "ok", "error", F.array_join(F.transform("tries", lambda t: F.concat_ws(":", t["attempt"].cast("string"), t["error"])), ";").alias("tries"))
 
 
 # ------------------------------------------------------------- sources
@@ -147,6 +154,17 @@ def _(v):
     return items.select(page_of_key(), F.col("id").cast("long").alias("id"), "canon_id", "text", "status", "needs_ocr", "excluded")
 
 
+@query("unknown_fields_return", f"""select page_id, count(*) item_count, '['||string_agg('{{"id":'||cast(rn as varchar)||',"canon_id":"'||canon_id||'"'||case when part_key%3=0 then ',"k":'||cast(ocr_item_id as varchar)||',"odd":{{"p":['||cast(part_key as varchar)||',null]}}' else ',"k":'||cast(ocr_item_id as varchar) end||'}}',',' order by rn)||']' as document,
+  '{{"note":"n'||cast(page_id as varchar)||'"}}' extra from (select *, row_number() over (partition by page_id order by ocr_item_id)-1 rn from fx_ocr where {READABLE}) q group by 1""", "fx_ocr")
+def _(v):
+    p = F.col("part_key")
+    odd = F.when(p % 3 == 0, F.struct(F.array(p, F.lit(None)).alias("p"))).alias("odd")
+    made = listed(v.ocr, "ocr_item_id", "canon_id", odd).withColumn("note", F.concat(F.lit("n"), F.col("page_id").cast("string")))
+    read = docs.scan_items(v.spark, written(v, "ocr", made), "ocr", lines=True)
+    built = ex.page_documents(read["items"].select(page_of_key(), F.col("id").cast("long").alias("id"), "canon_id", "extra"), ["canon_id"], "extra")
+    return built.join(read["documents"].select(page_of_key(), F.to_json("extra").alias("extra")), "page_id")
+
+
 @query("scan_rejected_documents", "select page_id%10=7 broken, count(*) n from (select distinct page_id from fx_ocr) q where page_id%10 in (3,7) group by 1", "fx_ocr")
 def _(v):
     rejected = docs.scan_items(v.spark, written(v, "ocr", listed(v.ocr, "ocr_item_id", "canon_id")), "ocr", lines=True)["rejected"]
@@ -266,8 +284,7 @@ def _run(v, stream, shape, mode="append"):
   from fx_event join t using (command_id) where event='page_done' group by 1,2,4""", "fx_event")
 def _(v):
     totals = v.event.groupBy("command_id").agg(F.countDistinct("page_id").alias("total"))
-    rolled = jobs.progress_rollup(_event_stream(v), totals)
-    return jobs.latest_batch(_run(v, rolled, lambda b: b, "complete"))
+    return jobs.progress_now(_run(v, jobs.progress_rollup(_event_stream(v)), lambda b: b, "update"), totals)
 
 
 @query("latest_status", "select stage, arg_max(event, (ts, event_id)) as event, arg_max(page_id, (ts, event_id)) page_id from fx_event group by 1", "fx_event")
@@ -294,6 +311,28 @@ def _(v):
     return jobs.merged_terms(_run(v, stream, jobs.term_counts)).select("project_id", "term", "cnt")
 
 
+@query("stream_context_memory", f"""with {TERM_ROWS}, {SUMMARY}, lp as (select project_id, max(page_no) page_no, least(5, count(*)) recent_pages from ps group by 1),
+  nm as (select project_id, count(*) names, string_agg(term||'='||tl, ';' order by term) named from (select project_id, 'N'||cast(page_no%3 as varchar) term, arg_max('n'||cast(page_no as varchar), page_no) tl from ps group by 1,2) q group by 1),
+  tw as (select project_id, count(*) tracked, sum(cnt) mentions, string_agg(case when rnk<=20 then term||'='||cast(cnt as varchar) end, ';' order by rnk) top from rk group by 1)
+  select lp.project_id, recent_pages, names, named, tracked, cast(mentions as bigint) mentions, top, summary from lp join nm using (project_id) left join tw using (project_id) join sm on sm.project_id=lp.project_id and sm.page_no=lp.page_no""", "fx_source fx_target")
+def _(v):
+    path, out = scratch(v, "pairs"), scratch(v, "memory")
+    lines = v.source.join(v.target.select(*tr.LINE, F.col("text").alias("translated")), tr.LINE, "full")
+    # lines of pages whose counts differ teach no terms; names come by the reply of a page, without weight here
+    fine = tr.page_shapes(v.source, v.target).where("valid").select(*tr.PAGE, F.lit(True).alias("valid"))
+    rows = lines.join(fine, tr.PAGE, "left").select(*tr.LINE, F.when(F.col("valid"), F.col("text")).otherwise("").alias("text"), "translated", F.timestamp_seconds(F.col("page_no") + 1_700_000_000).alias("at"),
+        F.when(F.col("line_no") == 0, F.format_string("[TERMS]\nN%d → n%d\n[/TERMS]", F.col("page_no") % 3, "page_no")).alias("reply"))
+    rows.repartitionByRange(3, "page_no").write.parquet(path)
+    stream = v.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    cm.run(cm.project_memory(stream, "1 hour"), out, scratch(v, "mark"))
+    memory = cm.latest(v.spark, out)
+    words = tm.priority_terms(mm.usage(memory).join(mm.names(memory).select("project_id", "term"), ["project_id", "term"], "left_anti"), 2**31 - 1)
+    top = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("rank") <= 20, F.struct("rank", F.concat_ws("=", "term", "cnt").alias("t"))))), lambda x: x["t"]), ";")
+    used = words.groupBy("project_id").agg(F.count("*").alias("tracked"), F.sum("cnt").alias("mentions"), top.alias("top"))
+    named = mm.names(memory).groupBy("project_id").agg(F.count("*").alias("names"), F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "term", "translation"))), ";").alias("named"))
+    return mm.stats(memory).select("project_id", "recent_pages").join(named, "project_id").join(used, "project_id", "left").join(mm.summaries(memory).select("project_id", "summary"), "project_id")
+
+
 @query("stream_edits", """select page_id, canon_id, max(x1 + part_key%9) filter (where true) x1, count(*)::bigint n from fx_canon group by 1,2""", "fx_canon")
 def _(v):
     path = scratch(v, "edits")
@@ -316,3 +355,132 @@ def _(v):
     stream = v.spark.readStream.schema("page_id long, path string").option("maxFilesPerTrigger", 1).parquet(path)
     seen = _run(v, stream, jobs.new_pages(listing.where("render_exists")))
     return seen.select("page_id", F.col("path").alias("source_path"))
+
+
+@query("incremental_stage", """with l as (select page_id, source_path path, case when page_id%4=0 then 1 else 0 end grown, ocr_status='done' and render_exists had, render_stale changed from fx_page)
+  select path, case when had and not changed then 0 else 1 end + grown runs, 10+grown threshold from l where not (had and not changed) or grown=1""", "fx_page")
+def _(v):
+    path, out = scratch(v, "pages"), scratch(v, "stage")
+    old = v.page.where("ocr_status = 'done' and render_exists").select(F.col("source_path").alias("path"), F.when(F.col("render_stale"), 9).otherwise(10).cast("long").alias("threshold"))
+    listing = v.page.select("page_id", F.col("source_path").alias("path"), F.lit(10).cast("long").alias("threshold"))
+    # the same pages come again, every fourth one with another setting
+    again = listing.withColumn("threshold", F.col("threshold") + F.when(F.col("page_id") % 4 == 0, 1).otherwise(0))
+    listing.coalesce(1).write.parquet(path)
+    again.coalesce(1).write.mode("append").parquet(path)
+    stream = v.spark.readStream.schema(listing.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    jobs.stage_new_pages(stream, old, ["threshold"], lambda open_: open_, out, scratch(v, "mark")).awaitTermination()
+    return v.spark.read.parquet(out).groupBy("path").agg(F.count("*").alias("runs"), F.max("threshold").alias("threshold"))
+
+
+MOVES = """mv as (select page_id, region_id, canon_id, kind, part_key, x1, y1, x2, y2, part_key%3=0 hit, part_key%6=0 off from fx_canon),
+  nw as (select page_id, row_number() over (partition by page_id order by region_id)-1 p, x1, y1, x2, y2 from fx_canon where part_key%10=0), nx as (select page_id, max(region_id)+1 n from fx_canon group by 1)"""
+
+
+def _edit_log(v):
+    """Two moves of every third item, the second one final, and one added box per tenth item; in the order of ``slot``."""
+    p = F.col("part_key")
+    cols = ["page_id", "slot", "canon_id", "kind", *EDGES, "excluded", "w", "h"]
+    def move(n):
+        return v.canon.where(p % 3 == 0).select("page_id", (F.col("region_id") + n * 1000000).alias("slot"), "canon_id", "kind", (F.col("x1") - n).alias("x1"), "y1", "x2", (F.col("y2") + n).alias("y2"), (p % 6 == 0).alias("excluded"), "w", "h")
+    new = v.canon.where(p % 10 == 0).select("page_id", (F.col("region_id") + 3000000).alias("slot"), F.lit("").alias("canon_id"), F.lit("bubble").alias("kind"), *EDGES, F.lit(False).alias("excluded"), "w", "h")
+    return [move(1).select(cols), move(2).select(cols), new.select(cols)]
+
+
+def _editable(v):
+    c = canon_table(v)
+    return c.select("page_id", "canon_id", "kind", "enabled", "excluded", "manual", "bbox_edited", "ocr_edited", "render_edited", *EDGES, *(f"o{e}" for e in EDGES), *(f"r{e}" for e in EDGES), "w", "h")
+
+
+def canon_table(v):
+    p = F.col("part_key")
+    return v.canon.withColumns({"excluded": ~F.col("enabled"), "manual": p % 23 == 0, "bbox_edited": F.lit(False), "render_edited": p % 29 == 0, **{f"r{e}": F.col(e) for e in EDGES}})
+
+
+@query("stream_edit_batches", f"""with {MOVES} select page_id, canon_id, case when hit then not off else enabled end enabled, case when hit then greatest(0,c.x1-2) else c.x1 end x1, case when hit then least(1400,c.y2+2) else c.y2 end y2,
+    case when hit and not ocr_edited then greatest(0,c.x1-2) else ox1 end ox1, coalesce(hit,false) bbox_edited, manual from fx_canon c join mv using (page_id, canon_id)
+  union all select page_id, 'item_'||lpad(cast(n+p as varchar),4,'0'), true, x1, y2, x1, false, true from nw join nx using (page_id)""", "fx_canon")
+def _(v):
+    path, out = scratch(v, "edits"), scratch(v, "state")
+    for k, part in enumerate(_edit_log(v)):
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = v.spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    base = _editable(v)
+    jobs.stream_edits(stream, base, out, scratch(v, "mark")).awaitTermination()
+    return jobs.page_state(v.spark, base, out).select("page_id", "canon_id", "enabled", "x1", "y2", "ox1", "bbox_edited", "manual")
+
+
+@query("stream_edit_marks", """with p as (select distinct page_id from fx_canon where part_key%3=0 or part_key%10=0)
+  select page_id, s as stage, case when s='detection' then 'edited' else 'stale' end mark from (select page_id, unnest(['detection','ocr','translation','inpaint','render','export']) s from p) q""", "fx_canon")
+def _(v):
+    path, out = scratch(v, "edits"), scratch(v, "state")
+    log = _edit_log(v)
+    for part in log:
+        part.write.mode("append").parquet(path)
+    stream = v.spark.readStream.schema(log[0].schema).option("maxFilesPerTrigger", 5).parquet(path)
+    jobs.stream_edits(stream, _editable(v), out, scratch(v, "mark")).awaitTermination()
+    return jobs.edit_marks_of(v.spark, out).select("page_id", "stage", "mark")
+
+
+# ------------------------------------------------------------- translation with the memory of the chunks before
+
+
+class ContextPages:
+    """Answers that tell how long their context was; some pages are refused, cut short, out of quota, or teach names."""
+
+    def call(self, row):
+        page = row["pages"][0]
+        k, project = page["page_no"] % 8, row["project_id"]
+        if k == 2 and project % 11 == 4:
+            raise RuntimeError("quota exceeded")
+        if k == 4 and "chunk" in row:
+            raise RuntimeError("batch refused")
+        mark = f"tr{len(row['context'])}:"
+        lines = ["" if i % 5 == 3 else mark + x for i, x in enumerate(page["lines"])]
+        reply = "[TERMS]\nN → again\n[/TERMS]" if k == 4 else f"[TERMS]\nN → n{project}\nThe → T\n[/TERMS]" if k == 0 and project % 3 == 0 else None
+        return {"answers": [{"page_no": page["page_no"], "lines": lines[: -1 if k == 6 else None]}], "reply": reply}
+
+
+def _context_sql(rounds: int = 4) -> str:
+    """The rounds of a project of up to four pages, one after the other."""
+    from pagestrata.operators import terms as tm
+
+    big = 2**62
+    out = [_terms_sql(), """pg as materialized (select project_id, page_no, row_number() over (partition by project_id order by page_no)-1 pos from (select distinct project_id, page_no from fx_source) q),
+  cd as materialized (select project_id, page_no, line_no, generate_subscripts(c,1)-1 slot, unnest(c) term from cs),
+  ln as materialized (select s.*, pos, count(*) over (partition by project_id, page_no) n from fx_source s join pg using (project_id, page_no))""",
+           f"""tg as (select project_id, pos, page_no, {big} line_no, 0 slot, 'N' term, 'n'||cast(project_id as varchar) tl from pg where page_no%8=0 and project_id%3=0
+  union all select project_id, pos, page_no, {big}, 1, 'The', 'T' from pg where page_no%8=0 and project_id%3=0
+  union all select project_id, pos, page_no, {big + 1}, 0, 'N', 'again' from pg where page_no%8=4)"""]
+    for k in range(rounds + 1):
+        before = " union all ".join(f"select * from dn{j}" for j in range(k)) or "select null::bigint project_id, null::bigint page_no, null::bigint line_no, null::bigint pos, null::varchar translated where false"
+        out.append(f"""bf{k} as materialized ({before}),
+  ct{k} as (select cd.project_id, cd.term, 1 w, (cd.page_no, cd.line_no, cd.slot) fs from cd join bf{k} b on b.project_id=cd.project_id and b.page_no=cd.page_no and b.line_no=cd.line_no where translated<>''
+    union all select project_id, term, {tm.MANUAL_TERM_WEIGHT}, (page_no, line_no, slot) from tg where pos<{k}),
+  rk{k} as (select *, row_number() over (partition by project_id order by cnt desc, fs) r from (select project_id, term, sum(w) cnt, min(fs) fs from ct{k} group by 1,2) q),
+  nm{k} as (select project_id, term, arg_max(tl, pos) tl, min((pos, line_no, slot)) fs from tg where pos<{k} group by 1,2),
+  na{k} as (select project_id, '{tm.NAMES_TITLE}'||chr(10)||string_agg('  '||term||' → '||tl||chr(10), '' order by fs) a from nm{k} group by 1),
+  tb{k} as (select project_id, '{tm.TERMS_TITLE}'||chr(10)||string_agg(case when tl is null then '  '||term||' (×'||cast(cnt as varchar)||')'||chr(10) else '  '||term||' → '||tl||chr(10) end, '' order by r) b
+    from rk{k} left join nm{k} using (project_id, term) where r<=15 and cnt>=2 group by 1),
+  sl{k} as (select project_id, translated, row_number() over (partition by project_id order by pos, line_no) r from (select *, max(pos) over (partition by project_id) newest from bf{k}) q where length(translated)>10 and pos>newest-3),
+  st{k} as (select project_id, 'STORY SO FAR:'||chr(10)||'  '||string_agg(translated, ' | ' order by r)||'...'||chr(10) c from sl{k} where r<=3 group by 1),
+  pr{k} as materialized (select project_id, case when coalesce(a,b,c) is null then '' else '---'||chr(10)||'CONTEXT MEMORY:'||chr(10)||coalesce(a,'')||coalesce(b,'')||coalesce(c,'')||'---'||chr(10) end prompt
+    from (select distinct project_id from pg) p left join na{k} using (project_id) left join tb{k} using (project_id) left join st{k} using (project_id))""")
+        if k < rounds:
+            out.append(f"""dn{k} as materialized (select project_id, page_no, line_no, pos, case when page_no%8=2 and project_id%11=4 then text
+    when page_no%8=6 then case when project_id%2=0 or line_no<n-1 then 'ln:'||text else text end when line_no%5=3 then '' else 'tr'||cast(length(prompt) as varchar)||':'||text end translated
+    from ln join pr{k} using (project_id) where pos={k})""")
+    return "with " + ",\n".join(out)
+
+
+CONTEXT_STEPS = "case when page_no%8=2 and project_id%11=4 then 'original' when page_no%8=6 then case when project_id%2=0 then 'lines' else 'original' end when page_no%8=4 then 'page' else 'batch' end"
+
+
+@query("translate_in_context", f"{_context_sql()} select project_id, page_no, line_no, text, translated, {CONTEXT_STEPS} recovered_by from ln join bf4 using (project_id, page_no, line_no)", "fx_source")
+def _(v):
+    return sg.translate_in_context(v.source, ContextPages, PrefixLines, 1)[0]
+
+
+@query("context_after_translation", f"{_context_sql()} select p.project_id, prompt, count(rk4.term) tracked_words, (select count(*) from nm4 where nm4.project_id=p.project_id) character_names, (select least(5, count(*)) from pg where pg.project_id=p.project_id) recent_pages from pr4 p left join rk4 using (project_id) group by 1,2", "fx_source")
+def _(v):
+    memory = sg.translate_in_context(v.source, ContextPages, PrefixLines, 1)[1]
+    return mm.prompts(memory).join(mm.stats(memory), "project_id").drop("has_summary")

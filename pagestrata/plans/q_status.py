@@ -8,6 +8,7 @@ from pagestrata.functions import styles as sy
 from pagestrata.functions.geometry import box
 from pagestrata.operators import export as ex
 from pagestrata.operators import status as st
+from pagestrata.operators import translation as tr
 from pagestrata.plans.registry import query
 
 
@@ -154,12 +155,52 @@ def _(v):
     return _outcome(v).select("project_id", "slot", "path", "page_id", "outcome")
 
 
-@query("next_page", f"""with {REMOVAL}, gone as (select distinct page_id from oc where outcome='removed' and page_id%3=0), c as (select project_id, max(page_no)//2 cur from fx_page group by 1),
+@query("removed_to_trash", f"""with {REMOVAL}, gone as (select distinct page_id from oc where outcome='removed'),
+  a as (select project_id, page_id, 'page' kind, source_path path, 'trash/pages/'||cast(page_id as varchar)||'_p'||cast(page_id as varchar)||'.png' trash_path from fx_page
+    union all select project_id, page_id, k[1], 'cache/'||k[1]||'/p'||cast(page_id as varchar)||k[2], 'trash/cache/'||k[1]||'/'||cast(page_id as varchar)||'_p'||cast(page_id as varchar)||k[2] from fx_page, (select unnest([['ocr','.json'],['render','.png']]) k) z)
+  select a.*, a.page_id in (select page_id from gone) trashed from a""", "fx_page")
+def _(v):
+    from pagestrata.plans.q_stages import scratch
+
+    stored = st.artefacts(v.page, (("ocr", ".json"), ("render", ".png")))
+    trash, cols = scratch(v, "trash"), ["project_id", "page_id", "kind", "path"]
+    pages, files = st.remove_pages(_outcome(v), v.page, stored, trash, "run-1")
+    gone = v.spark.read.parquet(trash).select(*cols, "trash_path").withColumn("trashed", F.lit(True))
+    stay = pages.select("project_id", "page_id", F.lit("page").alias("kind"), F.col("source_path").alias("path")).unionByName(files.select(cols))
+    every = st.trash_rows(v.page.select("page_id", F.lit("removed").alias("outcome")), v.page, stored).select(*cols, "trash_path")
+    return every.join(stay, cols, "left_semi").withColumn("trashed", F.lit(False)).unionByName(gone)
+
+
+@query("selected_ocr_work", """select page_id, ocr_item_id from fx_ocr where part_key%3=0 and not excluded and not (status='done' and trim(text)<>'' and not needs_ocr)""", "fx_ocr")
+def _(v):
+    chosen = v.ocr.where("part_key % 3 = 0").select("page_id", "ocr_item_id")
+    return st.ocr_work_list(v.ocr, ids=chosen).select("page_id", "ocr_item_id")
+
+
+@query("selected_translation_work", """select page_id, ocr_item_id, part_key%3=0 and trim(coalesce(source_text,''))<>'' and not (status='manually_edited' or (status in ('done','error') and trim(translated_text)<>'')) wanted,
+    case when part_key%3=0 and trim(source_text)='' then 'skipped' else status end status from fx_translation""", "fx_translation")
+def _(v):
+    items = v.translation.withColumn("excluded", F.lit(False))
+    chosen = items.where("part_key % 3 = 0").select("page_id", "ocr_item_id")
+    return tr.work_list(items, ids=chosen).select("page_id", "ocr_item_id", "wanted", "status")
+
+
+@query("reordered_pages", """with o as (select project_id, source_path, page_no, row_number() over (partition by project_id order by case when project_id%2=0 then -page_no else page_no end)-1 n from fx_page), k as (select project_id, count(*)//3 c from fx_page group by 1)
+  select o.project_id, source_path, case when o.project_id%5=0 then page_no else n end page_no, case when o.project_id%5=0 then c when o.project_id%2=0 then coalesce((select n from o q where q.project_id=o.project_id and q.page_no=c), c) else coalesce((select n from o q where q.project_id=o.project_id and q.page_no=c), c) end current_index from o join k using (project_id)""", "fx_page")
+def _(v):
+    p = F.col("project_id")
+    order = v.page.select("project_id", F.when(p % 2 == 0, -F.col("page_no")).otherwise(F.col("page_no")).alias("slot"), F.when((p % 5 == 0) & (F.col("page_no") == 0), "source/none.png").otherwise(F.col("source_path")).alias("source_path"))
+    current = v.page.groupBy("project_id").agg(F.floor(F.count("*") / 3).alias("current_index"))
+    pages, index = tr.reordered_pages(order, v.page, current)
+    return pages.select("project_id", "source_path", "page_no").join(index, "project_id")
+
+
+@query("next_page", f"""with {REMOVAL}, gone as (select distinct page_id from oc where outcome='removed'), c as (select project_id, max(page_no)//2 cur from fx_page group by 1),
   k as (select project_id, count(*) filter (where page_id not in (select page_id from gone)) kept, count(*) filter (where page_id in (select page_id from gone) and page_no<cur) b from fx_page join c using (project_id) group by 1)
   select project_id, case when kept=0 then 0 else greatest(0,least(cur-b,kept-1)) end current_index from k join c using (project_id)""", "fx_page")
 def _(v):
     current = v.page.groupBy("project_id").agg(F.floor(F.max("page_no") / 2).alias("current_index"))
-    return st.next_page(current, _outcome(v).where(F.col("page_id") % 3 == 0), v.page)
+    return st.next_page(current, _outcome(v), v.page)
 
 
 # ------------------------------------------------------------- render and export
@@ -197,11 +238,11 @@ def _(v):
     return ex.unique_names(named, "name", "c_custkey").select("c_custkey", "unique_name")
 
 
-NUMBERS = """nb as (select project_id, page_id, source_path, row_number() over (partition by project_id order by page_id%10, page_id) export_index, pn page_number from (select *, row_number() over (partition by project_id order by page_no, page_id) pn from fx_page) q where page_id%4<>0)"""
+NUMBERS = """nb as (select project_id, page_id, source_path, row_number() over (partition by project_id order by page_id%10, page_id) export_index, pn page_number from (select *, row_number() over (partition by project_id order by page_no, page_id) pn from fx_page) q)"""
 
 
 def _scope(v):
-    return v.page.where(F.col("page_id") % 4 != 0).withColumn("scope_slot", F.col("page_id") % 10)
+    return tr.page_scope(v.page, "all").withColumn("scope_slot", F.col("page_id") % 10)
 
 
 @query("page_numbering", f"with {NUMBERS} select project_id, page_id, export_index, page_number from nb", "fx_page")
@@ -226,6 +267,15 @@ def _(v):
     return _manifest(v)
 
 
+@query("export_names_once", """with n as (select project_id, page_id, row_number() over (partition by project_id order by page_id%10, page_id) k, 'p'||cast(page_id%4 as varchar) st from fx_page where render_exists)
+  select project_id, page_id, case when r=1 then st else st||'_'||lpad(cast(r-1 as varchar), greatest(3, length(cast(r-1 as varchar)))::int, '0') end||'.png' output_name from (select *, row_number() over (partition by project_id, st order by k) r from n) q""", "fx_page")
+def _(v):
+    # many pages share a file name, in folders of their own
+    pages = _scope(v).withColumn("source_path", F.concat(F.lit("source/"), "page_id", F.lit("/p"), (F.col("page_id") % 4).cast("string"), F.lit(".png")))
+    listing = pages.where("render_exists").select(F.col("source_path").alias("path"), F.col("w").alias("width"), F.col("h").alias("height"), F.lit(True).alias("readable"))
+    return ex.export_manifest(pages, v.page, listing, "source", "{stem}").where("status = 'exported'").select("project_id", "page_id", "output_name")
+
+
 @query("export_counts", f"with {MANIFEST} select project_id, count(*) total_pages, count(*) filter (where status='exported') exported_count, count(*) filter (where status='skipped') skipped_count, count(*) filter (where status='error') error_count from mf group by 1", "fx_page")
 def _(v):
     return ex.export_counts(_manifest(v))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from pagestrata.operators.ranking import first_per_key
 
@@ -17,10 +18,12 @@ OCR_ITEM = f"id:int,canon_id:string,kind:string,bbox:{BOX},ocr_bbox:{BOX},crop_p
 TRANSLATION_ITEM = f"id:int,ocr_item_id:int,canon_id:string,kind:string,bbox:{BOX},ocr_bbox:{BOX},source_text:string,translated_text:string,status:string,error:string,updated_at:string,edited_at:string,manually_edited:boolean,source_manually_edited:boolean,source_edited_at:string,needs_retranslate:boolean,translator:string,excluded:boolean"
 STYLE = "enabled:boolean,render_text_override:string,font_name:string,font_path:string,font_size_mode:string,fixed_font_size:int,min_font_size:int,max_font_size:int,writing_mode:string,stroke_enabled:boolean,stroke_width:double,text_color_mode:string,text_color:array<int>,stroke_color:array<int>,line_spacing_ratio:double"
 RENDER_ITEM = f"id:int,translation_item_id:int,ocr_item_id:int,canon_id:string,kind:string,source_text:string,translated_text:string,bbox:{BOX},render_bbox:{BOX},writing_mode:string,font_size:int,font_path:string,style_overrides:struct<{STYLE}>,status:string,error:string,excluded:boolean,bbox_edited:boolean,needs_render:boolean"
+BUBBLE = f"id:int,bbox:{BOX},confidence:double,detector:string,class_id:int,is_dark:boolean,mask_path:string,manual:boolean,excluded:boolean,source:string"
+LAYOUT_REGION = f"id:int,bbox:{BOX},confidence:double,label:string,detector:string,reading_order:int,label_id:int,manual:boolean,excluded:boolean,source:string"
+ITEMS = {"bubble": BUBBLE, "layout": LAYOUT_REGION, "canon": CANON_ITEM, "ocr": OCR_ITEM, "translation": TRANSLATION_ITEM, "render": RENDER_ITEM}
 DETECTION = (
     f"{HEAD}, method string, edited boolean, edited_at string, downstream_stale array<string>, "
-    f"bubbles array<struct<id:int,bbox:{BOX},confidence:double,detector:string,class_id:int,is_dark:boolean,mask_path:string,manual:boolean,excluded:boolean,source:string>>, "
-    f"layout_regions array<struct<id:int,bbox:{BOX},confidence:double,label:string,detector:string,reading_order:int,label_id:int,manual:boolean,excluded:boolean,source:string>>, "
+    f"bubbles array<struct<{BUBBLE}>>, layout_regions array<struct<{LAYOUT_REGION}>>, "
     f"canon_state struct<schema_version:int,created_at:string,updated_at:string,items:array<struct<{CANON_ITEM}>>>"
 )
 INPAINT = (
@@ -48,26 +51,43 @@ ITEM_DEFAULTS = {
 }
 
 
+def unknown_fields(node: Column, known: list[str]) -> Column:
+    """The fields of a JSON object that no schema names, as one variant; NULL without any."""
+    rest = F.map_filter(F.try_variant_get(node, F.lit("$"), "map<string,variant>"), lambda k, _: ~k.isin(known))
+    return F.when(F.size(rest) > 0, F.parse_json(F.to_json(rest)))
+
+
 def read_documents(spark: SparkSession, path: str, stage: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """Documents of a stage, and the rejected ones: broken JSON or another stage's.
 
     A file is one document, named after its page. With ``lines`` a file holds a document per line, so that many pages
-    are few files that can be split, and a document belongs to the page of its ``source_image``.
+    are few files that can be split, and a document belongs to the page of its ``source_image``. A document is parsed once, as a
+    variant in ``node``; the fields of the stage are taken out of it (a field of another type is missing), the others stay in ``extra``.
     """
-    raw = spark.read.option("multiLine", not lines).option("mode", "PERMISSIVE").option(
-        "columnNameOfCorruptRecord", "_corrupt_record").schema(SCHEMAS[stage] + ", _corrupt_record string").json(path)
-    raw = raw.withColumn("file", F.input_file_name())
-    good = F.col("_corrupt_record").isNull() & F.coalesce(F.col("stage") == stage, F.lit(False))
-    docs = raw.where(good).drop("_corrupt_record")
-    text = [f.name for f in docs.schema.fields if f.dataType.simpleString() == "string"]
-    docs = docs.na.fill("", text).withColumn("schema_version", F.coalesce("schema_version", F.lit(2 if stage == "detection" else 1)))
+    raw = spark.read.text(path, wholetext=not lines).select("value", F.input_file_name().alias("file")).where(F.trim("value") != "")
+    raw = raw.withColumn("node", F.try_parse_json("value"))
+    fields = StructType.fromDDL(SCHEMAS[stage])
+    raw = raw.withColumn("d", F.try_variant_get("node", F.lit("$"), "struct<stage:string>"))
+    good = F.coalesce(F.col("d.stage") == stage, F.lit(False))
+    flat = [f for f in fields if not isinstance(f.dataType, ArrayType) or not isinstance(f.dataType.elementType, StructType)]
+    docs = raw.where(good).select(
+        "file", "node", *(F.try_variant_get("node", F.lit(f"$.{f.name}"), f.dataType.simpleString()).alias(f.name) for f in flat if f.name != "canon_state"),
+        unknown_fields(F.col("node"), fields.names).alias("extra"))
+    kinds = {k: [f.name for f in docs.schema.fields if f.dataType.simpleString() == k] for k in ("string", "boolean")}
+    docs = docs.na.fill("", [c for c in kinds["string"] if c != "file"]).na.fill(False, kinds["boolean"])
+    docs = docs.withColumn("schema_version", F.coalesce("schema_version", F.lit(2 if stage == "detection" else 1)))
     name = F.substring_index("source_image" if lines else "file", "/", -1)
-    return docs.withColumn("page_key", F.regexp_replace(name, r"\.[^.]*$", "")), raw.where(~good).select("file", "stage", "_corrupt_record")
+    rejected = raw.where(~good).select("file", F.col("d.stage").alias("stage"), F.when(F.col("node").isNull(), F.col("value")).alias("_corrupt_record"))
+    return docs.withColumn("page_key", F.regexp_replace(name, r"\.[^.]*$", "")), rejected
 
 
-def items_of(docs: DataFrame, array: Column, kind: str) -> DataFrame:
-    """Rows of an item list with missing fields defaulted; a missing id is the position."""
-    rows = docs.select("page_key", "image_width", "image_height", F.posexplode(array).alias("slot", "i")).select("page_key", "image_width", "image_height", "slot", "i.*")
+def items_of(docs: DataFrame, path: str, kind: str) -> DataFrame:
+    """Rows of an item list with missing fields defaulted; a missing id is the position, unknown fields are in ``extra``."""
+    schema = f"struct<{ITEMS[kind]}>"
+    each = docs.select("page_key", "image_width", "image_height", F.posexplode(F.try_variant_get("node", F.lit(path), "array<variant>")).alias("slot", "i"))
+    known = StructType.fromDDL(f"i {schema}")["i"].dataType.names
+    rows = each.select("page_key", "image_width", "image_height", "slot", F.try_variant_get("i", F.lit("$"), schema).alias("k"), unknown_fields(F.col("i"), known).alias("extra"))
+    rows = rows.select("page_key", "image_width", "image_height", "slot", "k.*", "extra")
     filled = {c: F.coalesce(c, F.lit(d)) for c, d in ITEM_DEFAULTS.get(kind, {}).items() if c in rows.columns}
     flags = {f.name: F.coalesce(f.name, F.lit(f.name == "enabled")) for f in rows.schema.fields if f.dataType.simpleString() == "boolean" and f.name != "is_dark"}
     ids = {"id": F.coalesce("id", "slot")} if "id" in rows.columns else {}
@@ -77,24 +97,24 @@ def items_of(docs: DataFrame, array: Column, kind: str) -> DataFrame:
 def scan_detection(spark: SparkSession, path: str, lines: bool = False) -> dict[str, DataFrame]:
     docs, rejected = read_documents(spark, path, "detection", lines)
     return {
-        "documents": docs.drop("bubbles", "layout_regions", "canon_state"), "bubbles": items_of(docs, F.col("bubbles"), "bubble"),
-        "layout_regions": items_of(docs, F.col("layout_regions"), "layout"), "canon_items": items_of(docs, F.col("canon_state.items"), "canon"), "rejected": rejected,
+        "documents": docs.drop("node"), "bubbles": items_of(docs, "$.bubbles", "bubble"),
+        "layout_regions": items_of(docs, "$.layout_regions", "layout"), "canon_items": items_of(docs, "$.canon_state.items", "canon"), "rejected": rejected,
     }
 
 
 def scan_items(spark: SparkSession, path: str, stage: str, lines: bool = False) -> dict[str, DataFrame]:
     """Documents, items and rejects of the ``ocr``, ``translation`` or ``render`` stage."""
     docs, rejected = read_documents(spark, path, stage, lines)
-    return {"documents": docs.drop("items"), "items": items_of(docs, F.col("items"), stage), "rejected": rejected}
+    return {"documents": docs.drop("node"), "items": items_of(docs, "$.items", stage), "rejected": rejected}
 
 
 def scan_inpaint(spark: SparkSession, path: str, lines: bool = False) -> dict[str, DataFrame]:
     docs, rejected = read_documents(spark, path, "inpaint", lines)
-    return {"documents": docs, "rejected": rejected}
+    return {"documents": docs.drop("node"), "rejected": rejected}
 
 
 def project_pages(projects: DataFrame) -> DataFrame:
-    """Pages of project files in order: first of equal paths, all kept under ``source/``.
+    """Pages of project files in order: first of equal paths, all kept under ``source/``; the current index clamped to them.
 
     ``projects`` hold ``project_id`` and the project fields.
     """
@@ -104,7 +124,10 @@ def project_pages(projects: DataFrame) -> DataFrame:
     rows = projects.select("project_id", "name", "current_page_index", F.posexplode(pages).alias("slot", "p")).select(
         "project_id", "name", "current_page_index", F.col("slot").cast("long").alias("slot"), "p.source_path", "p.stages")
     inside = F.when(F.col("source_path").startswith("source/"), F.col("source_path")).otherwise(F.concat(F.lit("source/"), F.substring_index("source_path", "/", -1)))
-    return first_per_key(rows.withColumn("source_path", inside), ["project_id", "source_path"], [F.col("slot")])
+    rows = first_per_key(rows.withColumn("source_path", inside), ["project_id", "source_path"], [F.col("slot")])
+    counts = rows.groupBy("project_id").agg(F.count("*").alias("__n"))
+    clamped = F.greatest(F.lit(0), F.least(F.coalesce("current_page_index", F.lit(0)), (F.col("__n") - 1).cast("int")))
+    return rows.join(counts, "project_id").withColumn("current_page_index", clamped).drop("__n")
 
 
 def scan_project(spark: SparkSession, path: str) -> DataFrame:

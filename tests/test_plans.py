@@ -18,7 +18,7 @@ def test_pair_joins_have_equal_keys(spark, name):
     assert "__cx" in text
 
 
-@pytest.mark.parametrize("name", ["box_normalize", "region_order", "filter_ocr_text", "term_usage", "init_translation", "page_status", "export_manifest"])
+@pytest.mark.parametrize("name", ["box_normalize", "region_order", "filter_ocr_text", "term_usage", "init_translation", "page_status", "export_manifest", "masked_pixels", "trim_repeated_suffix", "flatten_ocr_output"])
 def test_column_rules_stay_in_the_jvm(spark, name):
     text = plan(spark, name)
     assert "Python" not in text and "Arrow" not in text

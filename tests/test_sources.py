@@ -158,3 +158,90 @@ def test_windows_close_behind_the_watermark(spark, tmp_path):
     out = str(tmp_path / "out")
     jobs.into_batches(stream, out, str(tmp_path / "mark"), lambda b: b.select("reports")).awaitTermination()
     assert [r.reports for r in spark.read.parquet(out).collect()] == [2]
+
+
+def test_unknown_fields_stay(spark, tmp_path):
+    put(tmp_path, "a.json", {"stage": "ocr", "note": {"by": "x"}, "image_width": "odd", "items": [{"canon_id": "c", "id": 4, "bbox": "none", "k": [1, None]}, {"canon_id": "d"}, 7]})
+    read = docs.scan_items(spark, str(tmp_path), "ocr")
+    doc = read["documents"].select("image_width", F.to_json("extra").alias("extra")).first()
+    assert (doc.image_width, json.loads(doc.extra)) == (None, {"note": {"by": "x"}})
+    items = [(r.canon_id, r.bbox, r.extra) for r in read["items"].select("slot", "canon_id", "bbox", F.to_json("extra").alias("extra")).orderBy("slot").collect()]
+    assert items[:2] == [("c", None, '{"k":[1,null]}'), ("d", None, None)]
+    from pagestrata.operators.export import page_documents
+
+    made = page_documents(read["items"].select(F.lit(1).alias("page_id"), "id", "canon_id", "extra"), ["canon_id"], "extra").first().document
+    assert json.loads(made)[:2] == [{"id": 0, "canon_id": "d"}, {"id": 1, "canon_id": ""}] or {"id": 0, "canon_id": "d"} in json.loads(made)
+    assert {"k": [1, None]}.items() <= next(x for x in json.loads(made) if x["canon_id"] == "c").items()
+
+
+def test_index_is_clamped(spark, tmp_path):
+    for name, index in (("a", 9), ("b", -2), ("c", None)):
+        put(tmp_path / name, "project.json", {"name": name, "current_page_index": index, "pages": [{"source_path": "x.png"}, {"source_path": "y.png"}]})
+    for name, want in (("a", 1), ("b", 0), ("c", 0)):
+        assert {r.current_page_index for r in docs.scan_project(spark, str(tmp_path / name)).collect()} == {want}
+
+
+def test_results_at_any_depth(spark):
+    from pagestrata.operators.recognition import flatten_output
+
+    deep = {"rec_texts": ["One", "two", "", 3], "rec_scores": [0.9, "bad", 1, 0.2], "dt_polys": [[[0, 0], [4, 0], [4, 8], [0, 8]], [[1, 1]], [], [[2, 2]]]}
+    for k in range(20):
+        deep = [deep, {"x": None}] if k % 2 else {"page": deep, "rec_scores": [{"rec_texts": ["not here"]}]}
+    rows = [(1, json.dumps(deep)), (2, "{broken"), (3, json.dumps([[{"res": {"rec_texts": ["A"], "rec_scores": [0.5], "rec_boxes": [[0, 0, 2, 6]]}}, {"rec_texts": ["a"], "rec_scores": [0.7], "rec_boxes": [[[0, 0], [8, 4]]]}]])),
+            (4, json.dumps({"pages": [{"text_lines": [{"text": "l", "bbox": [3, 4, 9, 9]}, {"text": " "}]}]})), (5, None), (6, "7")]
+    got = flatten_output(spark.createDataFrame(rows, "crop_id long, j string"), F.col("j"), 0.3)
+    assert sorted((r.crop_id, r.text, r.score, r.cx, r.cy) for r in got.collect()) == [(1, "One", 0.9, 2.0, 4.0), (1, "two", 1.0, 1.0, 1.0), (3, "a", 0.7, 4.0, 2.0), (4, "l", 1.0, 3.0, 4.0)]
+
+
+def test_images_are_done_again_with_other_settings_only(spark, tmp_path):
+    folder = tmp_path / "pages"
+    put(folder, "a.png", "one")
+    put(folder, "b.png", "two")
+    keys = ["length", "threshold"]
+    none = spark.createDataFrame([], "path string, length long, threshold int")
+
+    def run(name, threshold, stored):
+        out = str(tmp_path / name)
+        pages = jobs.image_stream(spark, str(folder)).withColumn("threshold", F.lit(threshold))
+        jobs.stage_new_pages(pages, stored, keys, lambda open_: open_.select("path", *keys, F.lit("done").alias("status")), f"{out}/rows", f"{out}/mark").awaitTermination()
+        done = spark.read.schema("path string, length long, threshold int, status string").parquet(f"{out}/rows")
+        return done, sorted(r.path.rsplit("/", 1)[1] for r in done.collect())
+
+    assert run("first", 1, none)[1] == ["a.png", "b.png"]
+    put(folder, "c.png", "new")
+    first, names = run("first", 1, none)
+    assert names == ["a.png", "b.png", "c.png"]
+    assert run("same", 1, first)[1] == []
+    assert run("other", 2, first)[1] == ["a.png", "b.png", "c.png"]
+
+
+def test_removed_rows_reach_the_trash_once(spark, tmp_path):
+    from pagestrata.operators import status
+
+    pages = spark.createDataFrame([(1, 10, 0, "source/a.png"), (1, 11, 1, "source/b.png")], "project_id long, page_id long, page_no long, source_path string")
+    stored = status.artefacts(pages, (("ocr", ".json"),))
+    asked = spark.createDataFrame([(1, 0, "source/a.png"), (1, 1, "source/a.png"), (1, 2, "none")], "project_id long, slot long, path string")
+    outcome = status.removal(asked, pages)
+    for _ in range(2):  # a replay writes the same rows
+        left, files = status.remove_pages(outcome, pages, stored, str(tmp_path / "trash"), "7")
+        assert [r.page_id for r in left.collect()] == [11] and [r.path for r in files.collect()] == ["cache/ocr/b.json"]
+    trash = spark.read.parquet(str(tmp_path / "trash")).collect()
+    assert sorted((r.kind, r.trash_path) for r in trash) == [("ocr", "trash/cache/ocr/10_a.json"), ("page", "trash/pages/10_a.png")]
+
+
+def test_replayed_edits_change_nothing(spark, tmp_path):
+    base = spark.createDataFrame([(1, "item_0000", "bubble", True, False, 0, 0, 9, 9, 100, 100)], "page_id long, canon_id string, kind string, enabled boolean, excluded boolean, x1 long, y1 long, x2 long, y2 long, w long, h long")
+    for p in "or":
+        base = base.withColumns({f"{p}{e}": F.col(e) for e in ("x1", "y1", "x2", "y2")})
+    base = base.withColumns({f: F.lit(False) for f in ("manual", "bbox_edited", "ocr_edited", "render_edited")})
+    cols = "page_id long, slot long, canon_id string, kind string, x1 long, y1 long, x2 long, y2 long, excluded boolean, w long, h long"
+    edits = [[(1, 1, "item_0000", "bubble", 5, 5, 30, 30, False, 100, 100)], [(1, 2, "", "bubble", 50, 50, 90, 90, False, 100, 100)], [(1, 3, "item_0001", "bubble", 40, 50, 90, 90, True, 100, 100)]]
+    for rows in edits:
+        spark.createDataFrame(rows, cols).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    for mark in ("m1", "m2"):  # the second query starts at batch 0 again, over what the first has written
+        stream = spark.readStream.schema(cols).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        jobs.stream_edits(stream, base, out, str(tmp_path / mark)).awaitTermination()
+        got = sorted((r.canon_id, r.x1, r.enabled, r.manual) for r in jobs.page_state(spark, base, out).collect())
+        assert got == [("item_0000", 5, True, False), ("item_0001", 40, False, True)]
+        assert {(r.stage, r.mark) for r in jobs.edit_marks_of(spark, out).collect()} == {("detection", "edited"), *((s, "stale") for s in ("ocr", "translation", "inpaint", "render", "export"))}

@@ -61,10 +61,35 @@ def test_model_output(spark, text, want):
     assert t.clean_model_output(df, F.col("x")).first().clean_text == want
 
 
-@pytest.mark.parametrize("text, want", [("hello " + "ha" * 8, "hello"), ("no no no", None), ("x" * 12, ""), ("ab " * 6, ""), ("word", None)])
-def test_repeated_tail(text, want):
-    start = repeats.repeat_start(text.strip())
-    assert (None if start is None else text[:start].strip()) == want
+@pytest.mark.parametrize("text, want", [("hello " + "ha" * 8, "hello"), ("no no no", None), ("x" * 12, ""), ("ab " * 6, ""), ("word", None), (None, None), ("so " + "😀 " * 12, "so"), ("a" * 50_000 + "b", None)])
+def test_repeated_tail(spark, text, want):
+    df = spark.createDataFrame([(text,)], "x string").select(repeats.trim_repeated_suffix(F.col("x")).alias("t"))
+    row = df.first().t
+    assert (row.text if row.trimmed else None) == want
+
+
+def longest_tail(dense):
+    """Characters of the longest tail of a unit of up to twelve, by trying all of them."""
+    best = 0
+    for size in range(1, 13):
+        for count in range(max(4, -(-12 // size)), len(dense) // size + 1):
+            if dense.endswith(dense[len(dense) - size :] * count):
+                best = max(best, size * count)
+    return best
+
+
+def test_repeated_tails_of_random_texts(spark):
+    import random
+
+    pick = random.Random(5)
+    made = ["".join(pick.choice("ab c") for _ in range(pick.randint(0, 9))) + "".join(pick.choice("ab ") for _ in range(pick.randint(1, 5))) * pick.randint(0, 9) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(made)), "i int, x string").select("i", repeats.trim_repeated_suffix(F.col("x")).alias("t"))
+    for row in df.collect():
+        text = made[row.i].strip()
+        at = [k for k, c in enumerate(text) if c != " "]
+        tail = longest_tail("".join(text[k] for k in at))
+        want = text if not tail else text[: at[len(at) - tail]].strip()
+        assert (row.t.text, row.t.trimmed) == (want, tail > 0), made[row.i]
 
 
 def test_attempts(spark):
