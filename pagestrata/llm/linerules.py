@@ -49,11 +49,10 @@ def with_signals(docs: DataFrame, *carried: str) -> DataFrame:
     own = [f"own_{i}" for i in range(len(carried))]
     rows = rows.select(
         "row_id", "doc_id", "host", *own,
-        F.array_remove(F.split(F.translate("body", SPACES, " " * len(SPACES)), " "), "").alias("words"),
-        F.filter(F.split("body", "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0).alias("lines"),
+        F.array_remove(F.split("body", f"[{SPACES}]+"), "").alias("words"),
+        F.filter(F.split("body", "\n"), lambda x: F.trim(x, F.lit(SPACES)) != "").alias("lines"),
         F.filter(F.transform(normalised(F.col("body")), lambda x: F.trim(x)), lambda x: x != "").alias("plain"),
-        F.length(F.translate("body", SPACES, "")).cast("long").alias("word_chars"),
-        (F.length("body") - F.length(F.translate("body", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.length("body") - F.length(F.regexp_replace("body", f"[{SYMBOLS}]+", ""))).cast("long").alias("n_symbols"),
     )
     # windows as hashes of three words; equal neighbours in hash order start at places where a window repeats
     n = F.size("words")
@@ -61,7 +60,7 @@ def with_signals(docs: DataFrame, *carried: str) -> DataFrame:
         F.slice(F.arrays_zip(F.col("words").alias("a"), F.slice("words", F.lit(2), n).alias("b"), F.slice("words", F.lit(3), n).alias("c")), F.lit(1), n - 2),
         lambda x, i: F.struct(F.xxhash64(x["a"], x["b"], x["c"]).alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h: long, i: int>>"))
     rows = rows.select(
-        "row_id", "doc_id", *own, n.cast("long").alias("n_words"), "word_chars", "n_symbols",
+        "row_id", "doc_id", *own, n.cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         marks.alias("marks"), line_keys(F.col("plain"), F.col("host")).alias("lines"),
     )
@@ -127,7 +126,7 @@ def cleaned(docs: DataFrame, max_docs: int = MAX_DOCS, least_left: float = LEAST
     kept = _judged(rows, max_docs, least_left, *own.values()).filter("kept")
     # lines of the text and the numbers of the normalised lines among them: blank lines have none and stay
     text = kept.withColumn("parts", F.split(F.col(own["text"]), "\n"))
-    text = text.withColumn("full", F.filter(F.sequence(F.lit(0), F.size("parts") - 1), lambda i: F.length(F.translate(F.col("parts")[i], SPACES, "")) > 0))
+    text = text.withColumn("full", F.filter(F.sequence(F.lit(0), F.size("parts") - 1), lambda i: F.trim(F.col("parts")[i], F.lit(SPACES)) != ""))
     gone = F.transform("gone", lambda k: F.col("full")[k])
     stays = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), gone)
     text = text.withColumn("stays", F.when(F.size("parts") > 0, stays))
