@@ -5,6 +5,7 @@ Pages are 1000 x 1400 px. Every view is a full scan of its base tables.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -151,14 +152,17 @@ def _text(name: str, engine: int) -> str:
 
 
 def with_views(sql: str, names: Sequence[str]) -> str:
-    """The SQL with the views it reads as CTEs in front, for DuckDB."""
+    """The SQL with the views it reads as CTEs in front, for DuckDB. Each CTE is computed once, however often it is read."""
     ctes = [
-        f"{n} as ({_text(n, 1).format(**{t: t for t in BASE_TABLES})})" for n in _in_order(names)
+        f"{n} as materialized ({_text(n, 1).format(**{t: t for t in BASE_TABLES})})" for n in _in_order(names)
     ]
     body = sql.strip()
+    recursive = body.lower().startswith("with recursive ")
+    if not recursive:
+        body = re.sub(r"(^with |,\s*)(\w+) as \((?=\s*select)", r"\1\2 as materialized (", body, flags=re.IGNORECASE)
     if not ctes:
         return body
-    if body.lower().startswith("with recursive "):
+    if recursive:
         return "with recursive " + ",\n".join(ctes) + ",\n" + body[len("with recursive "):]
     if body.lower().startswith("with "):
         return "with " + ",\n".join(ctes) + ",\n" + body[len("with "):]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pagestrata.functions import geometry as g
 from pagestrata.functions.geometry import EDGES, box
 from pagestrata.operators import canon as cn
-from pagestrata.plans.q_regions import bubbles, layout
+from pagestrata.plans.q_regions import OWNED, bubbles, layout
 from pagestrata.plans.registry import query
 
 O = [f"o{e}" for e in EDGES]
@@ -95,7 +95,20 @@ def _(v):
     return cn.disabled_items(layout(v), layout(v).where("region_id % 5 = 0"))
 
 
-@query("canon_from_detection")
+# items of one region each never merge: filled sets of region ids must share one
+BUILT = f"""{OWNED}, it as (select t.page_id, t.region_id, t.reading_order, raw_x1, raw_y1, bubble_id, case when bubble_id is null then 'layout_text' else 'bubble' end kind,
+    coalesce(bx1,t.x1) x1, coalesce(by1,t.y1) y1, coalesce(bx2,t.x2) x2, coalesce(by2,t.y2) y2, case when bubble_id is null then t.x1 else greatest(t.x1,bx1) end ox1, case when bubble_id is null then t.y1 else greatest(t.y1,by1) end oy1,
+    case when bubble_id is null then t.x2 else least(t.x2,bx2) end ox2, case when bubble_id is null then t.y2 else least(t.y2,by2) end oy2 from tt t left join own o on o.page_id=t.page_id and o.region_id=t.region_id),
+  sl as (select *, true enabled, 0 part, row_number() over (partition by page_id order by coalesce(reading_order,1000000000), oy1, ox1, raw_y1, raw_x1, region_id)-1 slot from it),
+  ds as (select page_id, region_id, reading_order, greatest(0,least(x1,w)) x1, greatest(0,least(y1,h)) y1, greatest(0,least(x2,w)) x2, greatest(0,least(y2,h)) y2 from fx_region
+    where det_kind='layout' and excluded and (part_key%13=0 or regexp_matches(label,'text|title|caption|content|letter')) and least(x2,w)-greatest(0,x1)>=4 and least(y2,h)-greatest(0,y1)>=4),
+  un as (select page_id, kind, enabled, x1, y1, x2, y2, ox1, oy1, ox2, oy2, bubble_id, region_id, reading_order, part, slot from sl
+    union all select page_id, 'layout_text', false, x1, y1, x2, y2, x1, y1, x2, y2, null, region_id, reading_order, 1, region_id from ds),
+  bu as (select *, row_number() over (partition by page_id order by part, slot)-1 pos from un)"""
+BUILT_ID = "'item_'||lpad(cast(pos as varchar),4,'0')"
+
+
+@query("canon_from_detection", f"with {BUILT} select page_id, kind, enabled, x1, y1, x2, y2, ox1, oy1, ox2, oy2, bubble_id, region_id, reading_order, cast(null as varchar) overlap_group_id, pos, {BUILT_ID} canon_id from bu", "fx_region")
 def _(v):
     return cn.from_detection(layout(v), bubbles(v))
 
@@ -285,7 +298,8 @@ def _(v):
     return cn.edit_ocr_text(v.ocr, F.when(F.col("part_key") % 3 == 0, "  ").otherwise(F.col("text"))).select("page_id", "ocr_item_id", "text", "status", "needs_ocr")
 
 
-@query("upgrade_canon")
+@query("upgrade_canon", f"""with {BUILT} select page_id, row_number() over (partition by page_id order by region_id)-1 pos, canon_id, kind, enabled, x1, y1, x2, y2, ox1, oy1, ox2, oy2 from fx_canon where page_id%3=1
+  union all select page_id, pos, {BUILT_ID}, kind, enabled, x1, y1, x2, y2, ox1, oy1, ox2, oy2 from bu where page_id%3<>1""", "fx_region fx_canon")
 def _(v):
     pages = v.page.withColumn("schema_version", F.when(F.col("page_id") % 3 == 0, 1).when(F.col("page_id") % 3 == 1, 2))
     items = canon(v).withColumns({"slot": F.col("region_id"), "source_direction": F.lit("")})

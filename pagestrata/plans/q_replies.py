@@ -8,6 +8,7 @@ from pagestrata.functions import replies as rp
 from pagestrata.operators import recognition as rc
 from pagestrata.operators import terms as tm
 from pagestrata.operators import translation as tr
+from pagestrata.plans.q_text import TAILS, scompact
 from pagestrata.plans.q_translation import SUMMARY, TERM_ROWS
 from pagestrata.plans.registry import query
 
@@ -142,7 +143,10 @@ def _(v):
     return rc.flatten_output(rows, j, 0.3).select("crop_id", "text", "score", "cy")
 
 
-@query("best_attempt")
+@query("best_attempt", f"""with {TAILS}, a as (select doc_id, line_no//3 crop, line_no%3 attempt, case when line<>'' and not trimmed and not degenerate then 0 when trimmed and kept<>'' then 1 when line<>'' then 2 else 3 end rank, line, kept from t3),
+  b as (select *, case when rank=1 then kept else line end t, {scompact('case when rank=1 then kept else line end')} d from a),
+  w as (select *, row_number() over (partition by doc_id, crop order by rank, case when rank=0 then attempt else 0 end, -length(d), -len(list_distinct(string_split(d,''))), attempt) n from b)
+  select doc_id, crop, case when rank=3 then '' else t end as text, ['OK','LOOP_TRIMMED','BEST_EFFORT','EMPTY'][rank+1] status from w where n=1""", "fx_line")
 def _(v):
     lines = v.line.select("doc_id", F.floor(F.col("line_no") / 3).alias("crop"), (F.col("line_no") % 3).alias("attempt"), F.col("line").alias("cleaned"))
     return rc.best_attempt(lines, ["doc_id", "crop"])

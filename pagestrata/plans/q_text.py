@@ -107,13 +107,6 @@ def _(v):
     return t.filter_ocr_text(v.doc, wrapped, F.col("provider")).select("doc_id", "clean_text", "rejected", "reason")
 
 
-@query("clean_model_output")
-def _(v):
-    fenced = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("```json\n"), "text", F.lit("\n```"))).when(
-        F.col("doc_id") % 3 == 1, F.concat(F.lit("OCR: "), "text")).otherwise(F.to_json(F.struct("text")))
-    return t.clean_model_output(v.table("documents"), fenced, "tidy_text").select("doc_id", "tidy_text")
-
-
 # one line is never a list, so only marks inside it go; RE2 has no look-around, so a mark at the very end is fenced off first
 MARKS = rf"\(\d{{1,2}}\)|\d{{1,2}}[.):]|[{t.CIRCLED_NUMBERS}]", r"[-–—*•・]"
 
@@ -123,13 +116,42 @@ def unmarked(x, marks):
     return rf"replace(regexp_replace({fenced}, '(^|\s)(?:{marks})', '\1', 'g'), chr(1), '')"
 
 
+def joined_lines(x):
+    """Lines without white space around them, joined by one space, none before punctuation."""
+    rows = f"list_filter(list_transform(string_split({x}, chr(10)), lambda z: {sstrip('z')}), lambda z: z<>'')"
+    return sstrip(rf"regexp_replace(regexp_replace(array_to_string({rows}, ' '), '{WS}+', ' ', 'g'), '\s+([,.;:!?])', '\1', 'g')")
+
+
+LIST_MARK = t.LINE_MARKER
+PREFIXED = " ".join(f"when starts_with(lower(x), '{p.lower()}') then {sstrip(f'substr(x, {len(p) + 1})')}" for p in t.OUTPUT_PREFIXES)
+CLEANED = rf"""with a as (select doc_id, {sstrip("coalesce(text,'')")} x, doc_id%3 k from documents), p as (select doc_id, case when k=1 then x {PREFIXED} else x end x from a),
+  l as (select *, list_filter(string_split(x, chr(10)), lambda z: {sstrip('z')}<>'') fl from p), m as (select *, len(fl)>=2 and len(list_filter(fl, lambda z: regexp_matches(z, '{LIST_MARK}')))>=greatest(2, len(fl)-1) is_list from l),
+  n as (select *, {unmarked('x', MARKS[0])} y from m), b as (select *, {unmarked('y', MARKS[1])} z from n),
+  c as (select doc_id, case when is_list then {joined_lines(f"array_to_string(list_transform(string_split(x, chr(10)), lambda z: regexp_replace(z, '{LIST_MARK}', '')), chr(10))")} when z<>x then {joined_lines('z')} else x end t from b)
+  select doc_id, array_to_string(list_transform(list_filter(list_transform(string_split(t, chr(10)), lambda z: {sstrip('z')}), lambda z: z<>''), lambda z: regexp_replace(z, '{WS}+', ' ', 'g')), chr(10)) tidy_text from c"""
+
+
+@query("clean_model_output", CLEANED)
+def _(v):
+    fenced = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("```json\n"), "text", F.lit("\n```"))).when(
+        F.col("doc_id") % 3 == 1, F.concat(F.lit("OCR: "), "text")).otherwise(F.to_json(F.struct("text")))
+    return t.clean_model_output(v.table("documents"), fenced, "tidy_text").select("doc_id", "tidy_text")
+
+
 @query("strip_list_markers", rf"""with l as (select doc_id, line_no, regexp_replace(line, '^\s+|\s+$', '', 'g') x from fx_line), n as (select *, {unmarked('x', MARKS[0])} y from l), b as (select *, {unmarked('y', MARKS[1])} z from n)
   select doc_id, line_no, case when z=x then x else trim(regexp_replace(regexp_replace(trim(z), '\s+', ' ', 'g'), '\s+([,.;:!?])', '\1', 'g')) end bare from b""", "fx_line")
 def _(v):
     return v.line.select("doc_id", "line_no", t.strip_list_markers(F.col("line")).alias("bare"))
 
 
-@query("trim_repeated_suffix")
+TAILS = f"""tl as (select doc_id, line_no, line, {sstrip("coalesce(line,'')")} c, list_reverse(string_split({scompact("coalesce(line,'')")},'')) ch0 from fx_line), t0 as (select *, case when c='' then cast([] as varchar[]) else ch0 end ch from tl),
+  t1 as (select *, list_max(list_transform(range(1,13), lambda u: case when u*4<=len(ch) and ((coalesce(list_position(list_transform(range(1,len(ch)-u+1), lambda i: ch[i]=ch[i+u]), false)-1, len(ch)-u)//u)+1)*u>=greatest(4*u,12)
+    then ((coalesce(list_position(list_transform(range(1,len(ch)-u+1), lambda i: ch[i]=ch[i+u]), false)-1, len(ch)-u)//u)+1)*u else 0 end)) tail from t0),
+  t2 as (select *, case when tail=0 then c when tail=len(ch) then '' else {sstrip("substr(c, 1, list_filter(range(1,length(c)+1), lambda i: not regexp_matches(substr(c,i,1), '" + WS + "'))[len(ch)-tail])")} end kept, tail>0 trimmed, len(ch) size, len(list_distinct(ch)) uniq from t1),
+  t3 as (select *, c<>'' and size>=12 and (uniq<=2 or (trimmed and (kept='' or size>=18)) or (size>=24 and uniq*1.0e0/size<0.18)) degenerate from t2)"""
+
+
+@query("trim_repeated_suffix", f"with {TAILS} select doc_id, line_no, kept, trimmed, degenerate from t3", "fx_line")
 def _(v):
     tail = trim_repeated_suffix(F.col("line"))
     df = v.line.withColumn("tail", tail)

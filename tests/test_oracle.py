@@ -6,12 +6,7 @@ from pagestrata.plans import catalog
 from tests.oracle import compare, connect
 
 #: Queries that SQL cannot express or that still lack it; they are tested against brute force elsewhere or only run here.
-NO_SQL = {
-    "best_attempt", "canon_from_detection", "clean_model_output", "consolidate_items",
-    "crop_windows", "dedupe_blocks", "dedupe_text_and_geometry", "dedupe_text_regions", "layout_rois",
-    "merge_bubbles", "outside_text_blocks", "reading_order", "reading_order_rtl",
-    "roi_detections", "trim_repeated_suffix", "upgrade_canon",
-}
+NO_SQL = {"consolidate_items", "outside_text_blocks"}
 SF = "/root/testdata/sf0.001"
 
 
