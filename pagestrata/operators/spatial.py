@@ -21,6 +21,8 @@ from pagestrata.session import cut_lineage
 CELL_PX = 256
 #: Boxes of a cell above which it is cut, cuts at most, and rows a box may become in them on average.
 DENSE, LEVELS, SPREAD = 512, 5, 24
+#: Cells that are cut at most; so many rows are sent to every task.
+CUT_CELLS = 100_000
 
 
 def _span(low: Column, high: Column, px: int | Column) -> Column:
@@ -37,20 +39,27 @@ def _on_grid(df: DataFrame, b: Box, pad: int) -> DataFrame:
         "__x1": F.greatest(low_x, left), "__x2": F.least(high_x, left + CELL_PX - 1), "__y1": F.greatest(low_y, top), "__y2": F.least(high_y, top + CELL_PX - 1)})
 
 
-def _dense_cells(boxes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Cells to be cut and the edge length of their parts: ``keys, __cx, __cy, __px``. Most cells are not among them."""
+def _dense_cells(boxes: DataFrame, keys: Sequence[str], times: int = 1) -> DataFrame:
+    """Cells to be cut and the edge length of their parts: ``keys, __cx, __cy, __px``; the densest ``CUT_CELLS`` at most.
+
+    ``times`` is 2 where ``boxes`` stand for both sides of a join.
+    """
     def parts(px: int) -> Column:
-        return (F.floor(F.col("__x2") / px) - F.floor(F.col("__x1") / px) + 1) * (F.floor(F.col("__y2") / px) - F.floor(F.col("__y1") / px) + 1)
+        bits = px.bit_length() - 1  # whole pixels
+        wide = F.shiftright("__x2", bits) - F.shiftright("__x1", bits) + 1
+        return wide * (F.shiftright("__y2", bits) - F.shiftright("__y1", bits) + 1)
 
     edges = [CELL_PX >> k for k in range(1, LEVELS + 1)]
-    counted = boxes.groupBy(*keys, "__cx", "__cy").agg(F.count("*").alias("__n"), *(F.sum(parts(px)).alias(f"__r{px}") for px in edges)).where(F.col("__n") > DENSE)
+    whole = boxes.select(*keys, "__cx", "__cy", *(F.col(c).cast("long").alias(c) for c in ("__x1", "__y1", "__x2", "__y2")))
+    counted = whole.groupBy(*keys, "__cx", "__cy").agg((F.count("*") * times).alias("__n"), *((F.sum(parts(px)) * times).alias(f"__r{px}") for px in edges)).where(F.col("__n") > DENSE)
     fine = [F.when((F.col("__n") > DENSE * 4**k) & (F.col(f"__r{px}") <= SPREAD * F.col("__n")), F.lit(px)) for k, px in enumerate(edges)]
-    return counted.select(*keys, "__cx", "__cy", F.least(*fine).alias("__px")).where(F.col("__px").isNotNull())
+    dense = counted.select(*keys, "__cx", "__cy", F.least(*fine).alias("__px"), "__n").where(F.col("__px").isNotNull())
+    return dense.orderBy(F.desc("__n")).limit(CUT_CELLS).drop("__n")
 
 
 def _in_parts(placed: DataFrame, dense: DataFrame, keys: Sequence[str]) -> DataFrame:
     px = F.coalesce("__px", F.lit(CELL_PX))
-    cut = placed.join(dense, [*keys, "__cx", "__cy"], "left").withColumn("__px", px)
+    cut = placed.join(F.broadcast(dense), [*keys, "__cx", "__cy"], "left").withColumn("__px", px)
     return cut.withColumn("__sx", F.explode(_span(F.col("__x1"), F.col("__x2"), F.col("__px")))).withColumn(
         "__sy", F.explode(_span(F.col("__y1"), F.col("__y2"), F.col("__px")))).drop("__cx", "__cy", "__x1", "__y1", "__x2", "__y2")
 
@@ -72,7 +81,8 @@ def touching_pairs(
     l = _on_grid(_prefixed(left, left_prefix, keys), a, 0)
     r = _on_grid(_prefixed(right, right_prefix, keys), b, pad)
     slim = [*keys, "__cx", "__cy", "__x1", "__y1", "__x2", "__y2"]
-    dense = _dense_cells(l.select(slim).unionByName(r.select(slim)), keys)
+    same = left is right and not pad
+    dense = _dense_cells(l.select(slim) if same else l.select(slim).unionByName(r.select(slim)), keys, 2 if same else 1)
     corner_x, corner_y = F.greatest(a.x1, b.x1 - pad), F.greatest(a.y1, b.y1 - pad)
     touch = (
         (corner_x <= F.least(a.x2, b.x2 + pad)) & (corner_y <= F.least(a.y2, b.y2 + pad))

@@ -358,7 +358,7 @@ def _(v):
 
 
 @query("incremental_stage", """with l as (select page_id, source_path path, case when page_id%4=0 then 1 else 0 end grown, ocr_status='done' and render_exists had, render_stale changed from fx_page)
-  select path, case when had and not changed then 0 else 1 end + grown runs, 10+grown threshold from l where not (had and not changed) or grown=1""", "fx_page")
+  select path, cast(case when had and not changed then 0 else 1 end + grown as bigint) runs, cast(10+grown as bigint) threshold from l where not (had and not changed) or grown=1""", "fx_page")
 def _(v):
     path, out = scratch(v, "pages"), scratch(v, "stage")
     old = v.page.where("ocr_status = 'done' and render_exists").select(F.col("source_path").alias("path"), F.when(F.col("render_stale"), 9).otherwise(10).cast("long").alias("threshold"))
