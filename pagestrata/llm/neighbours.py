@@ -29,10 +29,10 @@ SLACK = 1e-6
 
 
 def whole_numbers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(row_id, vec_id, x): floor(scale * component) as longs; vectors that are null or not finite throughout are left out."""
+    """(row_id, vec_id, x): floor(scale * component) as longs, at most 2^62 either way; vectors that are null or not finite throughout are left out."""
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     rows = base.with_row(vectors, "vec_id", "embedding").filter(F.col("embedding").isNotNull() & finite & F.col("vec_id").isNotNull())
-    return rows.select("row_id", "vec_id", F.transform("embedding", lambda v: F.floor(v.cast("double") * scale).cast("long")).alias("x"))
+    return rows.select("row_id", "vec_id", F.transform("embedding", lambda v: F.floor(F.greatest(F.least(v.cast("double") * scale, F.lit(2.0**62)), F.lit(-(2.0**62)))).cast("long")).alias("x"))
 
 
 class Index:
@@ -40,6 +40,7 @@ class Index:
 
     def __init__(self, points: np.ndarray, largest: int):
         self.largest = float(largest)
+        self.rounding = float(np.sqrt(1e-14 * self.largest))  # of a distance whose square is a difference of squared lengths
         spots = self.lift(points)
         # farthest-first: every pivot is the point farthest from those before
         chosen, far = [0], np.full(len(spots), np.inf)
@@ -75,12 +76,21 @@ class Index:
     def bounds(self, x: np.ndarray) -> np.ndarray:
         """Lower bound of the distance from each query to each ring."""
         d = self.distances(x, query=True)[:, self.rings // RINGS]
-        return np.maximum(np.maximum(d - self.high, self.low - d), 0) - SLACK * (1 + d)
+        return np.maximum(np.maximum(d - self.high, self.low - d), 0) - SLACK * (1 + d) - self.rounding
 
     def reach(self, x: np.ndarray, score: np.ndarray) -> np.ndarray:
         """Distance at which a query's inner product is ``score``."""
         length = (x.astype(float) ** 2).sum(axis=1)
-        return np.sqrt(np.maximum(length + self.largest - 2.0 * score, 0))
+        return np.sqrt(np.maximum(length + self.largest - 2.0 * score, 0)) + self.rounding
+
+
+def products(queries: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers, exact; beyond the range of a long they stay at its ends."""
+    most = float(np.abs(queries.astype(float)).max(initial=0)) * float(np.abs(x.astype(float)).max(initial=0)) * queries.shape[1]
+    if most < 2.0**53:
+        return (queries.astype(float) @ x.T.astype(float)).astype(np.int64)
+    whole = queries.astype(object) @ x.T.astype(object)
+    return np.clip(whole, -(1 << 63) + 1, (1 << 63) - 1).astype(np.int64)
 
 
 def _matrix(column) -> np.ndarray:
@@ -92,14 +102,17 @@ def top_k(vectors: DataFrame, queries_by: int = 20, k: int = 20, scale: int = SC
 
     Queries are the rows whose vec_id is divisible by ``queries_by``. Ties go to the smaller vec_id, then the earlier row;
     a query never meets its own row, but does meet a repeated one. Vectors that are null or hold null or non-finite
-    components, and rows without id, take no part. All vectors must be of one length. With fewer rows than k, all are
+    components, and rows without id, take no part. A shorter vector has zeros in the places it lacks. Scores are exact, whatever the size of
+    the components; one beyond the range of a long is given as its end. With fewer rows than k, all are
     returned. An empty table gives no rows. Other columns are not looked at.
     """
     spark = vectors.sparkSession
     base.small_batches(spark, BLOCK_ROWS)
     rows = base.stage(whole_numbers(vectors, scale), "vectors")
-    length = F.aggregate("x", F.lit(0).cast("long"), lambda s, v: s + v * v)
-    total, largest = rows.agg(F.count("*"), F.max(length)).first()
+    length = F.aggregate("x", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
+    total, largest, least, most = rows.agg(F.count("*"), F.max(length), F.min(F.size("x")), F.max(F.size("x"))).first()
+    if least != most:
+        rows = rows.withColumn("x", F.concat("x", F.array_repeat(F.lit(0).cast("long"), F.lit(most) - F.size("x"))))
     out = "query_row long, query_id long, row_id long, vec_id long, score long"
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -128,8 +141,9 @@ def top_k(vectors: DataFrame, queries_by: int = 20, k: int = 20, scale: int = SC
             q = _matrix(batch["q"])
             bound = index.bounds(q)
             order = np.argsort(bound, axis=1, kind="stable")[:, seen : seen + width]
-            floor = np.array([-(1 << 62) if f is None else f for f in batch["floor"]], np.int64)
-            near = np.take_along_axis(bound, order, axis=1) <= np.where(floor > -(1 << 61), index.reach(q, np.maximum(floor, -(1 << 50))), np.inf)[:, None] * (1 + SLACK) + SLACK
+            floor = np.array([0 if f is None else f for f in batch["floor"]], np.int64)
+            none = np.array([f is None for f in batch["floor"]], bool)
+            near = np.take_along_axis(bound, order, axis=1) <= np.where(none, np.inf, index.reach(q, np.where(none, 0, floor).astype(float)))[:, None] * (1 + SLACK) + SLACK
             i, j = np.nonzero(near)
             ring = order[i, j]
             n = index.blocks[ring]
@@ -147,8 +161,9 @@ def top_k(vectors: DataFrame, queries_by: int = 20, k: int = 20, scale: int = SC
                 x, ids, at = np.vstack(vectors["x"].to_numpy()), vectors["vec_id"].to_numpy(), vectors["row_id"].to_numpy()
                 for a in range(0, len(queries), QUERY_ROWS):
                     part = queries.iloc[a : a + QUERY_ROWS]
-                    scores = (np.vstack(part["q"].to_numpy()).astype(float) @ x.T.astype(float)).astype(np.int64)
-                    floors = part["floor"].fillna(-(2.0**62)).to_numpy().astype(np.int64)
+                    scores = products(np.vstack(part["q"].to_numpy()), x)
+                    floors = part["floor"].astype(float).fillna(-np.inf).to_numpy()
+                    floors = floors - 1 - np.abs(np.where(np.isinf(floors), 0, floors)) * 1e-15  # below the whole number it stands for
                     for i, (own, query) in enumerate(zip(part["query_row"], part["query_id"])):
                         s = scores[i]
                         hit = np.flatnonzero((s >= floors[i]) & (at != own))
