@@ -179,11 +179,15 @@ class Model:
 
 
 def sample(rows: DataFrame) -> DataFrame:
-    """At most ``TRAIN_ROWS`` rows of each language, those with the smallest hashes."""
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    share = F.least(F.lit(1.0), 2 * TRAIN_ROWS / F.col("n"))
+    """At most ``TRAIN_ROWS`` rows of each language, those with the smallest hashes.
+
+    Equal rows have equal hashes; the rows of a language's smallest hash always stay, so copies of one row cannot take it out.
+    """
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
-    near = rows.join(F.broadcast(sizes), "lang").withColumn("place", place).filter(F.col("place") < share * F.lit(1 << 40)).drop("n")
+    rows = rows.withColumn("place", place)
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("least"))
+    share = F.least(F.lit(1.0), 2 * TRAIN_ROWS / F.col("n"))
+    near = rows.join(sizes, "lang").filter((F.col("place") < share * F.lit(1 << 40)) | (F.col("place") == F.col("least"))).drop("n", "least")
     first = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
     return near.withColumn("k", first).filter(F.col("k") <= TRAIN_ROWS).drop("k")
 
@@ -266,7 +270,7 @@ def learnable() -> Column:
 
 def kept_languages(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
     """Rows of ``docs`` whose language is known with a probability of ``least`` or more, columns as they are."""
-    if "lang_pred" in docs.columns or "score" in docs.columns:
-        raise ValueError("lang_pred and score are names of results")
     known = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)
-    return identify(docs, model, tuple(docs.columns)).filter(known).select(docs.columns)
+    own = {c: f"own_{i}" for i, c in enumerate(docs.columns)}  # no column of the documents clashes with a result
+    frame = docs.select("text", *(F.col(c).alias(n) for c, n in own.items()))
+    return identify(frame, model, tuple(own.values())).filter(known).select(*(F.col(n).alias(c) for c, n in own.items()))
