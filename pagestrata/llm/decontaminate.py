@@ -186,4 +186,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the documents that hold a window of the benchmark, columns as they are."""
-    return contamination(docs, benchmark, window, keep=tuple(docs.columns)).filter(F.size("hits") == 0).select(docs.columns)
+    own = {c: f"own_{i}" for i, c in enumerate(docs.columns)}  # no column of the documents clashes with a result
+    frame = docs.select("doc_id", "text", *(F.col(c).alias(n) for c, n in own.items() if c != "text"))
+    found = contamination(frame, benchmark, window, keep=tuple(n for c, n in own.items() if c != "text")).filter(F.size("hits") == 0)
+    return found.select(*(F.col("text" if c == "text" else n).alias(c) for c, n in own.items()))

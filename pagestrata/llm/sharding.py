@@ -63,8 +63,15 @@ def shards(docs: DataFrame, count: int = 16, bucket_bytes: int = BUCKET_BYTES, s
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """Shard folders ``shard=k`` under ``path``; slots order the records of a shard."""
-    sharded.select("shard", "slot", "record.*").repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Shard folders ``shard=k`` under ``path``; slots order the records of a shard, over files in the order of their names.
+
+    Ranges of (shard, slot) are dealt to as many tasks as there are shuffle partitions. Columns of the records that are called shard or slot
+    are written as record_shard and record_slot.
+    """
+    names = sharded.schema["record"].dataType.names
+    fields = (F.col(f"record.`{n}`").alias(f"record_{n}" if n in ("shard", "slot") else n) for n in names)
+    parts = int(sharded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sharded.select("shard", "slot", *fields).repartitionByRange(parts, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def digest(sharded: DataFrame) -> DataFrame:

@@ -1,0 +1,65 @@
+"""Column names that clash with results, copies of one row, and components of any size."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pagestrata.llm import decontaminate, language, neighbours, sharding
+
+CLASH = ["hits", "items", "n_words", "kept", "score", "lang_pred", "shard", "slot", "own_0", "letters"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, tmp_path_factory):
+    rows = [(i, f"some words of text number {i} and more of them", *range(10)) for i in range(30)]
+    path = str(tmp_path_factory.mktemp("llm") / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} int" for c in CLASH)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_clean_with_clashing_names(spark, docs):
+    benchmark = spark.createDataFrame([(1, "number 7 and more")], "item_id long, text string")
+    left = decontaminate.clean(docs, benchmark)
+    assert left.columns == docs.columns
+    assert sorted(map(tuple, left.collect())) == sorted(tuple(r) for r in docs.collect() if r.doc_id != 7)
+
+
+def test_languages_with_clashing_names(docs):
+    model = language.fit(docs.withColumn("lang", F.lit("en")))
+    assert sorted(map(tuple, language.kept_languages(docs, model).collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_shards_with_clashing_names(spark, docs, tmp_path):
+    sharding.write_shards(sharding.shards(docs, count=4), str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert {"shard", "slot", "record_shard", "record_slot"} <= set(got.columns) and got.count() == 30
+    for k in range(4):
+        files = sorted((tmp_path / "out" / f"shard={k}").glob("*.parquet"))
+        slots = [s.as_py() for f in files for s in __import__("pyarrow.parquet", fromlist=["x"]).read_table(f, columns=["slot"]).column("slot")]
+        assert slots == list(range(len(slots)))
+
+
+def test_a_language_of_copies_is_learnt(spark, tmp_path):
+    one = "dies ist ein einziger deutscher satz"
+    pick = random.Random(1)
+    rows = [(i, " ".join(pick.choice(["the", "of", "and", "that"]) for _ in range(5)), "en") for i in range(4000)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").unionByName(spark.range(20_000).select(F.lit(-1).cast("long").alias("doc_id"), F.lit(one).alias("text"), F.lit("de").alias("lang"))).write.parquet(str(tmp_path / "d"))
+    sampled = language.sample(spark.read.parquet(str(tmp_path / "d"))).groupBy("lang").count().collect()
+    assert {r.lang: min(r["count"], 1) for r in sampled} == {"de": 1, "en": 1} and all(r["count"] <= language.TRAIN_ROWS for r in sampled)
+
+
+def test_components_of_any_size_and_vectors_of_any_length(spark, tmp_path):
+    pick = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in pick.normal(0, 1, 5)]) for i in range(60)]
+    rows[3][1][2], rows[20][1][0], rows[21][1][1], rows[40][1][3] = 1e9, 1e20, -3e15, -1e9
+    rows += [(60, [1.0, 2.0]), (61, []), (62, [0.5] * 5), (80, [1e9, 2.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "v"))
+    whole = [(v, [int(np.floor(min(max(64 * x, -(2.0**62)), 2.0**62))) for x in xs] + [0] * (5 - len(xs))) for v, xs in rows]
+    want = []
+    for q, x in whole:
+        if q % 20 == 0:
+            scores = [(-max(min(sum(a * b for a, b in zip(x, y)), 2**63 - 1), -(2**63) + 1), v) for v, y in whole if v != q]
+            want += [(q, k + 1, v, -s) for k, (s, v) in enumerate(sorted(scores)[:20])]
+    assert sorted(map(tuple, neighbours.top_k(spark.read.parquet(str(tmp_path / "v"))).collect())) == sorted(want)
