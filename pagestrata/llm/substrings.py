@@ -49,7 +49,10 @@ def grams(docs: list[list[bytes]], gram: int) -> np.ndarray:
     """Numbers of the word sequences of length ``gram`` at every word of all documents in a row."""
     import xxhash
 
-    h = np.array(list(map(xxhash.xxh64_intdigest, chain.from_iterable(docs))), np.uint64)
+    number = dict.fromkeys(chain.from_iterable(docs))  # every distinct word is hashed once
+    for word in number:
+        number[word] = xxhash.xxh64_intdigest(word)
+    h = np.fromiter(map(number.__getitem__, chain.from_iterable(docs)), np.uint64, sum(map(len, docs)))
     n = max(len(h) - gram + 1, 0)
     out = np.zeros(n, np.uint64)
     for j in range(gram):
