@@ -14,7 +14,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         behind = np.zeros(n, np.int64)
         behind[: n - step] = rank[step:] + 1
         key = rank * (n + 1) + behind
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal keys get one rank, so their order does not matter
         sorted_key = key[order]
         new = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
         rank = np.empty(n, np.int64)
@@ -52,26 +52,32 @@ class FMIndex:
             ones = (transform >> bit) & 1 == 1
             self.levels.append((bit, Bits(ones), int(len(ones) - ones.sum())))
             transform = np.concatenate([transform[~ones], transform[ones]])
+        every = np.arange(size)
+        # what lies before a symbol in the last level follows from the symbol alone
+        self.shift = self.first[every] - self._down(every, np.zeros(size, np.int64))
+
+    def _down(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
+        for bit, bits, zeros in self.levels:
+            ones = bits.ones(place)
+            place = np.where((symbol >> bit) & 1 == 1, zeros + ones, place - ones)
+        return place
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the suffixes that start with ``symbol`` followed by the patterns of rows low to high."""
-        start = np.zeros(len(symbol), np.int64)
-        for bit, bits, zeros in self.levels:
-            one = (symbol >> bit) & 1 == 1
-            start, low, high = (np.where(one, zeros + bits.ones(i), i - bits.ones(i)) for i in (start, low, high))
-        return self.first[symbol] + low - start, self.first[symbol] + high - start
+        return self.shift[symbol] + self._down(symbol, low), self.shift[symbol] + self._down(symbol, high)
 
     def occurs_again(self, text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
         """Whether the ``length`` symbols from each start of ``text`` are found twice or more.
 
         The statistic of a place is cut off at ``length``; a pattern found only once is given up as soon as that shows.
         """
-        alive = np.arange(len(starts))
-        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), self.length, np.int64)
-        for k in range(length - 1, -1, -1):
-            low, high = self.extend(text[starts[alive] + k], low, high)
+        alive, last = np.arange(len(starts)), text[starts + length - 1]
+        low, high = self.first[last], self.first[last + 1]
+        for k in range(length - 2, -2, -1):
             go_on = high - low > 1
             alive, low, high = alive[go_on], low[go_on], high[go_on]
+            if k >= 0:
+                low, high = self.extend(text[starts[alive] + k], low, high)
         out = np.zeros(len(starts), bool)
         out[alive] = True
         return out
