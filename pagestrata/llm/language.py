@@ -178,6 +178,10 @@ class Model:
         return self.languages[k], float(p[k] / p.sum())
 
 
+#: Sizes of languages are sent to every task only up to so many languages.
+SENT_LANGUAGES = 100_000
+
+
 def sample(rows: DataFrame) -> DataFrame:
     """At most ``TRAIN_ROWS`` rows of each language, those with the smallest hashes.
 
@@ -185,8 +189,10 @@ def sample(rows: DataFrame) -> DataFrame:
     """
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
     rows = rows.withColumn("place", place)
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("least"))
+    sizes = base.stage(rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("least")), "sizes")
     share = F.least(F.lit(1.0), 2 * TRAIN_ROWS / F.col("n"))
+    if sizes.count() <= SENT_LANGUAGES:  # else both sides meet in an exchange
+        sizes = F.broadcast(sizes)
     near = rows.join(sizes, "lang").filter((F.col("place") < share * F.lit(1 << 40)) | (F.col("place") == F.col("least"))).drop("n", "least")
     first = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
     return near.withColumn("k", first).filter(F.col("k") <= TRAIN_ROWS).drop("k")
