@@ -78,35 +78,33 @@ def ocr_items(canon: DataFrame) -> DataFrame:
     )
 
 
-def _first(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.min("pos").alias(name))
+def _handles(df: DataFrame, *cols: str) -> DataFrame:
+    """What an item can be found by, best first: its id, its bubble or regions, its boxes. One row per ``step, handle``."""
+    kind = normal_kind(F.col("kind"))
+    boxes = F.filter(F.array(*(box(p).struct() for p in BOX_SETS)), lambda b: b["x1"].isNotNull())
+
+    def handle(step: int, *parts: Column) -> Column:
+        return F.struct(F.lit(step).alias("step"), F.concat_ws(",", *(p.cast("string") for p in parts)).alias("handle"))
+
+    none = F.array().cast("array<struct<step: int, handle: string>>")
+    by_id = F.when(F.coalesce("canon_id", F.lit("")) != "", F.array(handle(1, F.col("canon_id")))).otherwise(none)
+    by_bubble = F.when((kind == "bubble") & F.col("bubble_id").isNotNull(), F.array(handle(2, F.col("bubble_id")))).otherwise(none)
+    by_region = F.when(kind == "layout_text", F.transform(F.coalesce("region_ids", F.array().cast("array<bigint>")), lambda r: handle(3, r))).otherwise(none)
+    by_box = F.transform(boxes, lambda b: handle(4, kind, *(b[e] for e in EDGES)))
+    every = F.array_distinct(F.concat(by_id, by_bubble, by_region, by_box))
+    return df.select("page_id", *cols, F.explode(every).alias("h")).select("page_id", *cols, "h.*")
 
 
 def resolve(stage_items: DataFrame, canon: DataFrame) -> DataFrame:
     """Match stage items to canon items: by id, by bubble or shared region, by equal box.
 
-    Each lookup is reduced to the first canon item per key before its join, so no join
-    multiplies rows. Adds ``match``, the canon position, NULL without a match.
+    All ways are one lookup: it holds the first canon item per handle, so the join with the items' handles multiplies no
+    rows, and the best step with its first item wins. Adds ``match``, the canon position, NULL without a match.
     """
-    items = stage_items.withColumns({"__kind": normal_kind(F.col("kind"))})
-    state = canon.withColumn("__kind", normal_kind(F.col("kind")))
-    key = ["page_id", "item_id"]
-    by_id = _first(state.where(F.col("canon_id") != ""), ["page_id", "canon_id"], "m1")
-    by_bubble = _first(state.where("__kind = 'bubble' and bubble_id is not null"), ["page_id", "bubble_id"], "m2")
-    rids = state.where("__kind = 'layout_text'").select("page_id", "pos", F.explode("region_ids").alias("rid"))
-    mine = items.where("__kind = 'layout_text'").select(*key, F.explode(F.array_distinct("region_ids")).alias("rid"))
-    by_region = mine.join(_first(rids, ["page_id", "rid"], "pos"), ["page_id", "rid"]).groupBy(*key).agg(F.min("pos").alias("m3"))
-
-    def spots(df, *cols):
-        boxes = F.array_distinct(F.filter(F.array(*(box(p).struct() for p in BOX_SETS)), lambda b: b["x1"].isNotNull()))
-        return df.select("page_id", "__kind", *cols, F.explode(boxes).alias("b")).select("page_id", "__kind", *cols, "b.*")
-
-    spot = ["page_id", "__kind", *EDGES]
-    by_box = spots(items, "item_id").join(_first(spots(state, "pos"), spot, "pos"), spot).groupBy(*key).agg(F.min("pos").alias("m4"))
-    joined = items.join(by_id, ["page_id", "canon_id"], "left").join(by_bubble, ["page_id", "bubble_id"], "left").join(
-        by_region, key, "left").join(by_box, key, "left")
-    second = F.when(F.col("__kind") == "bubble", F.col("m2")).otherwise(F.col("m3"))
-    return joined.withColumn("match", F.coalesce("m1", second, "m4")).select(*stage_items.columns, "match")
+    key = ["page_id", "step", "handle"]
+    lookup = _handles(canon, "pos").groupBy(*key).agg(F.min("pos").alias("pos"))
+    found = _handles(stage_items, "item_id").join(lookup, key).groupBy("page_id", "item_id").agg(F.min(F.struct("step", "pos"))["pos"].alias("match"))
+    return stage_items.join(found, ["page_id", "item_id"], "left").select(*stage_items.columns, "match")
 
 
 def disabled_items(regions: DataFrame, used: DataFrame) -> DataFrame:

@@ -76,11 +76,24 @@ def frequent_terms(usage: DataFrame) -> DataFrame:
     return top.where(F.col("rank") <= PROMPT_TERMS)
 
 
+#: Pages that are summed up in one sorted run.
+RUN_PAGES = 256
+
+
 def running_term_usage(rows: DataFrame) -> DataFrame:
-    """Count of a term known before each page that uses it."""
-    per_page = rows.groupBy(*PAGE, "term").agg(F.count("*").alias("cnt"))
-    before = Window.partitionBy("project_id", "term").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
-    return per_page.withColumn("known_before", F.coalesce(F.sum("cnt").over(before), F.lit(0).cast("long")))
+    """Count of a term known before each page that uses it.
+
+    Pages are cut into runs: counts are summed inside a run and shifted by the sums of the runs before, so a term of a very long
+    project is not sorted in one task.
+    """
+    key, run = ["project_id", "term"], F.floor(F.col("page_no") / RUN_PAGES)
+    per_page = rows.groupBy(*PAGE, "term").agg(F.count("*").alias("cnt")).withColumn("__run", run)
+    before = Window.partitionBy(*key).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = per_page.groupBy(*key, "__run").agg(F.sum("cnt").alias("__n"))
+    runs = runs.select(*key, "__run", F.coalesce(F.sum("__n").over(before), F.lit(0).cast("long")).alias("__before"))
+    inside = Window.partitionBy(*key, "__run").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.coalesce(F.sum("cnt").over(inside), F.lit(0).cast("long"))
+    return per_page.withColumn("__own", own).join(runs, [*key, "__run"]).select(*PAGE, "term", "cnt", (F.col("__own") + F.col("__before")).alias("known_before"))
 
 
 #: Blocks of chunks per block of the next level.

@@ -247,6 +247,19 @@ def _(v):
         "project_id", "source_path", (F.col("slot") + F.col("m")).alias("slot"), F.col("stages")["ocr"]["status"].alias("ocr_status"))
 
 
+@query("scan_project_files", """with p as (select project_id, 'source/p'||cast(page_no//2 as varchar)||'.png' source_path, page_no from fx_page), d as (select project_id, source_path, min(page_no) page_no from p group by 1,2), n as (select project_id, count(*) n, min(page_no) m from d group by 1)
+  select 'project '||cast(project_id as varchar) project_id, source_path, page_no-m slot, greatest(0, least(project_id*3-20, n-1)) current_page_index, case when project_id%2=0 then 'done' end ocr_status from d join n using (project_id)""", "fx_page")
+def _(v):
+    path, stages = scratch(v, "projects"), F.when(F.col("project_id") % 2 == 0, F.create_map(F.lit("ocr"), F.struct(F.lit("done").alias("status"))))
+    page = F.concat(F.when(F.col("page_no") % 3 == 0, "/old/").otherwise("source/"), F.lit("p"), F.floor(F.col("page_no") / 2).cast("string"), F.lit(".png"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("page_no", page.alias("source_path")))), lambda p: F.struct(p["source_path"]))
+    made = v.page.groupBy("project_id").agg(listed.alias("pages")).withColumn("pages", F.transform("pages", lambda p: F.struct(p["source_path"], stages.alias("stages"))))
+    name = F.concat(F.lit("project "), F.col("project_id").cast("string")).alias("name")
+    made.select(F.to_json(F.struct(name, "pages", (F.col("project_id") * 3 - 20).alias("current_page_index"), F.lit("x").alias("odd"))).alias("value")).write.text(path)
+    pages = docs.scan_project(v.spark, path, lines=True)
+    return pages.select("project_id", "source_path", "slot", F.col("current_page_index").cast("long").alias("current_page_index"), F.col("stages")["ocr"]["status"].alias("ocr_status"))
+
+
 @query("import_names", """with n as (select c_custkey, c_mktsegment||'.PNG' name, row_number() over (partition by c_mktsegment order by lpad(cast(c_custkey as varchar),12,'0'))-1 k from customer)
   select c_custkey, case when k=0 then name else replace(name,'.PNG','')||'_'||cast(k as varchar)||'.PNG' end import_name from n""")
 def _(v):

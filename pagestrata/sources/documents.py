@@ -130,9 +130,10 @@ def project_pages(projects: DataFrame) -> DataFrame:
     return rows.join(counts, "project_id").withColumn("current_page_index", clamped).drop("__n")
 
 
-def scan_project(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.option("multiLine", True).schema(PROJECT).json(path)
-    return project_pages(raw.withColumn("project_id", F.input_file_name()))
+def scan_project(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Pages of project files. A file is one project, known by its path; with ``lines`` a line is one, known by its name."""
+    raw = spark.read.option("multiLine", not lines).schema(PROJECT).json(path)
+    return project_pages(raw.withColumn("project_id", F.col("name") if lines else F.input_file_name()))
 
 
 def page_stages(pages: DataFrame) -> DataFrame:

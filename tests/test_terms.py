@@ -33,3 +33,14 @@ def test_no_lines_no_terms(spark):
     rows = spark.createDataFrame([], "project_id long, page_no long, line_no long, slot int, term string")
     chunks = spark.createDataFrame([(1, 0, 0)], "project_id long, page_no long, chunk long")
     assert tm.terms_before(rows, chunks).count() == 0
+
+
+@pytest.mark.parametrize("run", [1, 2, 256])
+def test_running_usage_over_runs_of_pages(spark, monkeypatch, run):
+    monkeypatch.setattr(tm, "RUN_PAGES", run)
+    rnd = random.Random(run)
+    rows = [(p, page, line, 0, rnd.choice("abc")) for p in (1, 2) for page in range(9) for line in range(rnd.randrange(3))]
+    got = tm.running_term_usage(spark.createDataFrame(rows, "project_id long, page_no long, line_no long, slot int, term string"))
+    uses = lambda p, t, test: sum(r[0] == p and r[4] == t and test(r[1]) for r in rows)
+    want = {(p, page, t, uses(p, t, lambda x: x == page), uses(p, t, lambda x: x < page)) for p, page, _, _, t in rows}
+    assert sorted(map(tuple, got.select("project_id", "page_no", "term", "cnt", "known_before").collect())) == sorted(want)
