@@ -86,7 +86,8 @@ def common_pieces(docs: DataFrame, model_path: str) -> dict[str, int]:
         yield put_forward(held)
 
     words = docs.select("text").mapInArrow(counted, schema).groupBy("word").agg(F.sum("n").alias("n"))
-    words = words.orderBy(F.desc("n"), "word").limit(COMMON).select("word").toPandas()["word"].tolist()
+    # written first: the limit is then taken by tasks, and the driver reads no more than the table's entries
+    words = base.stage(words.orderBy(F.desc("n"), "word").limit(COMMON).select("word"), "common").toPandas()["word"].tolist()
     return dict(zip(words, count_pieces(load_model(model_path), words)))
 
 
