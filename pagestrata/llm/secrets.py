@@ -7,7 +7,7 @@ length, character mix and transitions, how much of them the corpus's own words c
 the words around them.
 
 The forest learns from labelled findings. Where none are given, they are made by rules from the candidates themselves:
-published key formats and assignments to a name such as "password" are secrets; bare numbers, UUIDs, tokens covered by
+published key formats and assignments to a name such as "password" are secrets, long numbers too; other numbers, UUIDs, tokens covered by
 dictionary words, placeholders and tokens next to words such as "checksum" are not; the rest is unlabelled.
 """
 
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from pagestrata.llm import base
 
 LEAST = 16
+#: Digits from which a bare number assigned to a secret name is a key; a shorter one is a setting, unless the name is a password's.
+KEY_DIGITS = 12
 #: Share of distinct texts, two at least, that makes a word part of the dictionary.
 WORD_SHARE, WORD_TEXTS = 0.001, 2
 #: Labelled findings learnt from at most; trees and their depth.
@@ -134,7 +136,7 @@ def rule_label() -> Column:
     by_name, password = F.col("by_name"), F.concat_ws(" ", "before", "lead").rlike("(?i)passw|pwd")
     strong = by_name & ((F.col("quoted") == 1) | F.concat("before", "lead").rlike(r"=\W*$"))
     harmless = (
-        ((F.col("digits") == 1) & ~(by_name & password)) | ((F.col("coverage") >= 0.6) & ~strong) | (F.col("distinct") * F.col("length") <= F.when(by_name, 1).otherwise(4))
+        ((F.col("digits") == 1) & ~(by_name & (password | (F.length(c) >= KEY_DIGITS)))) | ((F.col("coverage") >= 0.6) & ~strong) | (F.col("distinct") * F.col("length") <= F.when(by_name, 1).otherwise(4))
         | (F.col("harmless_before") == 1) | c.rlike(r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$") | (by_name & c.rlike(PLACEHOLDER))
     )
     open_ = by_name & ((F.col("coverage") >= 0.6) | (c.rlike(r"^\p{L}+$") & ~strong))  # a word of a sentence, or of code
